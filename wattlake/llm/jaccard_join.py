@@ -48,7 +48,7 @@ def shingle_sets(col: pa.Array, k: int) -> list[np.ndarray]:
     out = []
     for i in range(n):
         if at[i + 1] > at[i]:
-            out.append(np.unique(h[at[i] : at[i + 1]]))
+            out.append(tk.distinct(h[at[i] : at[i + 1]]))
         elif first[i + 1] > first[i]:
             x = tk.U64(0)
             with np.errstate(over="ignore"):

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,15 +21,25 @@ from pyspark.sql import functions as F
 from wattlake.llm import textkit as tk
 from wattlake.llm.shared import materialize
 
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 1_000_000
 _state: dict = {}
+SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
+
+#: 1 for ASCII letters and digits, 2 for ASCII marks other than the apostrophe, else 0.
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = 2
+_KIND[39] = 0
+_KIND[48:58] = _KIND[65:91] = _KIND[97:123] = 1
 
 
 class WordEncoder:
-    """Token ids of whole texts from the ids of their white-space separated words.
+    """Token ids of whole texts from the ids of their parts.
 
-    The tokenizer splits at white space before all else, so a text's ids are its
-    words' ids in order; each distinct word is encoded once while it is cached.
+    The tokenizer lowers case and splits at white space, and between a letter
+    or digit and any other mark (but for an apostrophe's contractions), before
+    all else. So a text's ids are its parts' ids in order, and each distinct
+    part is encoded once while it is cached. Chunks that hold the name of a
+    special token are split at white space alone, with their case kept.
     """
 
     def __init__(self, path: str):
@@ -40,21 +51,15 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.index: dict[int, int] = {}
-        self.pool, self.at = np.zeros(1 << 20, np.uint32), np.zeros(1 << 16, np.int64)
-        self.used = 0
+        self.pool, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _add(self, hashes: list[int], words: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        for h, e in zip(hashes, found, strict=True):
-            ids, k = e.ids, len(self.index)
-            if k + 2 > len(self.at):
-                self.at = np.concatenate([self.at, np.zeros(len(self.at), np.int64)])
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.index[h], self.at[k] = k, self.used
-            self.used += len(ids)
-            self.at[k + 1] = self.used
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        k = len(self.index)
+        self.index.update(zip(hashes, range(k, k + len(hashes)), strict=True))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and each text's bounds in them."""
@@ -62,15 +67,31 @@ class WordEncoder:
         starts, ends, doc = tk.word_bounds(raw, off)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(col) + 1, np.int64)
-        hashes, first, inverse = np.unique(tk.span_hash(raw, starts, ends), return_index=True, return_inverse=True)
+        data = raw.tobytes()
+        whole = any(s in data for s in SPECIAL)
+        if not whole:
+            kind = _KIND[raw]
+            cut = np.flatnonzero(kind[:-1] + kind[1:] == 3) + 1
+            edge = np.zeros(len(raw) + 1, bool)
+            edge[off] = True
+            cut = cut[~edge[cut]]
+            starts, ends = (np.sort(np.concatenate([x, cut]), kind="stable") for x in (starts, ends))
+            doc = np.searchsorted(off, starts, "right") - 1
+            raw = tk.LOWER[raw]
+            data = raw.tobytes()
+        salt = 2 if whole else 0  # the same bytes stand for other ids with their case kept
+        hashes, first, inverse = np.unique(tk.span_hash(raw, starts, ends, salt), return_index=True, return_inverse=True)
         if len(self.index) > _CACHE_WORDS:
             self.clear()
         keys = hashes.tolist()
-        new = [i for i, h in enumerate(keys) if h not in self.index]
-        if new:
-            data = raw.tobytes()
-            self._add([keys[i] for i in new], [data[starts[first[i]] : ends[first[i]]].decode() for i in new])
-        slot = np.array([self.index[h] for h in keys], np.int64)[inverse]
+        known = self.index
+        slot = np.fromiter((known.get(h, -1) for h in keys), np.int64, len(keys))
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            slot[new] = len(known) + np.arange(len(new))
+            bounds = zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
+            self._add(hashes[new].tolist(), [data[a:b].decode() for a, b in bounds])
+        slot = slot[inverse]
         begin, length = self.at[slot], self.at[slot + 1] - self.at[slot]
         total = np.concatenate([[0], np.cumsum(length)])
         ids = self.pool[np.repeat(begin - total[:-1], length) + np.arange(total[-1])]
@@ -88,7 +109,7 @@ def _pieces(path: str, size: int, end_id: int):
     def fn(batches):
         enc, tail, turn = encoder(path), np.array([end_id], "<u4").tobytes(), 0
         for batch in batches:
-            for part in tk.chunks(batch, "text"):
+            for part in tk.chunks(batch, "text", 2 * tk.CHUNK_BYTES):
                 ids, at = enc.encode(part.column("text"))
                 data = ids.astype("<u4").tobytes()
                 out = []

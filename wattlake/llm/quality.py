@@ -65,8 +65,8 @@ def features(col: pa.Array) -> np.ndarray:
         d = max(1, nw)
         out[i] = (
             *share, np.log1p(size_i), np.log1p(nw), lengths.mean() if nw else 0, (lengths > 12).sum() / d, (lengths <= 3).sum() / d,
-            len(np.unique(word[s])) / d, 1 - len(np.unique(pair[p[i] : p[i + 1]])) / max(1, np_), np.log1p(nl),
-            1 - len(np.unique(lines[ln[i] : ln[i + 1]])) / max(1, nl), nw / max(1, nl), (totals["u"][s] >= 2).sum() / d, (totals["d"][s] > 0).sum() / d,
+            len(tk.distinct(word[s])) / d, 1 - len(tk.distinct(pair[p[i] : p[i + 1]])) / max(1, np_), np.log1p(nl),
+            1 - len(tk.distinct(lines[ln[i] : ln[i + 1]])) / max(1, nl), nw / max(1, nl), (totals["u"][s] >= 2).sum() / d, (totals["d"][s] > 0).sum() / d,
             (totals["s"][s] > 0).sum() / d, -(hist * np.log2(hist)).sum(), len(zlib.compress(data[a:b], 1)) / size_i,
         )
     return out

@@ -38,14 +38,16 @@ def chunk_bounds(raw: np.ndarray, off: np.ndarray, bits: int, min_bytes: int) ->
     # The window must lie within the text, else the text before it would move bounds.
     hit = hit[hit - off[np.searchsorted(off, hit, "right") - 1] >= 31]
     at = np.searchsorted(gap, hit)
-    cut = gap[np.unique(at[at < len(gap)])] + 1
-    cut = cut[~np.isin(cut, off)]
+    cut = gap[tk.distinct(at[at < len(gap)])] + 1
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[off] = True
+    cut = cut[~edge[cut]]
     doc = np.searchsorted(off, cut, "right") - 1
     # A bound too close to the one before it is none; decided by successive bounds, not by position.
     before = np.maximum(np.append([0], cut[:-1]), off[doc]) if len(cut) else cut
     cut = cut[cut - before >= min_bytes]
     full = np.flatnonzero(np.diff(off) > 0)
-    starts = np.union1d(cut, off[full])
+    starts = np.sort(np.concatenate([cut, off[full]]), kind="stable")
     ends = np.append(starts[1:], off[-1])
     return starts, ends, np.searchsorted(off, starts, "right") - 1
 

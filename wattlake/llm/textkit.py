@@ -57,7 +57,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse; one cached size for all usual chunks."""
-    return _powers(CHUNK_BYTES if n <= CHUNK_BYTES else n)
+    size = CHUNK_BYTES
+    while size < n:
+        size *= 2
+    return _powers(size)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
