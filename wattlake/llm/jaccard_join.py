@@ -27,8 +27,8 @@ from wattlake.llm import textkit as tk
 from wattlake.llm.shared import connected_components, materialize
 
 DEPTH = 3
-SKETCH_FROM = 256  # smaller sets are not ruled out by sketches
-SKETCH_LEAST = 100  # of 128 bits; 0.8 gives 115 with a deviation of 3.4
+SKETCH_LEAST = 101  # of 128 bits; 0.8 gives 115 with a deviation of 3.4
+_FACTORS = tk.mix(np.arange(1, 129, dtype=np.uint64)) | np.uint64(1)
 
 _SET_SCHEMA = "doc_id long, digest binary, size int, sk1 long, sk2 long, tokens array<array<array<long>>>"
 
@@ -61,13 +61,19 @@ def shingle_sets(col: pa.Array, k: int) -> list[np.ndarray]:
 
 
 def sketch(s: np.ndarray) -> tuple[int, int]:
-    """128 one-bit minhashes by one permutation; an empty bin takes the next full bin's."""
-    v = np.sort(tk.mix(s ^ tk.seed(77)))
-    edge = np.searchsorted(v >> tk.U64(57), np.arange(129, dtype=tk.U64))
-    full = edge[1:] > edge[:-1]
-    at = np.flatnonzero(full)
-    src = at[np.searchsorted(at, np.arange(128)) % len(at)]
-    bits = (tk.mix(v[edge[src]] + np.arange(128, dtype=tk.U64)) & tk.U64(1)).astype(np.uint8)
+    """128 one-bit minhashes: of 128 hashes, or for large sets of the 128 bins of one."""
+    if len(s) < 128 * 16:
+        least = np.empty(128, tk.U64)
+        for a in range(0, 128, 32):
+            h = s[None, :] * _FACTORS[a : a + 32, None]
+            h ^= h >> tk.U64(29)
+            least[a : a + 32] = h.min(1)
+    else:
+        v = np.sort(tk.mix(s ^ tk.seed(77)))
+        edge = np.searchsorted(v >> tk.U64(57), np.arange(129, dtype=tk.U64))
+        at = np.flatnonzero(edge[1:] > edge[:-1])
+        least = v[edge[at[np.searchsorted(at, np.arange(128)) % len(at)]]] + np.arange(128, dtype=tk.U64)
+    bits = (least * tk.U64(0x9E3779B97F4A7C15) >> tk.U64(63)).astype(np.uint8)
     return tuple(int(x) for x in np.packbits(bits).view(np.int64))
 
 
@@ -95,44 +101,56 @@ def _sets(threshold: float, k: int, runs: int, branching: float):
     return fn
 
 
-def _bit_count(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x.view(np.uint64)).astype(np.int16)
+def _alike(threshold: float, size: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
+    """Which pairs along the last axis neither sizes nor sketches tell apart."""
+    z, k1, k2 = size.astype(np.float32), s1.view(np.uint64), s2.view(np.uint64)
+    near = np.minimum(z[..., :, None], z[..., None, :]) >= np.float32(threshold - 1e-4) * np.maximum(z[..., :, None], z[..., None, :])
+    return near & (np.bitwise_count(k1[..., :, None] ^ k1[..., None, :]) + np.bitwise_count(k2[..., :, None] ^ k2[..., None, :]) <= 128 - SKETCH_LEAST)
+
+
+def _least_label(near: np.ndarray, rep: np.ndarray) -> np.ndarray:
+    """The smallest id that each one leads to over ``near``."""
+    label = rep
+    while True:
+        new = np.where(near, label[..., None, :], np.iinfo(np.int64).max).min(-1)
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
+def _edge_batch(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["src", "dst"])
 
 
 def _leaf_edges(threshold: float):
-    """Star edges of the sets in one bucket that sizes and sketches do not tell apart."""
+    """Star edges of the alike sets of small buckets; buckets of one size are compared together."""
 
     def fn(batches):
         for batch in batches:
-            members = batch.column("members").combine_chunks() if isinstance(batch.column("members"), pa.ChunkedArray) else batch.column("members")
+            members = batch.column("members")
             flat, off = members.flatten(), np.concatenate([[0], np.cumsum(members.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
             rep, size, s1, s2 = (flat.field(j).to_numpy(zero_copy_only=False) for j in range(4))
             n = np.diff(off)
-            us, vs = [], []
             for width in np.unique(n):
                 rows = np.flatnonzero(n == width)
-                step = max(1, 4_000_000 // int(width * width))
+                step = max(1, 2_000_000 // int(width * width))
                 for a in range(0, len(rows), step):
                     idx = off[rows[a : a + step]][:, None] + np.arange(width)
-                    r, z = rep[idx], size[idx].astype(np.float64)
-                    near = np.minimum(z[:, :, None], z[:, None, :]) >= threshold * np.maximum(z[:, :, None], z[:, None, :]) - 1e-9
-                    same = 128 - _bit_count(s1[idx][:, :, None] ^ s1[idx][:, None, :]) - _bit_count(s2[idx][:, :, None] ^ s2[idx][:, None, :])
-                    near &= (same >= SKETCH_LEAST) | (np.minimum(z[:, :, None], z[:, None, :]) < SKETCH_FROM)
-                    # Smallest id reachable in the bucket, by repeated minima.
-                    label = r.copy()
-                    while True:
-                        new = np.where(near, label[:, None, :], np.iinfo(np.int64).max).min(2)
-                        if np.array_equal(new, label):
-                            break
-                        label = new
+                    r = rep[idx]
+                    label = _least_label(_alike(threshold, size[idx], s1[idx], s2[idx]), r)
                     keep = r != label
-                    us.append(r[keep])
-                    vs.append(label[keep])
-            u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
-            if len(u):
-                uv = np.unique(np.stack([u, v], 1), axis=0)
-                u, v = uv[:, 0], uv[:, 1]
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["src", "dst"])
+                    yield _edge_batch(r[keep], label[keep])
+
+    return fn
+
+
+def _cell_edges(threshold: float):
+    """Star edges of the alike sets of one pair of slices of a large bucket."""
+
+    def fn(t: pa.Table) -> pa.Table:
+        rep, size, s1, s2 = (t.column(c).to_numpy() for c in ("rep", "size", "sk1", "sk2"))
+        label = _least_label(_alike(threshold, size, s1, s2), rep)
+        return pa.Table.from_batches([_edge_batch(rep[rep != label], label[rep != label])])
 
     return fn
 
@@ -154,9 +172,10 @@ def _paths(reps: DataFrame, runs: int, leaf: int, threshold: float) -> DataFrame
             split = big.join(reps.select("rep", "tokens"), "rep")
             buckets = split.select("rep", "run", "path", F.explode(F.expr(f"tokens[run][{level}]")).alias("t")).select("rep", "run", F.xxhash64("path", "t").alias("path"))
         else:
-            # Still together on every level: one star, whatever its size; the blocks decide.
-            low = materialize(big.groupBy("path").agg(F.min("rep").alias("dst")), "stars")
-            edges = edges.union(buckets.select("path", F.col("rep").alias("src")).join(low, "path").where("src <> dst").select("src", "dst"))
+            # Still together on every level: slices of the bucket meet in pairs.
+            sliced = big.join(sized, "path").join(marks, "rep").withColumn("k", F.ceil(F.col("n") / 1024).cast("int")).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
+            cells = sliced.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")).select("path", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), "rep", "size", "sk1", "sk2")
+            edges = edges.union(cells.groupBy("path", "x", "y").applyInArrow(_cell_edges(threshold), "src long, dst long"))
     return edges.distinct()
 
 
@@ -225,7 +244,7 @@ def _shingles_of(k: int):
     return fn
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.9999, branching: float = 3.0, leaf: int = 128, block: int = 256) -> DataFrame:
+def jaccard_join(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.9999, branching: float = 3.0, leaf: int = 128, block: int = 512) -> DataFrame:
     """Links between texts whose ``k``-word shingle sets reach ``threshold``, and their groups.
 
     ``docs`` needs ``doc_id`` (long) and ``text``. Returns one row per input row:
