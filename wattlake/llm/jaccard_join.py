@@ -145,36 +145,58 @@ def _leaf_edges(threshold: float):
 
 
 def _cell_edges(threshold: float):
-    """Star edges of the alike sets of one pair of slices of a large bucket."""
+    """Edges between families that alike sets of one pair of slices of a large bucket join."""
 
     def fn(t: pa.Table) -> pa.Table:
-        rep, size, s1, s2 = (t.column(c).to_numpy() for c in ("rep", "size", "sk1", "sk2"))
-        label = _least_label(_alike(threshold, size, s1, s2), rep)
-        return pa.Table.from_batches([_edge_batch(rep[rep != label], label[rep != label])])
+        family, size, s1, s2 = (t.column(c).to_numpy() for c in ("family", "size", "sk1", "sk2"))
+        label = _least_label(_alike(threshold, size, s1, s2), family)
+        _, first = np.unique(np.stack([family, label], 1), axis=0, return_index=True)
+        first = first[family[first] != label[first]]
+        return pa.Table.from_batches([_edge_batch(family[first], label[first])])
 
     return fn
 
 
+def _families(big: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
+    """rep and family: sets of large buckets whose sketches are like their buckets' first sets' fall together.
+
+    A large group of near copies would stay in one bucket on every path. Its
+    members are told by one comparison each, so buckets of a single family need
+    no further split, and only what joins different families is looked for.
+    """
+    first = materialize(big.groupBy("path").agg(F.min("rep").alias("head")), "heads")
+    head = marks.select(F.col("rep").alias("head"), F.col("size").alias("hs"), F.col("sk1").alias("h1"), F.col("sk2").alias("h2"))
+    pairs = big.select("path", "rep").join(first, "path").where("rep <> head").select("rep", "head").distinct().join(marks, "rep").join(head, "head")
+    alike = (F.least("size", "hs") >= threshold * F.greatest("size", "hs") - 1e-6) & (F.bit_count(F.col("sk1").bitwiseXOR(F.col("h1"))) + F.bit_count(F.col("sk2").bitwiseXOR(F.col("h2"))) <= 128 - SKETCH_LEAST)
+    return pairs.where(alike).select(F.col("rep").alias("src"), F.col("head").alias("dst"))
+
+
 def _paths(reps: DataFrame, runs: int, leaf: int, threshold: float) -> DataFrame:
-    """Edges between sets that share a chosen path."""
+    """Edges between sets that share a chosen path and are alike."""
     marks = reps.select("rep", "size", "sk1", "sk2")
-    buckets = reps.select("rep", F.posexplode("tokens").alias("run", "levels")).select("rep", "run", F.explode(F.expr("levels[0]")).alias("t")).select("rep", "run", F.xxhash64("run", "t").alias("path"))
+    buckets = reps.select("rep", F.posexplode("tokens").alias("run", "levels")).select("rep", "run", F.explode(F.expr("levels[0]")).alias("t")).select("rep", "run", F.xxhash64("run", "t").alias("path"), F.col("rep").alias("family"))
     edges = None
     for level in range(1, DEPTH + 1):
         buckets = materialize(buckets, f"paths{level}")
-        sized = materialize(buckets.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), f"buckets{level}")
+        sized = buckets.groupBy("path").agg(F.count("*").alias("n"), F.min("family").alias("a"), F.max("family").alias("z"))
+        sized = materialize(sized.where("n > 1 and a < z").select("path", "n"), f"buckets{level}")
         small = buckets.select("path", "rep").join(sized.where(f"n <= {leaf}").select("path"), "path").join(marks, "rep")
         members = small.groupBy("path").agg(F.collect_list(F.struct("rep", "size", "sk1", "sk2")).alias("members")).select("members")
         found = members.mapInArrow(_leaf_edges(threshold), "src long, dst long")
         edges = found if edges is None else edges.union(found)
         big = buckets.join(sized.where(f"n > {leaf}").select("path"), "path")
+        if level == 1:
+            same = materialize(_families(big, marks, threshold), "families")
+            edges = edges.union(same)
+            family = materialize(connected_components(same).select(F.col("node").alias("rep"), F.col("component").alias("of")), "family")
+            big = big.join(family, "rep", "left").withColumn("family", F.coalesce("of", "family")).drop("of")
         if level < DEPTH:
             split = big.join(reps.select("rep", "tokens"), "rep")
-            buckets = split.select("rep", "run", "path", F.explode(F.expr(f"tokens[run][{level}]")).alias("t")).select("rep", "run", F.xxhash64("path", "t").alias("path"))
+            buckets = split.select("rep", "run", "path", "family", F.explode(F.expr(f"tokens[run][{level}]")).alias("t")).select("rep", "run", F.xxhash64("path", "t").alias("path"), "family")
         else:
             # Still together on every level: slices of the bucket meet in pairs.
             sliced = big.join(sized, "path").join(marks, "rep").withColumn("k", F.ceil(F.col("n") / 1024).cast("int")).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
-            cells = sliced.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")).select("path", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), "rep", "size", "sk1", "sk2")
+            cells = sliced.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")).select("path", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), "family", "size", "sk1", "sk2")
             edges = edges.union(cells.groupBy("path", "x", "y").applyInArrow(_cell_edges(threshold), "src long, dst long"))
     return edges.distinct()
 
