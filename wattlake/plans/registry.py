@@ -1,4 +1,5 @@
 """All registered queries of the regional engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from wattlake.plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
