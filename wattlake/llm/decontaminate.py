@@ -160,10 +160,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold:
         known = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in distinct.collect()], np.int64).view(np.uint64)))
     hits = src.mapInArrow(_hits(n, known), "doc_id long, seed long, doc_pos int")
     hits = materialize(hits if known is not None else hits.join(distinct, "seed").select("doc_id", "seed", "doc_pos"), "hits")
-    # The rarer half of each item's seeds, four at least; frequencies cover all documents.
+    # Of each item's seeds that stand anywhere, the rarer half, four at least; frequencies cover all documents.
     often = hits.groupBy("seed").agg(F.count("*").alias("n"))
     order = Window.partitionBy("item_id").orderBy("n", "seed", "item_pos")
-    ranked = seeds.join(often, "seed", "left").select("item_id", "seed", "item_pos", F.coalesce("n", F.lit(0)).alias("n")).withColumn("rank", F.row_number().over(order)).withColumn("seeds", F.count("*").over(Window.partitionBy("item_id")))
+    ranked = seeds.join(often, "seed").withColumn("rank", F.row_number().over(order)).withColumn("seeds", F.count("*").over(Window.partitionBy("item_id")))
     rare = materialize(ranked.where(F.col("rank") <= F.greatest(F.ceil(F.col("seeds") / 2), F.lit(4))).select("item_id", "seed", "item_pos", "seeds"), "rare")
     pairs = hits.join(rare, "seed").groupBy("doc_id", "item_id").agg(F.collect_list(F.expr("doc_pos - item_pos")).alias("diags"), F.max("seeds").alias("seeds"))
     cands = pairs.where(F.size("diags") >= F.least(F.lit(2), "seeds")).join(items, "item_id")

@@ -52,26 +52,77 @@ def chunk_bounds(raw: np.ndarray, off: np.ndarray, bits: int, min_bytes: int) ->
     return starts, ends, np.searchsorted(off, starts, "right") - 1
 
 
+_ROW = "h1 long, h2 long, doc_id long, start int, end int, words int, again boolean"
+_NAMES = ["h1", "h2", "doc_id", "start", "end", "words", "again"]
+#: Chunks that a task holds before it sends their first occurrences on.
+HELD = 3_000_000
+
+
+def _places(first: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether each row stands where its digest's first row does (rows come grouped, first ones marked)."""
+    head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+    return (doc == doc[head]) & (start == start[head])
+
+
 def _chunks(bits: int, min_bytes: int):
+    """Chunks of all texts. Within a task, all but a digest's first occurrence are told as repeated already, so a hot chunk leaves a task once."""
+
+    def send(held):
+        h1, h2, doc, start, end, words = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((start, doc, h2, h1))
+        h1, h2, doc, start, end, words = (x[order] for x in (h1, h2, doc, start, end, words))
+        first = _places(np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]), doc, start)
+        # What is told needs no digest any more; any key will do to spread it.
+        h1[~first] = tk.mix(np.flatnonzero(~first).astype(np.uint64)).view(np.int64)
+        for i in range(0, len(h1), 100_000):
+            j = slice(i, i + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(x[j]) for x in (h1, h2, doc, start, end, words, ~first)], _NAMES)
+
     def fn(batches):
+        held, size = [], 0
         for batch in batches:
             for part in tk.chunks(batch, "text"):
                 raw, off = tk.text_bytes(part.column("text"))
                 starts, ends, doc = chunk_bounds(raw, off, bits, min_bytes)
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+                ids = part.column("doc_id").to_numpy()
                 # Leading and trailing white space is no part of the digest: a chunk equals its copy at a text's end.
                 w0, w1, _ = tk.word_bounds(raw, off)
                 a, b = np.searchsorted(w0, starts), np.searchsorted(w0, ends)
                 some = b > a
-                s, e = starts.copy(), starts.copy()
-                s[some], e[some] = w0[a[some]], w1[b[some] - 1]
-                h1, h2 = tk.span_hash(raw, s, e), tk.span_hash(raw, s, e, 1)
-                cols = [pa.array(ids[doc], pa.int64()), pa.array((starts - off[doc]).astype(np.int32)), pa.array((ends - off[doc]).astype(np.int32)), pa.array((b - a).astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))]
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(some)) for c in cols], ["doc_id", "start", "end", "words", "h1", "h2"])
+                starts, ends, doc, a, b = (x[some] for x in (starts, ends, doc, a, b))
+                if not len(starts):
+                    continue
+                s, e = w0[a], w1[b - 1]
+                h1, h2 = (tk.span_hash(raw, s, e, salt).view(np.int64) for salt in (0, 1))
+                held.append((h1, h2, ids[doc], (starts - off[doc]).astype(np.int32), (ends - off[doc]).astype(np.int32), (b - a).astype(np.int32)))
+                size += len(starts)
+                if size > HELD:
+                    yield from send(held)
+                    held, size = [], 0
+        if held:
+            yield from send(held)
 
     return fn
 
 
+def _repeated(batches):
+    """Of rows sorted by digest and place, all but each digest's first, and what was told before."""
+    head = None  # digest and place of the last digest's first row
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h1, h2, doc, start = (batch.column(c).to_numpy() for c in ("h1", "h2", "doc_id", "start"))
+        again = batch.column("again").to_numpy(zero_copy_only=False)
+        if head is not None:
+            h1, h2, doc, start = (np.concatenate([[x], y]) for x, y in zip(head, (h1, h2, doc, start), strict=True))
+        first = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+        same = _places(first, doc, start)
+        at = int(np.flatnonzero(first)[-1])
+        keep = again | ~same[len(same) - len(again) :]
+        head = (h1[at], h2[at], doc[at], start[at])
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("doc_id", "start", "end", "words")], ["doc_id", "start", "end", "words"])
+
+
 def _cut(min_words: int):
     def fn(batches):
         for batch in batches:
@@ -106,7 +157,7 @@ def _cut(min_words: int):
     return fn
 
 
-def substring_dedup(docs: DataFrame, min_words: int = 20, bits: int = 5, min_bytes: int = 12) -> DataFrame:
+def substring_dedup(docs: DataFrame, min_words: int = 20, bits: int = 4, min_bytes: int = 8) -> DataFrame:
     """Cut passages out of texts that stand elsewhere before.
 
     ``docs`` needs ``doc_id`` (long) and ``text``. Returns one row per input
@@ -114,17 +165,20 @@ def substring_dedup(docs: DataFrame, min_words: int = 20, bits: int = 5, min_byt
     (byte spans of the UTF-8 text). A chunk has about ``2 ** bits + min_bytes``
     bytes; a repeated passage loses all chunks that lie wholly in it.
 
-    Null and empty texts come back as they are. A null doc_id stands after all
-    others. Rows that repeat a doc_id and a text stay as the first occurrence
-    would, as position and id are all that tells them apart. Texts of one
-    repeated passage (a line written many times) keep its first occurrence.
+    Null and empty texts come back as they are, and so do rows without doc_id
+    and rows whose doc_id stands with different texts: neither takes part. Rows
+    that repeat a doc_id and its text count as one. A line written many times
+    keeps its first occurrence.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks = src.mapInArrow(_chunks(bits, min_bytes), "doc_id long, start int, end int, words int, h1 long, h2 long")
-    place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.col("start").alias("s"))
-    first = materialize(chunks.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first"), "repeated")
-    again = chunks.join(first, ["h1", "h2"]).where(place > F.col("first")).select("doc_id", "start", "end", "words").distinct()
+    known = src.where("doc_id is not null and text is not null")
+    h = F.xxhash64("text")
+    torn = materialize(known.groupBy("doc_id").agg(F.min(h).alias("a"), F.max(h).alias("z")).where("a <> z").select("doc_id"), "torn")
+    if not torn.isEmpty():
+        known = known.join(torn, "doc_id", "left_anti")
+    chunks = known.mapInArrow(_chunks(bits, min_bytes), _ROW).repartition("h1", "h2").sortWithinPartitions("h1", "h2", "again", "doc_id", "start")
+    again = chunks.mapInArrow(_repeated, "doc_id long, start int, end int, words int")
     spans = again.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "words")).alias("spans")).where(F.aggregate("spans", F.lit(0), lambda a, x: a + x["words"]) >= min_words)
-    spans = materialize(spans, "spans").withColumnRenamed("doc_id", "d")
-    joined = src.join(spans, F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "text", "spans")
+    spans = materialize(spans.select(F.col("doc_id").alias("d"), "spans"), "spans")
+    joined = src.join(spans, F.col("doc_id") == F.col("d"), "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut(min_words), "doc_id long, text string, words_removed int, spans_removed array<struct<start:int,end:int>>")
