@@ -168,5 +168,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold:
     pairs = hits.join(rare, "seed").groupBy("doc_id", "item_id").agg(F.collect_list(F.expr("doc_pos - item_pos")).alias("diags"), F.max("seeds").alias("seeds"))
     cands = pairs.where(F.size("diags") >= F.least(F.lit(2), "seeds")).join(items, "item_id")
     per_doc = materialize(cands.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "diags", "seeds", "words")).alias("cands")), "candidates")
-    found = src.join(per_doc, "doc_id").select("doc_id", "text", "cands").mapInArrow(_align(slack, threshold), "doc_id long, item_id long, score double, last_word int")
+    # Candidates grow with the corpus: one plan at every size, never a broadcast that turns into a shuffle.
+    found = src.join(per_doc.hint("merge"), "doc_id").select("doc_id", "text", "cands").mapInArrow(_align(slack, threshold), "doc_id long, item_id long, score double, last_word int")
     return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "last_word")).alias("m")).select("doc_id", "item_id", "m.score", "m.last_word")
