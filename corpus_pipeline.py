@@ -43,7 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages that stand in an earlier document; texts left empty go."""
     cut = substring_dedup(docs).where("words_removed > 0").select("doc_id", F.col("text").alias("cut_text"))
-    joined = docs.join(materialize(cut, "cut"), "doc_id", "left")
+    joined = docs.join(materialize(cut, "cut").hint("merge"), "doc_id", "left")
     text = F.coalesce("cut_text", "text")
     out = joined.withColumn("n_chars", F.when(F.col("cut_text").isNull(), F.col("n_chars")).otherwise(F.length("cut_text")).cast("long")).withColumn("text", text)
     return out.where(F.col("cut_text").isNull() | F.col("cut_text").rlike(r"\S")).select(*docs.columns)
@@ -52,7 +52,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a test item of ``benchmark``."""
     found = materialize(contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(found.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
