@@ -7,7 +7,8 @@ threshold share at least ``branching`` sampled tokens in expectation, so they
 stay together with probability ``(1 - exp(-branching)) ** depth`` at worst.
 Sets that share a path share a bucket; a bucket above ``leaf`` sets is split
 once more on the next level's tokens, a smaller one is compared by brute force
-on 128-bit one-bit sketches. Runs repeat until the target recall is met. What a
+on 128-bit one-bit sketches. A large bucket that is one family of near copies
+but for a slice of other sets is not split: these meet the family in slices. Runs repeat until the target recall is met. What a
 bucket yields are star edges, one row per set at most. Connected sets then meet
 in blocks, where the exact Jaccard similarity of every pair is computed from
 the shingles; each pair is met once, and only counts and star edges leave a
@@ -27,6 +28,7 @@ from wattlake.llm import textkit as tk
 from wattlake.llm.shared import connected_components, materialize
 
 DEPTH = 3
+SLICE = 1024  # sets of one side of a cell of a large bucket
 SKETCH_LEAST = 101  # of 128 bits; 0.8 gives 115 with a deviation of 3.4
 _FACTORS = tk.mix(np.arange(1, 129, dtype=np.uint64)) | np.uint64(1)
 
@@ -171,6 +173,15 @@ def _families(big: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
     return pairs.where(alike).select(F.col("rep").alias("src"), F.col("head").alias("dst"))
 
 
+def _outsiders(big: DataFrame, mains: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
+    """Edges of large buckets with one main family: slices of the family each meet the few other sets."""
+    k = F.ceil(F.col("n") / SLICE).cast("int")
+    own = F.pmod(F.xxhash64("rep"), k).cast("int")
+    place = F.when(F.col("family") == F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0), k - 1))
+    cells = big.join(mains, "path").select("path", "rep", "family", F.explode(place).alias("x")).join(marks, "rep")
+    return cells.select("path", "x", "family", "size", "sk1", "sk2").groupBy("path", "x").applyInArrow(_cell_edges(threshold), "src long, dst long")
+
+
 def _paths(reps: DataFrame, runs: int, leaf: int, threshold: float) -> DataFrame:
     """Edges between sets that share a chosen path and are alike."""
     marks = reps.select("rep", "size", "sk1", "sk2")
@@ -191,11 +202,16 @@ def _paths(reps: DataFrame, runs: int, leaf: int, threshold: float) -> DataFrame
             family = materialize(connected_components(same).select(F.col("node").alias("rep"), F.col("component").alias("of")), "family")
             big = big.join(family, "rep", "left").withColumn("family", F.coalesce("of", "family")).drop("of")
         if level < DEPTH:
+            big = materialize(big, f"big{level}")
+            most = big.groupBy("path", "family").agg(F.count("*").alias("m")).groupBy("path").agg(F.sum("m").alias("n"), F.max(F.struct("m", "family")).alias("top"))
+            most = materialize(most.select("path", "n", F.col("top.family").alias("main"), (F.col("n") - F.col("top.m")).alias("others")).where("others > 0"), f"mains{level}")
+            edges = edges.union(_outsiders(big, most.where(f"others <= {SLICE}"), marks, threshold))
+            big = big.join(most.where(f"others > {SLICE}").select("path"), "path")
             split = big.join(reps.select("rep", "tokens"), "rep")
             buckets = split.select("rep", "run", "path", "family", F.explode(F.expr(f"tokens[run][{level}]")).alias("t")).select("rep", "run", F.xxhash64("path", "t").alias("path"), "family")
         else:
             # Still together on every level: slices of the bucket meet in pairs.
-            sliced = big.join(sized, "path").join(marks, "rep").withColumn("k", F.ceil(F.col("n") / 1024).cast("int")).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
+            sliced = big.join(sized, "path").join(marks, "rep").withColumn("k", F.ceil(F.col("n") / SLICE).cast("int")).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
             cells = sliced.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")).select("path", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), "family", "size", "sk1", "sk2")
             edges = edges.union(cells.groupBy("path", "x", "y").applyInArrow(_cell_edges(threshold), "src long, dst long"))
     return edges.distinct()
