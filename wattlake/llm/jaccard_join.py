@@ -269,9 +269,24 @@ def _verify(threshold: float):
     return fn
 
 
+def _packed(batches):
+    """Texts as Zstandard frames, so that the shuffle to their components carries less."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        frames = [pack(t.encode()) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(frames, pa.binary())], ["doc_id", "mark", "packed"])
+
+
 def _shingles_of(k: int):
     def fn(batches):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
+            text = pa.array([unpack(p).decode() for p in batch.column("packed").to_pylist()], pa.string())
+            batch = pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("component"), batch.column("copies"), text], ["rep", "component", "copies", "text"])
             for part in tk.chunks(batch, "text"):
                 sets = [s.view(np.int64) for s in shingle_sets(part.column("text"), k)]
                 off = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
@@ -294,8 +309,8 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: fl
     A text under ``k`` words counts as one shingle. Null and empty texts, or
     texts without a word, have no shingles and link to nothing. A null doc_id is
     a row of its own: it links to nothing. Rows that repeat a doc_id with the
-    same text are copies of each other; with different texts, the smallest one
-    stands for all of them. Empty input gives no rows.
+    same text are copies of each other; with different texts, the one of the
+    smallest hash stands for all of them. Empty input gives no rows.
     """
     runs = runs_for(recall, branching)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -306,8 +321,9 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: fl
     )
     comp = materialize(connected_components(_paths(reps, runs, leaf, threshold)), "components")
     members = reps.select("rep", "copies").groupBy("rep").agg(F.sum("copies").alias("copies")).join(comp.withColumnRenamed("node", "rep"), "rep")
-    text = src.join(members.select(F.col("rep").alias("doc_id"), "component", "copies"), "doc_id").groupBy("doc_id", "component", "copies").agg(F.min("text").alias("text"))
-    shingled = materialize(text.withColumnRenamed("doc_id", "rep").mapInArrow(_shingles_of(k), "rep long, component long, copies long, shingles array<long>"), "shingles")
+    packed = src.where("text is not null").withColumn("mark", F.xxhash64("text")).mapInArrow(_packed, "doc_id long, mark long, packed binary")
+    text = packed.join(members.select(F.col("rep").alias("doc_id"), "component", "copies"), "doc_id").groupBy("doc_id", "component", "copies").agg(F.min(F.struct("mark", "packed")).alias("t"))
+    shingled = materialize(text.select(F.col("doc_id").alias("rep"), "component", "copies", F.col("t.packed").alias("packed")).mapInArrow(_shingles_of(k), "rep long, component long, copies long, shingles array<long>"), "shingles")
     # Deal the sets of a large component to salted blocks, pack small components together.
     sizes = materialize(shingled.groupBy("component").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     packs = max(1, shingled.count() // 500)
