@@ -159,6 +159,15 @@ def _cell_edges(threshold: float):
     return fn
 
 
+def _same_sets():
+    """Aggregates that tell buckets of equal members.
+
+    In one run their next tokens split them alike, and where sets are compared
+    their run does not matter: one of them stands for all.
+    """
+    return F.min("run").alias("run"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(20,0)")).alias("s")
+
+
 def _families(big: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
     """rep and family: sets of large buckets whose sketches are like their buckets' first sets' fall together.
 
@@ -203,15 +212,19 @@ def _paths(reps: DataFrame, runs: int, leaf: int, threshold: float) -> DataFrame
             big = big.join(family, "rep", "left").withColumn("family", F.coalesce("of", "family")).drop("of")
         if level < DEPTH:
             big = materialize(big, f"big{level}")
-            most = big.groupBy("path", "family").agg(F.count("*").alias("m")).groupBy("path").agg(F.sum("m").alias("n"), F.max(F.struct("m", "family")).alias("top"))
-            most = materialize(most.select("path", "n", F.col("top.family").alias("main"), (F.col("n") - F.col("top.m")).alias("others")).where("others > 0"), f"mains{level}")
-            edges = edges.union(_outsiders(big, most.where(f"others <= {SLICE}"), marks, threshold))
-            big = big.join(most.where(f"others > {SLICE}").select("path"), "path")
+            most = big.groupBy("path", "family").agg(F.count("*").alias("m"), *_same_sets()).groupBy("path")
+            most = most.agg(F.sum("m").alias("n"), F.max(F.struct("m", "family")).alias("top"), F.min("run").alias("run"), F.bit_xor("x").alias("x"), F.sum("s").alias("s"))
+            most = materialize(most.select("path", "n", "run", "x", "s", F.col("top.family").alias("main"), (F.col("n") - F.col("top.m")).alias("others")).where("others > 0"), f"mains{level}")
+            met = most.where(f"others <= {SLICE}").groupBy("n", "x", "s").agg(F.min(F.struct("path", "main")).alias("one"))
+            edges = edges.union(_outsiders(big, met.select("one.path", "n", "one.main"), marks, threshold))
+            big = big.join(most.where(f"others > {SLICE}").groupBy("run", "n", "x", "s").agg(F.min("path").alias("path")).select("path"), "path")
             split = big.join(reps.select("rep", "tokens"), "rep")
             buckets = split.select("rep", "run", "path", "family", F.explode(F.expr(f"tokens[run][{level}]")).alias("t")).select("rep", "run", F.xxhash64("path", "t").alias("path"), "family")
         else:
             # Still together on every level: slices of the bucket meet in pairs.
-            sliced = big.join(sized, "path").join(marks, "rep").withColumn("k", F.ceil(F.col("n") / SLICE).cast("int")).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
+            big = materialize(big, f"big{level}")
+            once = big.groupBy("path").agg(F.count("*").alias("n"), *_same_sets()).groupBy("n", "x", "s").agg(F.min("path").alias("path"))
+            sliced = big.join(materialize(once.select("path", "n"), "once"), "path").join(marks, "rep").withColumn("k", F.ceil(F.col("n") / SLICE).cast("int")).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
             cells = sliced.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")).select("path", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), "family", "size", "sk1", "sk2")
             edges = edges.union(cells.groupBy("path", "x", "y").applyInArrow(_cell_edges(threshold), "src long, dst long"))
     return edges.distinct()
@@ -280,19 +293,21 @@ def _packed(batches):
 
 
 def _shingles_of(k: int):
+    kept = ["rep", "component", "copies", "n"]
+
     def fn(batches):
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             text = pa.array([unpack(p).decode() for p in batch.column("packed").to_pylist()], pa.string())
-            batch = pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("component"), batch.column("copies"), text], ["rep", "component", "copies", "text"])
+            batch = pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), text], [*kept, "text"])
             for part in tk.chunks(batch, "text"):
                 sets = [s.view(np.int64) for s in shingle_sets(part.column("text"), k)]
                 off = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-                arrays = [part.column("rep"), part.column("component"), part.column("copies"), pa.ListArray.from_arrays(pa.array(off), pa.array(flat, pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["rep", "component", "copies", "shingles"])
+                arrays = [*(part.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(off), pa.array(flat, pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, [*kept, "shingles"])
 
     return fn
 
@@ -319,16 +334,17 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: fl
     reps = materialize(
         known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sk1").alias("sk1"), F.first("sk2").alias("sk2"), F.first("tokens").alias("tokens")), "reps"
     )
-    comp = materialize(connected_components(_paths(reps, runs, leaf, threshold)), "components")
+    comp = materialize(connected_components(materialize(_paths(reps, runs, leaf, threshold), "edges")), "components")
+    sizes = materialize(comp.groupBy("component").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    comp = materialize(comp.join(sizes, "component"), "sized")
     members = reps.select("rep", "copies").groupBy("rep").agg(F.sum("copies").alias("copies")).join(comp.withColumnRenamed("node", "rep"), "rep")
     packed = src.where("text is not null").withColumn("mark", F.xxhash64("text")).mapInArrow(_packed, "doc_id long, mark long, packed binary")
-    text = packed.join(members.select(F.col("rep").alias("doc_id"), "component", "copies"), "doc_id").groupBy("doc_id", "component", "copies").agg(F.min(F.struct("mark", "packed")).alias("t"))
-    shingled = materialize(text.select(F.col("doc_id").alias("rep"), "component", "copies", F.col("t.packed").alias("packed")).mapInArrow(_shingles_of(k), "rep long, component long, copies long, shingles array<long>"), "shingles")
+    text = packed.join(members.select(F.col("rep").alias("doc_id"), "component", "copies", "n"), "doc_id").groupBy("doc_id", "component", "copies", "n").agg(F.min(F.struct("mark", "packed")).alias("t"))
+    shingled = text.select(F.col("doc_id").alias("rep"), "component", "copies", "n", F.col("t.packed").alias("packed")).mapInArrow(_shingles_of(k), "rep long, component long, copies long, n long, shingles array<long>")
     # Deal the sets of a large component to salted blocks, pack small components together.
-    sizes = materialize(shingled.groupBy("component").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    packs = max(1, shingled.count() // 500)
+    packs = max(1, comp.count() // 500)
     blocks = F.ceil(F.col("n") / block).cast("int")
-    parts = shingled.join(sizes, "component").withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    parts = shingled.withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     cells = parts.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select(
         F.when(F.col("blocks") > 1, F.col("component")).otherwise(-1).alias("solo"),
         F.when(F.col("blocks") > 1, -1).otherwise(F.pmod(F.xxhash64("component"), F.lit(packs))).alias("pack"),
