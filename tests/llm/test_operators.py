@@ -71,6 +71,17 @@ def test_jaccard_join_matches_brute_force(spark, corpus):
         assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got if r["doc_id"] is not None) == want
 
 
+def test_jaccard_join_links_copies_of_either_side_of_any_size(spark):
+    from wattlake.llm.jaccard_join import jaccard_join
+
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(words[:n])) for i, n in enumerate((2044, 2064, 2051, 2052))] + [(9, " ".join(reversed(words[:2064])))]
+    sizes = [len(shingles(t)) for _, t in rows]
+    assert sizes == [2040, 2060, 2047, 2048, 2060]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join(frame(spark, rows)).collect()}
+    assert got == {**{i: (0, 3) for i in range(4)}, 9: (9, 0)}
+
+
 def test_jaccard_join_empty(spark):
     from wattlake.llm.jaccard_join import jaccard_join
 

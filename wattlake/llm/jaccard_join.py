@@ -63,18 +63,13 @@ def shingle_sets(col: pa.Array, k: int) -> list[np.ndarray]:
 
 
 def sketch(s: np.ndarray) -> tuple[int, int]:
-    """128 one-bit minhashes: of 128 hashes, or for large sets of the 128 bins of one."""
-    if len(s) < 128 * 16:
-        least = np.empty(128, tk.U64)
+    """128 one-bit minhashes, by the same hashes for sets of every size: near copies meet whatever their sizes."""
+    least = np.full(128, np.iinfo(np.uint64).max, tk.U64)
+    for i in range(0, len(s), 4096):
         for a in range(0, 128, 32):
-            h = s[None, :] * _FACTORS[a : a + 32, None]
+            h = s[None, i : i + 4096] * _FACTORS[a : a + 32, None]
             h ^= h >> tk.U64(29)
-            least[a : a + 32] = h.min(1)
-    else:
-        v = np.sort(tk.mix(s ^ tk.seed(77)))
-        edge = np.searchsorted(v >> tk.U64(57), np.arange(129, dtype=tk.U64))
-        at = np.flatnonzero(edge[1:] > edge[:-1])
-        least = v[edge[at[np.searchsorted(at, np.arange(128)) % len(at)]]] + np.arange(128, dtype=tk.U64)
+            least[a : a + 32] = np.minimum(least[a : a + 32], h.min(1))
     bits = (least * tk.U64(0x9E3779B97F4A7C15) >> tk.U64(63)).astype(np.uint8)
     return tuple(int(x) for x in np.packbits(bits).view(np.int64))
 
