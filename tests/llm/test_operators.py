@@ -158,6 +158,18 @@ def test_contamination(spark):
     assert smith_waterman(a, b)[0].tolist() == [slow(x, y) for x, y in zip(a, b, strict=True)]
 
 
+def test_contamination_finds_edited_copies_beside_exact_ones(spark):
+    from wattlake.llm.decontaminate import contamination
+
+    words = [f"w{i}" for i in range(40)]
+    edited = [f"x{i}" if i % 3 == 0 and i < 30 else w for i, w in enumerate(words)]  # ten words: the last seeds stay
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    docs = [(1, " ".join(words)), (2, " ".join(edited)), (3, "other words that stand in no item")]
+    for bound in (10_000, 0):
+        got = {r["doc_id"]: r["score"] for r in contamination(frame(spark, docs), bench, seeds_in_memory=bound).collect()}
+        assert set(got) == {1, 2} and got[1] == 1.0 and 0.5 <= got[2] < 1
+
+
 def test_language(spark):
     from wattlake.llm.language_id import identify, train
 

@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Seeds are word n-grams of the test items. One pass over the corpus finds every
-place where a seed stands and counts it. Of each item the rarer half of its
-seeds join it to passages; seeds on one diagonal make a candidate, whose window
-is aligned with the item word by word. The score is the alignment's share of a
+place where a seed stands. All of an item's seeds join it to passages; two seeds
+near one diagonal make a candidate, whose window is aligned with the item word
+by word. The score is the alignment's share of a
 perfect one, so edited copies score by how much of the item they keep.
 """
 
@@ -160,12 +160,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold:
         known = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in distinct.collect()], np.int64).view(np.uint64)))
     hits = src.mapInArrow(_hits(n, known), "doc_id long, seed long, doc_pos int")
     hits = materialize(hits if known is not None else hits.join(distinct, "seed").select("doc_id", "seed", "doc_pos"), "hits")
-    # Of each item's seeds that stand anywhere, the rarer half, four at least; frequencies cover all documents.
-    often = hits.groupBy("seed").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("item_id").orderBy("n", "seed", "item_pos")
-    ranked = seeds.join(often, "seed").withColumn("rank", F.row_number().over(order)).withColumn("seeds", F.count("*").over(Window.partitionBy("item_id")))
-    rare = materialize(ranked.where(F.col("rank") <= F.greatest(F.ceil(F.col("seeds") / 2), F.lit(4))).select("item_id", "seed", "item_pos", "seeds"), "rare")
-    pairs = hits.join(rare, "seed").groupBy("doc_id", "item_id").agg(F.collect_list(F.expr("doc_pos - item_pos")).alias("diags"), F.max("seeds").alias("seeds"))
+    # Every seed joins: those that an edited copy keeps are no rarer than those that only an exact one has.
+    occur = seeds.join(hits.select("seed").distinct(), "seed").withColumn("seeds", F.count("*").over(Window.partitionBy("item_id")))
+    occur = materialize(occur.select("item_id", "seed", "item_pos", "seeds"), "occurring")
+    pairs = hits.join(occur, "seed").groupBy("doc_id", "item_id").agg(F.collect_list(F.expr("doc_pos - item_pos")).alias("diags"), F.max("seeds").alias("seeds"))
     cands = pairs.where(F.size("diags") >= F.least(F.lit(2), "seeds")).join(items, "item_id")
     per_doc = materialize(cands.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "diags", "seeds", "words")).alias("cands")), "candidates")
     # Candidates grow with the corpus: one plan at every size, never a broadcast that turns into a shuffle.
