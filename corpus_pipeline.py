@@ -21,6 +21,11 @@ from wattlake.llm.substring_dedup import substring_dedup
 LEAST_LANGUAGE_SCORE = 0.5
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """``docs`` and ``row``, by which documents are told whose doc_id is null or reused."""
+    return docs.withColumn("row", F.xxhash64("doc_id", "text"))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents with letters whose language is told with at least an even chance."""
     model = train(docs)
@@ -34,10 +39,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates: the smallest doc_id."""
-    keep = jaccard_join(docs).where("class_id = doc_id").select("doc_id").distinct()
-    one = docs.join(keep, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("row"))
-    return one.select("doc_id", "row.*").select(*docs.columns)
+    """Keep one document of each group of near duplicates: the smallest doc_id.
+
+    Rows are told by doc_id and text: different texts of one doc_id are
+    documents of their own, equal ones collapse. Rows without doc_id link to
+    nothing and all stay.
+    """
+    known = told_apart(docs.where("doc_id is not null"))
+    groups = jaccard_join(known.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "class_id").distinct()
+    first = known.select("row", "doc_id").join(groups, "row").groupBy("class_id").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    keep = materialize(first.select("first.row"), "kept")
+    one = known.join(keep.hint("merge"), "row").groupBy("row").agg(F.min(F.struct(*docs.columns)).alias("one"))
+    return one.select("one.*").union(docs.where("doc_id is null"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +63,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a test item of ``benchmark``."""
-    found = materialize(contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "contaminated")
-    return docs.join(found.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """Drop documents that hold a test item of ``benchmark``; a doc_id's other texts and rows without doc_id are told apart."""
+    rows = told_apart(docs)
+    found = contamination(rows.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    found = materialize(found.select(F.col("doc_id").alias("row")).distinct(), "contaminated")
+    return rows.join(found.hint("merge"), "row", "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

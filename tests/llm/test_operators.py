@@ -368,3 +368,17 @@ def test_pipeline_small(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "repeated_passages", "decontaminate", "packing"]
+
+
+def test_pipeline_keeps_rows_without_or_with_reused_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    a, b, c, d, e = (text(rng, 80) for _ in range(5))
+    rows = [(5, a), (7, edit(rng, a, 1)), (7, b), (7, b), (8, c), (8, d), (3, c), (None, e), (None, text(rng, 60))]
+    docs = frame(spark, rows)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert Counter(map(tuple, kept)) == Counter([(5, a), (7, b), (8, d), (3, c), *rows[-2:]])
+    spark.createDataFrame([(1, b), (2, e)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()
+    assert Counter(map(tuple, left)) == Counter(r for r in rows if r[1] not in (b, e))
