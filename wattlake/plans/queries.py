@@ -167,11 +167,11 @@ r AS (SELECT u AS node, u AS root FROM s UNION SELECT s.v, r.root FROM r JOIN s
 SELECT node, min(root) AS component FROM r GROUP BY 1""")
 def asset_components(spark, sf_dir):
     """Duplicate plants: components of the pairs that share an identifier."""
-    from wattlake.operators.graph import components
+    from wattlake.operators.graph import connected_components
 
     s = t(spark, sf_dir, "supplier").select("s_suppkey")
     e = s.where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("src"), ((F.col("s_suppkey") * 7 + 3) % 1000).alias("dst"))
-    return components(e.join(s.select(F.col("s_suppkey").alias("dst")), "dst", "left_semi"))
+    return connected_components(e.join(s.select(F.col("s_suppkey").alias("dst")), "dst", "left_semi"))
 
 
 @query(r"""
