@@ -1,64 +1,58 @@
-"""Written intermediate tables in the cluster's shared folder, and connected components.
+"""Written intermediate tables in the cluster's shared folder.
 
 Lineage is cut with Parquet tables under ``spark.checkpoint.dir``; a lost
 executor then costs a re-read, not a recomputation. The folder is read from the
-session; one of our own is used only where none is set (tests).
+session; without that setting only a local session has one of its own (tests).
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from wattlake.operators.graph import connected_components, drop_tables, shared_root
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this application: ``<spark.checkpoint.dir>/wattlake/<app id>``."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = f"file://{tempfile.gettempdir()}/wattlake-shared"  # unset: a local session, as in tests
-    return f"{root.rstrip('/')}/wattlake/{spark.sparkContext.applicationId}"
+    return f"{shared_root(spark)}/wattlake/{spark.sparkContext.applicationId}"
+
+
+class Scratch:
+    """Intermediate tables of one call; those that no later plan reads are dropped, so that disk holds what is in use."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.tables = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}", {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` and return the table as read back."""
+        path = f"{self.root}/{name}-{len(self.tables)}"
+        df.write.parquet(path)
+        self.tables[path] = name
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete the tables of these names; what reads them must have been written."""
+        self._delete([p for p, n in self.tables.items() if n and n in names])
+
+    def keep(self, *names: str) -> None:
+        """Delete all tables but those of these names."""
+        self._delete([p for p, n in self.tables.items() if n and n not in names])
+
+    def _delete(self, paths: list[str]) -> None:
+        drop_tables(self.spark, paths)
+        for p in paths:
+            self.tables[p] = ""
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table as read back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared folder and return the table as read back; it stays."""
+    return Scratch(df.sparkSession).write(df, name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Components of an undirected graph by alternating large and small stars.
-
-    ``edges`` has ``src`` and ``dst`` (long). Returns ``node`` and ``component``
-    (the smallest node id of it) for every node that has an edge; no edges give
-    no rows. Each round keeps at most one row per edge and is written to the
-    shared folder, so neither rows nor lineage grow. Self loops, repeated edges
-    and either direction are allowed; null ends are ignored.
-    """
-    e = edges.select(F.col("src").cast("long").alias("u"), F.col("dst").cast("long").alias("v")).where("u is not null and v is not null")
-    nodes = e.select(F.col("u").alias("node")).union(e.select(F.col("v").alias("node"))).distinct()
-    e = materialize(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
-    for _ in range(rounds):
-        # Large star: larger neighbours move to the smallest of the neighbourhood. The minima are
-        # written first: with a plain exchange on either side, a hot centre's edges can be split.
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-low")
-        large = materialize(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cc-large")
-        # Small star: a node and its smaller neighbours move to the smallest of these.
-        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        e = materialize(small, "cc")
-        # Stars only: no node has two parents, no parent is a child.
-        if e.groupBy("u").count().where("count > 1").isEmpty() and e.select("v").distinct().join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+__all__ = ["Scratch", "connected_components", "materialize", "shared_dir", "table"]
