@@ -1,6 +1,7 @@
 """Every registered query of the regional engine against its SQL in DuckDB."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from wattlake.plans.registry import ORACLES, QUERIES
@@ -11,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events".split()
 
 def rows(df, columns):
     def plain(x):
-        if x is None or x != x:
+        if x is None or x is pd.NA or x != x:
             return None
         if hasattr(x, "year"):
             return str(x)[:19].removesuffix(" 00:00:00")

@@ -19,6 +19,14 @@ def shared_root(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/wattlake-shared"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table of the shared folder: computed once, however often it is read, and safe from lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/wattlake/{spark.sparkContext.applicationId}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def drop_tables(spark: SparkSession, paths: list[str]) -> None:
     for p in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(p)

@@ -95,17 +95,29 @@ def circular_bounds(df: DataFrame, key: str, lon: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(lon)
     whole = Window.partitionBy(key)
     gaps = d.withColumn("next", F.coalesce(F.lead(lon).over(w), F.min(lon).over(whole) + 360)).withColumn("gap", F.col("next") - F.col(lon))
-    best = F.max(F.struct("gap", (-F.col(lon)).alias("tie"), F.col("next").alias("next"), F.col(lon).alias("east")))
-    out = gaps.groupBy(key).agg(best.alias("m"))
-    west = F.when(F.col("m.next") > 180, F.col("m.next") - 360).otherwise(F.col("m.next"))
-    return out.select(key, west.alias("west"), F.col("m.east").alias("east"))
+    gaps = gaps.withColumn("_west", F.coalesce(F.lead(lon).over(w), F.min(lon).over(whole)))
+    best = F.max(F.struct("gap", (-F.col(lon)).alias("tie"), F.col("_west").alias("west"), F.col(lon).alias("east")))
+    return gaps.groupBy(key).agg(best.alias("m")).select(key, "m.west", "m.east")
+
+
+def circular_centre(df: DataFrame, key: str, lon: str) -> DataFrame:
+    """Each key's mean longitude: values west of the western bound count a turn more, the mean is brought back to -180 to 180."""
+    d = df.join(circular_bounds(df, key, lon), key)
+    turned = F.when(F.col(lon) < F.col("west"), F.col(lon) + 360).otherwise(F.col(lon))
+    mean = F.sum(money(turned)).cast("double") / F.count(lon)
+    return d.groupBy(key).agg(mean.alias("m")).select(key, F.when(F.col("m") > 180, F.col("m") - 360).otherwise(F.col("m")).alias("centre"))
 
 
 def observed_factor(df: DataFrame, key: Sequence[str], year: str, generation: str, capacity: str, least_years: int = 2, least_capacity: float = 100.0) -> DataFrame:
-    """Observed capacity factor of each key: total ratio, lowest and highest year, years, mean capacity; adequate ones only."""
-    yearly = df.groupBy(*key, year).agg(F.sum(money(F.col(generation))).cast("double").alias("g"), F.sum(money(F.col(capacity))).cast("double").alias("c")).where("c > 0")
-    f = F.col("g") / F.col("c")
-    agg = yearly.groupBy(*key).agg((F.sum(money(F.col("g"))).cast("double") / F.sum(money(F.col("c"))).cast("double")).alias("central"), F.min(f).alias("low"), F.max(f).alias("high"), F.count("*").alias("years"), (F.sum(money(F.col("c"))).cast("double") / F.count("*")).alias("mean_capacity"))
+    """Observed capacity factor of each key: generation (GWh) by capacity (MW) times 8.76 GWh a year.
+
+    Central is the ratio of sums, low and high the extreme years, with the years
+    and the mean capacity; adequate ones only. A year without capacity, or with
+    more generation than its capacity can give, is left out.
+    """
+    yearly = df.groupBy(*key, year).agg(F.sum(money(F.col(generation))).cast("double").alias("g"), (F.sum(money(F.col(capacity))).cast("double") * 8.76).alias("c")).where("c > 0 and g >= 0 and g <= c")
+    f, total = F.col("g") / F.col("c"), lambda c: F.sum(money(F.col(c))).cast("double")
+    agg = yearly.groupBy(*key).agg((total("g") / total("c")).alias("central"), F.min(f).alias("low"), F.max(f).alias("high"), F.count("*").alias("years"), (total("c") / 8.76 / F.count("*")).alias("mean_capacity"))
     return agg.where((F.col("years") >= least_years) & (F.col("mean_capacity") >= least_capacity))
 
 
@@ -123,17 +135,23 @@ def best_fields(df: DataFrame, key: Sequence[str], fields: Sequence[str], rank:
 
 
 def shares(df: DataFrame, group: Sequence[str], value: str) -> Column:
+    """Each row's share of its group's sum; a sum of zero raises."""
     total = F.sum(money(F.col(value))).over(Window.partitionBy(*group)).cast("double")
-    return F.when(total > 0, F.col(value) / total)
+    return F.when(total == 0, F.raise_error(F.lit("shares of a zero total")).cast("double")).otherwise(F.col(value) / total)
 
 
 def largest_remainder(df: DataFrame, group: Sequence[str], ident: str, weight: str, total: str) -> DataFrame:
-    """Whole units of ``total`` by weight: floors, then one each by falling fraction (ids break ties)."""
-    exact = F.col(total) * F.col(weight) / F.sum(weight).over(Window.partitionBy(*group))
-    d = df.withColumn("_exact", F.bround(exact, 9)).withColumn("_floor", F.floor("_exact"))
-    rest = F.col(total) - F.sum("_floor").over(Window.partitionBy(*group))
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy((F.col("_exact") - F.col("_floor")).desc(), ident))
-    return d.withColumn("units", (F.col("_floor") + F.when(rank <= rest, 1).otherwise(0)).cast("long")).drop("_exact", "_floor")
+    """Whole units of ``total`` by weight: floors, then one each by falling fraction (ids break ties); null where all weights are zero.
+
+    Weights are summed exactly, so the order of rows does not matter; sums are
+    aggregated and joined back, and only the ranks of the leftovers need a window.
+    """
+    whole = df.groupBy(*group).agg(F.sum(money(F.col(weight))).cast("double").alias("_all"))
+    exact = F.when(F.col("_all") > 0, F.bround(F.col(total).cast("double") * money(F.col(weight)).cast("double") / F.col("_all"), 9))
+    d = df.join(whole, list(group)).withColumn("_exact", exact).withColumn("_floor", F.floor("_exact"))
+    d = d.join(d.groupBy(*group).agg(F.sum("_floor").alias("_given")), list(group))
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy((F.col("_exact") - F.col("_floor")).desc_nulls_last(), ident))
+    return d.withColumn("units", (F.col("_floor") + F.when(rank <= F.col(total) - F.col("_given"), 1).otherwise(0)).cast("long")).drop("_exact", "_floor", "_all", "_given")
 
 
 def residual_to_top(df: DataFrame, group: Sequence[str], ident: str, score: str, value: str, total: str) -> DataFrame:
