@@ -811,3 +811,21 @@ def circular_centre(spark, sf_dir):
     """Mean longitudes on the circle."""
     d = t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n"), ((F.col("c_custkey") * 37 % 97 + F.col("c_nationkey") * 11).cast("double") - 180).alias("lon"))
     return R.circular_centre(d, "n", "lon").select("n", F.round("centre", 6).alias("centre"))
+
+
+@query("""
+SELECT 'a' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS id, (CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END)::INTEGER AS aliases, c_custkey * 1.1::DOUBLE AS mw, 'official_verified' AS source_type FROM customer""")
+def duplicate_assets(spark, sf_dir):
+    """Assets that two feeds report nearby, and a third under a shared id."""
+    from wattlake.operators.assets import dedupe_assets
+
+    k = F.col("c_custkey")
+    ids = lambda c: F.create_map(F.lit("osm"), c)
+    base = lambda d, tag, source, x, mw, own: d.select(
+        F.concat(F.lit(tag), F.lpad(k.cast("string"), 9, "0")).alias("id"), F.concat(F.lit("Site "), k.cast("string")).alias("name"), F.lit("Op").alias("operator"), F.col("c_nationkey").cast("string").alias("country"), F.lit("data_centre").alias("category"), (2026 + k % 5).cast("int").alias("target_year"),
+        (k * mw).cast("double").alias("mw"), (k % 300 - 150 + F.lit(x)).cast("double").alias("lon"), (k % 100 - 50).cast("double").alias("lat"), own.alias("external_ids"), F.lit(source).alias("source_type"), F.lit("exact").alias("location_precision"), F.array(F.lit(tag)).alias("source_ids"),
+    )
+    c = t(spark, sf_dir, "customer")
+    rows = base(c, "a", "community_mapped", 0.95, 1.0, ids(F.concat(F.lit("w"), k.cast("string")))).unionByName(base(c, "b", "official_verified", 1.15, 1.1, ids(F.lit(None).cast("string"))))
+    rows = rows.unionByName(base(c.where("c_custkey % 3 = 0"), "c", "modelled", 20.0, 3.0, ids(F.concat(F.lit("w"), k.cast("string")))))
+    return dedupe_assets(rows).select("id", F.size("aliases").alias("aliases"), "mw", "source_type")
