@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattlake.llm import textkit as tk
-from wattlake.llm.shared import connected_components, materialize
+from wattlake.llm.shared import Scratch, connected_components
 
 DEPTH = 3
 SLICE = 1024  # sets of one side of a cell of a large bucket
 SKETCH_LEAST = 101  # of 128 bits; 0.8 gives 115 with a deviation of 3.4
 _FACTORS = tk.mix(np.arange(1, 129, dtype=np.uint64)) | np.uint64(1)
 
-_SET_SCHEMA = "doc_id long, digest binary, size int, sk1 long, sk2 long, tokens array<array<array<long>>>"
+_SET_SCHEMA = "doc_id long, mark long, digest binary, size int, sk1 long, sk2 long, tokens array<array<array<long>>>"
 
 
 def runs_for(recall: float, branching: float, depth: int = DEPTH) -> int:
@@ -82,18 +82,18 @@ def _sets(threshold: float, k: int, runs: int, branching: float):
 
         for batch in batches:
             for part in tk.chunks(batch, "text"):
-                ids, out = part.column("doc_id").to_pylist(), []
-                for i, s in zip(ids, shingle_sets(part.column("text"), k), strict=True):
+                ids, marks, out = part.column("doc_id").to_pylist(), part.column("mark").to_pylist(), []
+                for i, mark, s in zip(ids, marks, shingle_sets(part.column("text"), k), strict=True):
                     if not len(s):
-                        out.append((i, None, 0, 0, 0, None))
+                        out.append((i, mark, None, 0, 0, 0, None))
                         continue
                     rate = branching / (threshold * len(s))
                     most = tk.U64(min(2**64 - 1, int(rate * 2**64)))
                     toks = [[x[x < most].view(np.int64).tolist() for x in (tk.mix(s ^ salt) for salt in levels)] for levels in salts]
-                    out.append((i, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), *sketch(s), toks))
+                    out.append((i, mark, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), *sketch(s), toks))
                 cols = list(zip(*out, strict=True))
-                kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.list_(pa.int64())))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "digest", "size", "sk1", "sk2", "tokens"])
+                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.list_(pa.int64())))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "mark", "digest", "size", "sk1", "sk2", "tokens"])
 
     return fn
 
@@ -163,14 +163,14 @@ def _same_sets():
     return F.min("run").alias("run"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(20,0)")).alias("s")
 
 
-def _families(big: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
+def _families(big: DataFrame, marks: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """rep and family: sets of large buckets whose sketches are like their buckets' first sets' fall together.
 
     A large group of near copies would stay in one bucket on every path. Its
     members are told by one comparison each, so buckets of a single family need
     no further split, and only what joins different families is looked for.
     """
-    first = materialize(big.groupBy("path").agg(F.min("rep").alias("head")), "heads")
+    first = scratch.write(big.groupBy("path").agg(F.min("rep").alias("head")), "heads")
     head = marks.select(F.col("rep").alias("head"), F.col("size").alias("hs"), F.col("sk1").alias("h1"), F.col("sk2").alias("h2"))
     pairs = big.select("path", "rep").join(first, "path").where("rep <> head").select("rep", "head").distinct().join(marks, "rep").join(head, "head")
     alike = (F.least("size", "hs") >= threshold * F.greatest("size", "hs") - 1e-6) & (F.bit_count(F.col("sk1").bitwiseXOR(F.col("h1"))) + F.bit_count(F.col("sk2").bitwiseXOR(F.col("h2"))) <= 128 - SKETCH_LEAST)
@@ -186,30 +186,30 @@ def _outsiders(big: DataFrame, mains: DataFrame, marks: DataFrame, threshold: fl
     return cells.select("path", "x", "family", "size", "sk1", "sk2").groupBy("path", "x").applyInArrow(_cell_edges(threshold), "src long, dst long")
 
 
-def _paths(reps: DataFrame, runs: int, leaf: int, threshold: float) -> DataFrame:
+def _paths(reps: DataFrame, runs: int, leaf: int, threshold: float, scratch: Scratch) -> DataFrame:
     """Edges between sets that share a chosen path and are alike."""
     marks = reps.select("rep", "size", "sk1", "sk2")
     buckets = reps.select("rep", F.posexplode("tokens").alias("run", "levels")).select("rep", "run", F.explode(F.expr("levels[0]")).alias("t")).select("rep", "run", F.xxhash64("run", "t").alias("path"), F.col("rep").alias("family"))
     edges = None
     for level in range(1, DEPTH + 1):
-        buckets = materialize(buckets, f"paths{level}")
+        buckets = scratch.write(buckets, f"paths{level}")
         sized = buckets.groupBy("path").agg(F.count("*").alias("n"), F.min("family").alias("a"), F.max("family").alias("z"))
-        sized = materialize(sized.where("n > 1 and a < z").select("path", "n"), f"buckets{level}")
+        sized = scratch.write(sized.where("n > 1 and a < z").select("path", "n"), f"buckets{level}")
         small = buckets.select("path", "rep").join(sized.where(f"n <= {leaf}").select("path"), "path").join(marks, "rep")
         members = small.groupBy("path").agg(F.collect_list(F.struct("rep", "size", "sk1", "sk2")).alias("members")).select("members")
         found = members.mapInArrow(_leaf_edges(threshold), "src long, dst long")
         edges = found if edges is None else edges.union(found)
         big = buckets.join(sized.where(f"n > {leaf}").select("path"), "path")
         if level == 1:
-            same = materialize(_families(big, marks, threshold), "families")
+            same = scratch.write(_families(big, marks, threshold, scratch), "families")
             edges = edges.union(same)
-            family = materialize(connected_components(same).select(F.col("node").alias("rep"), F.col("component").alias("of")), "family")
+            family = scratch.write(connected_components(same).select(F.col("node").alias("rep"), F.col("component").alias("of")), "family")
             big = big.join(family, "rep", "left").withColumn("family", F.coalesce("of", "family")).drop("of")
         if level < DEPTH:
-            big = materialize(big, f"big{level}")
+            big = scratch.write(big, f"big{level}")
             most = big.groupBy("path", "family").agg(F.count("*").alias("m"), *_same_sets()).groupBy("path")
             most = most.agg(F.sum("m").alias("n"), F.max(F.struct("m", "family")).alias("top"), F.min("run").alias("run"), F.bit_xor("x").alias("x"), F.sum("s").alias("s"))
-            most = materialize(most.select("path", "n", "run", "x", "s", F.col("top.family").alias("main"), (F.col("n") - F.col("top.m")).alias("others")).where("others > 0"), f"mains{level}")
+            most = scratch.write(most.select("path", "n", "run", "x", "s", F.col("top.family").alias("main"), (F.col("n") - F.col("top.m")).alias("others")).where("others > 0"), f"mains{level}")
             met = most.where(f"others <= {SLICE}").groupBy("n", "x", "s").agg(F.min(F.struct("path", "main")).alias("one"))
             edges = edges.union(_outsiders(big, met.select("one.path", "n", "one.main"), marks, threshold))
             big = big.join(most.where(f"others > {SLICE}").groupBy("run", "n", "x", "s").agg(F.min("path").alias("path")).select("path"), "path")
@@ -217,9 +217,9 @@ def _paths(reps: DataFrame, runs: int, leaf: int, threshold: float) -> DataFrame
             buckets = split.select("rep", "run", "path", "family", F.explode(F.expr(f"tokens[run][{level}]")).alias("t")).select("rep", "run", F.xxhash64("path", "t").alias("path"), "family")
         else:
             # Still together on every level: slices of the bucket meet in pairs.
-            big = materialize(big, f"big{level}")
+            big = scratch.write(big, f"big{level}")
             once = big.groupBy("path").agg(F.count("*").alias("n"), *_same_sets()).groupBy("n", "x", "s").agg(F.min("path").alias("path"))
-            sliced = big.join(materialize(once.select("path", "n"), "once"), "path").join(marks, "rep").withColumn("k", F.ceil(F.col("n") / SLICE).cast("int")).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
+            sliced = big.join(scratch.write(once.select("path", "n"), "once"), "path").join(marks, "rep").withColumn("k", F.ceil(F.col("n") / SLICE).cast("int")).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
             cells = sliced.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")).select("path", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), "family", "size", "sk1", "sk2")
             edges = edges.union(cells.groupBy("path", "x", "y").applyInArrow(_cell_edges(threshold), "src long, dst long"))
     return edges.distinct()
@@ -283,8 +283,9 @@ def _packed(batches):
 
     pack = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
-        frames = [pack(t.encode()) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(frames, pa.binary())], ["doc_id", "mark", "packed"])
+        for part in tk.chunks(batch, "text"):
+            frames = [pack(t.encode()) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(frames, pa.binary())], ["doc_id", "mark", "packed"])
 
 
 def _shingles_of(k: int):
@@ -295,47 +296,53 @@ def _shingles_of(k: int):
 
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            text = pa.array([unpack(p).decode() for p in batch.column("packed").to_pylist()], pa.string())
-            batch = pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), text], [*kept, "text"])
-            for part in tk.chunks(batch, "text"):
-                sets = [s.view(np.int64) for s in shingle_sets(part.column("text"), k)]
-                off = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-                arrays = [*(part.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(off), pa.array(flat, pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, [*kept, "shingles"])
+            for i in range(0, batch.num_rows, 256):
+                some = batch.slice(i, 256)
+                text = pa.array([unpack(p).decode() for p in some.column("packed").to_pylist()], pa.string())
+                some = pa.RecordBatch.from_arrays([*(some.column(c) for c in kept), text], [*kept, "text"])
+                for part in tk.chunks(some, "text"):
+                    sets = [s.view(np.int64) for s in shingle_sets(part.column("text"), k)]
+                    off = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                    flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+                    arrays = [*(part.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(off), pa.array(flat, pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(arrays, [*kept, "shingles"])
 
     return fn
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.9999, branching: float = 3.0, leaf: int = 128, block: int = 512) -> DataFrame:
+def marked_join(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.9999, branching: float = 3.0, leaf: int = 128, block: int = 512, scratch: Scratch | None = None) -> DataFrame:
     """Links between texts whose ``k``-word shingle sets reach ``threshold``, and their groups.
 
     ``docs`` needs ``doc_id`` (long) and ``text``. Returns one row per input row:
-    ``doc_id``, ``copy_id`` (smallest doc_id with the same shingle set),
-    ``class_id`` (smallest doc_id that links lead to), ``n_links`` (other rows
-    at the threshold or above, copies included). Words are lower-cased runs of
-    letters and digits.
+    ``doc_id``, ``mark`` (xxhash64 of the text), ``copy_id`` (smallest doc_id
+    with the same shingle set), ``class_id`` (smallest doc_id that links lead
+    to), ``n_links`` (other rows at the threshold or above, copies included),
+    ``group`` (a number of the class, null where a row can't link).
+    Words are lower-cased runs of letters, marks and digits.
 
     A text under ``k`` words counts as one shingle. Null and empty texts, or
     texts without a word, have no shingles and link to nothing. A null doc_id is
     a row of its own: it links to nothing. Rows that repeat a doc_id with the
-    same text are copies of each other; with different texts, the one of the
-    smallest hash stands for all of them. Empty input gives no rows.
+    same text are copies of each other; with different texts each row has the
+    links of its own text. Very long texts are compared whole. Other columns
+    are ignored. Empty input gives no rows.
     """
-    runs = runs_for(recall, branching)
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = materialize(src.mapInArrow(_sets(threshold, k, runs, branching), _SET_SCHEMA), "sets")
+    runs, scratch = runs_for(recall, branching), scratch or Scratch(docs.sparkSession)
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
+    sets = scratch.write(src.mapInArrow(_sets(threshold, k, runs, branching), _SET_SCHEMA), "sets")
     known = sets.where("doc_id is not null and digest is not null")
-    reps = materialize(
-        known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sk1").alias("sk1"), F.first("sk2").alias("sk2"), F.first("tokens").alias("tokens")), "reps"
-    )
-    comp = materialize(connected_components(materialize(_paths(reps, runs, leaf, threshold), "edges")), "components")
-    sizes = materialize(comp.groupBy("component").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    comp = materialize(comp.join(sizes, "component"), "sized")
-    members = reps.select("rep", "copies").groupBy("rep").agg(F.sum("copies").alias("copies")).join(comp.withColumnRenamed("node", "rep"), "rep")
-    packed = src.where("text is not null").withColumn("mark", F.xxhash64("text")).mapInArrow(_packed, "doc_id long, mark long, packed binary")
-    text = packed.join(members.select(F.col("rep").alias("doc_id"), "component", "copies", "n"), "doc_id").groupBy("doc_id", "component", "copies", "n").agg(F.min(F.struct("mark", "packed")).alias("t"))
-    shingled = text.select(F.col("doc_id").alias("rep"), "component", "copies", "n", F.col("t.packed").alias("packed")).mapInArrow(_shingles_of(k), "rep long, component long, copies long, n long, shingles array<long>")
+    # A set's number is its own, whatever doc_ids its texts have; its home is the text that stands for it.
+    one = known.groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("home"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sk1").alias("sk1"), F.first("sk2").alias("sk2"), F.first("tokens").alias("tokens"))
+    reps = scratch.write(one.select(F.monotonically_increasing_id().alias("rep"), "digest", F.col("home.doc_id").alias("doc_id"), F.col("home.mark").alias("mark"), "copies", "size", "sk1", "sk2", "tokens"), "reps")
+    edges = scratch.write(_paths(reps, runs, leaf, threshold, scratch), "edges")
+    scratch.keep("sets", "reps", "edges")
+    comp = scratch.write(connected_components(edges), "components")
+    sizes = scratch.write(comp.groupBy("component").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    comp = scratch.write(comp.join(sizes, "component"), "sized")
+    members = reps.select("rep", "doc_id", "mark", "copies").join(comp.withColumnRenamed("node", "rep"), "rep")
+    packed = src.where("doc_id is not null and text is not null").mapInArrow(_packed, "doc_id long, mark long, packed binary")
+    text = packed.join(members, ["doc_id", "mark"]).groupBy("doc_id", "mark", "rep", "component", "copies", "n").agg(F.min("packed").alias("packed"))
+    shingled = text.select("rep", "component", "copies", "n", "packed").mapInArrow(_shingles_of(k), "rep long, component long, copies long, n long, shingles array<long>")
     # Deal the sets of a large component to salted blocks, pack small components together.
     packs = max(1, comp.count() // 500)
     blocks = F.ceil(F.col("n") / block).cast("int")
@@ -345,20 +352,28 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: fl
         F.when(F.col("blocks") > 1, -1).otherwise(F.pmod(F.xxhash64("component"), F.lit(packs))).alias("pack"),
         F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"), "component", "rep", "copies", "shingles",
     )
-    links = materialize(cells.groupBy("solo", "pack", "x", "y").applyInArrow(_verify(threshold), "rep long, dst long, links long"), "links")
+    links = scratch.write(cells.groupBy("solo", "pack", "x", "y").applyInArrow(_verify(threshold), "rep long, dst long, links long"), "links")
+    scratch.keep("sets", "reps", "links")
     groups = connected_components(links.select(F.col("rep").alias("src"), F.col("dst")))
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    of_rep = reps.select("digest", "rep", "copies").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").join(counts, "rep", "left")
-    found = known.select("doc_id", "digest").join(materialize(of_rep, "classes"), "digest", "left").select(
-        "doc_id", F.col("rep").alias("copy_id"), F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
-    )
-    alone = sets.where("doc_id is null or digest is null").select("doc_id", F.col("doc_id").alias("copy_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    of_rep = scratch.write(reps.select("digest", "rep", "doc_id", "copies").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").join(counts, "rep", "left"), "of_rep")
+    least = scratch.write(of_rep.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("class_id")), "least")
+    classes = of_rep.join(least, "component", "left").select("digest", F.col("doc_id").alias("copy_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "rep").alias("group"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    classes = scratch.write(classes, "classes")
+    scratch.keep("sets", "classes")
+    found = known.select("doc_id", "mark", "digest").join(classes, "digest", "left").select("doc_id", "mark", "copy_id", "class_id", "n_links", "group")
+    alone = sets.where("doc_id is null or digest is null").select("doc_id", "mark", F.col("doc_id").alias("copy_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("group"))
     return found.union(alone)
 
 
+def jaccard_join(docs: DataFrame, **options) -> DataFrame:
+    """``marked_join`` without the texts' hashes and groups' numbers: doc_id, copy_id, class_id, n_links of every row."""
+    return marked_join(docs, **options).drop("mark", "group")
+
+
 def near_duplicate_groups(docs: DataFrame, **options) -> DataFrame:
     """``jaccard_join`` without the links' counts: doc_id and class_id."""
     return jaccard_join(docs, **options).select("doc_id", "class_id")
 
 
-__all__ = ["jaccard_join", "near_duplicate_groups", "runs_for", "shingle_sets", "sketch"]
+__all__ = ["jaccard_join", "marked_join", "near_duplicate_groups", "runs_for", "shingle_sets", "sketch"]

@@ -109,7 +109,7 @@ def _pieces(path: str, size: int, end_id: int):
     def fn(batches):
         enc, tail, turn = encoder(path), np.array([end_id], "<u4").tobytes(), 0
         for batch in batches:
-            for part in tk.chunks(batch, "text", 2 * tk.CHUNK_BYTES):
+            for part in tk.chunks(batch, "text", 4 * tk.CHUNK_BYTES):
                 ids, at = enc.encode(part.column("text"))
                 data = ids.astype("<u4").tobytes()
                 out = []

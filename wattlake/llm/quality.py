@@ -47,7 +47,7 @@ def features(col: pa.Array) -> np.ndarray:
         totals[name] = s[ends] - s[starts]
     line = np.zeros(256, bool)
     line[10] = True
-    l0, l1, ldoc = tk.word_bounds(raw, off, line)
+    l0, l1, ldoc = tk.word_bounds(raw, off, ~line[raw])
     lines = tk.span_hash(raw, l0, l1) if len(l0) else np.zeros(0, np.uint64)
     w, p, ln = (np.searchsorted(d, np.arange(n + 1)) for d in (doc, pair_doc, ldoc))
     data = raw.tobytes()
@@ -230,15 +230,17 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000) -> Additiv
 
     Labels with a null id or quality take no part; of repeated ids the mean
     decides (half or more is 1). At most about ``fit_rows`` labels, drawn by a
-    hash of doc_id, are used. Without labels, or with one class only, the model
-    is its base rate.
+    hash of doc_id, are used; of a doc_id that stands in several rows the
+    smallest text counts, once. Without labels, as with empty tables, or with
+    one class only, the model is its base rate.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     marks = marks.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
     total = marks.count()
     drawn = marks.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, fit_rows / max(1, total)))).limit(2 * fit_rows)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = src.join(F.broadcast(drawn), "doc_id").select("doc_id", "quality", "text").mapInArrow(_labelled, "doc_id long, quality int, x array<double>").toArrow().sort_by("doc_id")
+    one = src.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    got = one.mapInArrow(_labelled, "doc_id long, quality int, x array<double>").toArrow().sort_by("doc_id")
     x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)) if got.num_rows else np.zeros((0, len(FEATURES)))
     return fit(x, got.column("quality").to_numpy().astype(float))
 
@@ -246,7 +248,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000) -> Additiv
 def score(docs: DataFrame, model: AdditiveModel) -> DataFrame:
     """All rows and columns of ``docs`` with quality_score of ``text``; null and empty texts have all features 0.
 
-    A column of the input named quality_score is replaced.
+    Every row is scored by itself, whole, however long; repeated ones alike. A
+    column of the input named quality_score is replaced; no rows give none.
     """
     src = docs.drop("quality_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: features by bins

@@ -18,7 +18,7 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 STEP = U64(0xD6E8FEB86659FD93)
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 #: ASCII white space, as in [\x20\x09-\x0D].
 SPACE = np.zeros(256, bool)
@@ -92,35 +92,72 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
         i = j
 
 
-def fold(raw: np.ndarray) -> np.ndarray:
-    """Lower case for ASCII and for the letters U+00C0 to U+00DE."""
-    out = LOWER[raw]
-    if len(out) > 1:
-        up = np.flatnonzero((out[:-1] == 0xC3) & (out[1:] >= 0x80) & (out[1:] <= 0x9E) & (out[1:] != 0x97)) + 1
-        out[up] += 0x20
-    return out
+def word_bounds(raw: np.ndarray, off: np.ndarray, solid: np.ndarray | None = None, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of the words, and each word's text number. No word crosses texts.
 
-
-def word_bounds(raw: np.ndarray, off: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of the words, and each word's text number. No word crosses texts."""
+    ``solid`` tells the bytes of words (all but white space); a word also ends
+    at the byte positions ``apart``.
+    """
     if not len(raw):
         z = np.zeros(0, np.int64)
         return z, z, z
-    solid = ~gap[raw]
-    first = np.empty(len(raw) + 1, bool)
-    first[1:-1] = ~solid[:-1]
-    first[0] = first[-1] = True
-    first[off] = True
-    starts = np.flatnonzero(solid & first[:-1])
-    ends = np.flatnonzero(solid & (np.append(~solid[1:], True) | first[1:] & _at(off, len(raw)))) + 1
+    if solid is None:
+        solid = ~SPACE[raw]
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[off] = True
+    edge[0] = edge[-1] = True
+    if apart is not None:
+        edge[apart] = True
+    edge[1:-1] |= solid[1:] != solid[:-1]
+    starts = np.flatnonzero(solid & edge[:-1])
+    ends = np.flatnonzero(solid & edge[1:]) + 1
     return starts, ends, np.searchsorted(off, starts, "right") - 1
 
 
-def _at(off: np.ndarray, n: int) -> np.ndarray:
-    """True at i if a text starts at i + 1."""
-    m = np.zeros(n + 1, bool)
-    m[off] = True
-    return m[1:]
+#: Scripts written without spaces between words: South-East Asian, Chinese, Japanese, by code points from and to.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x312F), (0x31A0, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+
+
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """Per code point: 0 no part of a word, 1 letter, mark or digit, 2 such a one that is a word by itself."""
+    import unicodedata
+
+    kind = np.array([unicodedata.category(chr(i))[0] in "LMN" for i in range(0x110000)], np.uint8)
+    for a, z in UNSPACED:
+        kind[a : z + 1] *= 2
+    return kind
+
+
+def _wide(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First bytes, lengths and classes of the characters beyond ASCII."""
+    lead = np.flatnonzero(raw >= 0xC0)
+    b = raw[lead].astype(np.int64)
+    n = 2 + (b >= 0xE0) + (b >= 0xF0)
+    code = b & (0x7F >> n)
+    for k in range(1, 4):
+        at = np.flatnonzero(n > k)
+        code[at] = (code[at] << 6) | (raw[lead[at] + k] & 0x3F)
+    return lead, n, _classes()[np.minimum(code, 0x10FFFF)]
+
+
+def plain_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes of a column's texts; starts, ends and text numbers of runs of letters, marks and digits.
+
+    A character of a script without spaces is a word by itself.
+    """
+    raw, off = text_bytes(col)
+    if not len(raw) or raw.max() < 0x80:
+        low = LOWER[raw]
+        return low, *word_bounds(low, off, ~NOT_ALNUM[low])
+    low, off = text_bytes(pc.utf8_lower(col))
+    solid = ~NOT_ALNUM[low]
+    lead, n, kind = _wide(low)
+    for k in range(4):
+        at = lead[(kind == 0) & (n > k)]
+        solid[at + k] = False
+    lone = kind == 2
+    return low, *word_bounds(low, off, solid, np.concatenate([lead[lone], lead[lone] + n[lone]]))
 
 
 def span_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -147,8 +184,6 @@ def shingles(words: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np
 
 
 def normal_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, text numbers, starts and ends of lower-cased runs of letters and digits."""
-    raw, off = text_bytes(col)
-    low = fold(raw)
-    starts, ends, doc = word_bounds(low, off, NOT_ALNUM)
+    """Hashes, text numbers, starts and ends (in the lower-cased bytes) of the words of ``plain_words``."""
+    low, starts, ends, doc = plain_words(col)
     return (span_hash(low, starts, ends) if len(starts) else np.zeros(0, U64)), doc, starts, ends
