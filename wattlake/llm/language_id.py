@@ -144,16 +144,21 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def train(docs: DataFrame, fit_rows: int = 6000, epochs: int = 3, alpha: float = 2.0, beta: float = 1.0, l1: float = 2e-3, l2: float = 1e-3) -> LanguageModel:
+def train(docs: DataFrame, fit_rows: int = 6000, most_langs: int = 400, epochs: int = 3, alpha: float = 2.0, beta: float = 1.0, l1: float = 2e-3, l2: float = 1e-3) -> LanguageModel:
     """Learn from ``text`` and ``lang`` of all rows whose lang is not null.
 
     Document frequencies cover all of them. The weights are fitted on about
-    ``fit_rows`` rows, an equal share of each language, chosen by a hash of the
-    text; a fifth of these fits the temperature. No usable row: a model without
-    languages, which predicts ``und`` throughout.
+    ``fit_rows`` distinct texts, an equal share of each language, chosen by a
+    hash of the text, so copies and repeated rows come to the driver once; a
+    fifth of these fits the temperature. More than ``most_langs`` languages are
+    an error: the weights, one per gram and language, would not fit. No usable
+    row, as in an empty table: a model without languages, which predicts ``und``
+    throughout.
     """
     known = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).limit(most_langs + 1).collect()}
+    if len(counts) > most_langs:
+        raise ValueError(f"more than {most_langs} languages")
     langs, d = sorted(counts), 1 << BITS
     model = LanguageModel(langs, np.ones(d, np.float32), np.zeros((d, len(langs)), np.float32), np.zeros(len(langs)), 1.0)
     if not langs:
@@ -166,7 +171,8 @@ def train(docs: DataFrame, fit_rows: int = 6000, epochs: int = 3, alpha: float =
     share = max(20, fit_rows // len(langs))
     draw = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     rate = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(min(1.0, share / counts[lang])))])[F.col("lang")]
-    got = known.where(draw < rate).mapInArrow(_features, "lang string, grams array<int>, counts array<int>").toArrow()
+    one = known.where(draw < rate).groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text")).select("lang", "text")
+    got = one.mapInArrow(_features, "lang string, grams array<int>, counts array<int>").toArrow()
     index = {lang: i for i, lang in enumerate(langs)}
     rows = []
     for lang, at, c in zip(got.column("lang").to_pylist(), got.column("grams"), got.column("counts"), strict=True):
@@ -183,8 +189,10 @@ def train(docs: DataFrame, fit_rows: int = 6000, epochs: int = 3, alpha: float =
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """All rows and columns of ``docs`` with lang_pred and lang_score of ``text``.
 
-    Null texts and texts without a letter are ``und`` with score 0. Columns of
-    the input named as the two new ones are replaced.
+    Null texts, empty ones and those without a letter are ``und`` with score 0;
+    of languages that tie the first by name counts. Every row is told by itself,
+    whole, however long; repeated ones alike; an empty table gives no rows.
+    Columns of the input named as the two new ones are replaced.
     """
     src = docs.drop("lang_pred", "lang_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: grams by languages
