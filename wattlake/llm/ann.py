@@ -1,10 +1,14 @@
 """Approximate nearest neighbours by randomly rotated one-bit codes.
 
 A vector is normalised and rotated; its code keeps one sign bit per dimension,
-and a correction scalar keeps the inner product of the code with the vector it
-stands for. From packed bits and scalars an unbiased estimate of the cosine
-follows, with an error bound; every candidate whose upper bound reaches the
-k-th best lower bound is compared again on the original vectors.
+packed into 64-bit words, and a correction scalar keeps the inner product of the
+code with the vector it stands for. A query's rotated vector is rounded to
+``QUERY_BITS`` bit planes, so the inner product of code and query is a sum of
+popcounts. From it and the scalar an unbiased estimate of the cosine follows,
+with an error bound. Only codes and scalars meet the queries, twice: first for
+each query's best estimates, whose exact cosines give a floor, then for every
+candidate whose upper bound reaches that floor. These are compared on the
+original vectors, which are joined for them alone.
 """
 
 from __future__ import annotations
@@ -17,7 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wattlake.llm.shared import materialize
+from wattlake.llm.shared import Scratch
+
+QUERY_BITS = 6
 
 
 @lru_cache(maxsize=4)
@@ -27,87 +33,171 @@ def rotation(dim: int, seed: int = 7) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component to one half or more: exact, and norms neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def _words(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as 64-bit words, zero bits at the end."""
+    wide = -(-bits.shape[1] // 64) * 64
+    return np.packbits(np.pad(bits, ((0, 0), (0, wide - bits.shape[1]))), axis=1).view(np.uint64)
+
+
 def encode(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Packed sign bits of the rotated unit vectors, and the codes' inner products with them."""
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    turned = unit @ rotation(x.shape[1])
-    return np.packbits(turned > 0, axis=1), np.abs(turned).sum(1) / np.sqrt(x.shape[1])
+    turned = _unit(x) @ rotation(x.shape[1])
+    return _words(turned > 0), np.abs(turned).sum(1) / np.sqrt(x.shape[1])
 
 
 def bounds(queries: np.ndarray, codes: np.ndarray, correction: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated cosines of unit queries (rows) with coded vectors (columns), and their error bounds."""
+    """Estimated cosines of queries (rows) with coded vectors (columns), and their error bounds, from packed bits."""
     dim = queries.shape[1]
-    turned = (queries @ rotation(dim)).astype(np.float32)
-    signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
-    estimate = turned @ signs.T / np.float32(np.sqrt(dim)) / correction.astype(np.float32)
-    error = epsilon * np.sqrt(np.maximum(0, 1 - correction**2)) / correction / np.sqrt(max(1, dim - 1))
-    return estimate, error.astype(np.float32)
-
-
-def _vectors(t: pa.Table) -> np.ndarray:
-    v = t.column("v").combine_chunks()
+    turned = _unit(queries) @ rotation(dim)
+    low = turned.min(1)
+    step = np.maximum((turned.max(1) - low) / (2**QUERY_BITS - 1), 1e-12)
+    level = np.round((turned - low[:, None]) / step[:, None]).astype(np.uint8)
+    ones = np.bitwise_count(codes).sum(1, dtype=np.int64)
+    dot = np.zeros((len(queries), len(codes)), np.int32)
+    for j in range(QUERY_BITS):
+        plane = _words((level >> j) & 1)
+        for w in range(codes.shape[1]):
+            dot += np.bitwise_count(plane[:, w, None] & codes[None, :, w]).astype(np.int32) << j
+    # The code's vector is (2 bit - 1) / sqrt(dim) in every dimension.
+    rounded = low * dim + step * level.sum(1, dtype=np.int64)
+    inner = (2 * (low[:, None] * ones[None, :] + step[:, None] * dot) - rounded[:, None]) / np.sqrt(dim)
+    spread = np.sqrt(np.maximum(0, 1 - correction**2) / max(1, dim - 1))[None, :] + step[:, None] / np.sqrt(12)
+    return inner / correction, epsilon * spread / correction
+
+
+def _vectors(t: pa.Table, name: str = "v") -> np.ndarray:
+    v = t.column(name).combine_chunks()
     return v.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
 
 
 def _index(batches):
     """Add codes and corrections; all vectors of a batch that have one length are coded together."""
     for batch in batches:
-        v = batch.column("v")
-        n = v.value_lengths().to_numpy(zero_copy_only=False)
+        n = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
         for dim in np.unique(n):
             part = batch.filter(pa.array(n == dim))
             codes, correction = encode(_vectors(pa.Table.from_batches([part])))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(correction)], [*part.schema.names, "code", "correction"])
 
 
-def _search(k: int, epsilon: float):
+def _blocks(queries: pa.Table, data: pa.Table, epsilon: float):
+    """Estimates and bounds of one block of queries against one of codes, a strip of queries at a time."""
+    q = _vectors(queries)
+    codes = np.frombuffer(b"".join(data.column("code").to_pylist()), np.uint64).reshape(data.num_rows, -1)
+    correction = data.column("correction").to_numpy()
+    for a in range(0, len(q), 128):
+        yield slice(a, a + 128), *bounds(q[a : a + 128], codes, correction, epsilon)
+
+
+def _pairs(out: list[tuple]) -> pa.Table:
+    cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [[], [], []]
+    return pa.table({c: pa.array(x, t) for c, x, t in zip(("query_gid", "gid", "estimate"), cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
+
+
+def _best(most: int):
+    """Each query's ``most`` best estimates in a block."""
+
+    def fn(queries: pa.Table, data: pa.Table) -> pa.Table:
+        out = []
+        if queries.num_rows and data.num_rows:
+            qid, xid = (t.column("gid").to_numpy() for t in (queries, data))
+            n = min(most, len(xid))
+            for rows, estimate, _ in _blocks(queries, data, 0.0):
+                j = np.argpartition(-estimate, n - 1, axis=1)[:, :n]
+                out.append((np.repeat(qid[rows], n), xid[j].ravel(), np.take_along_axis(estimate, j, 1).ravel()))
+        return _pairs(out)
+
+    return fn
+
+
+def _reaching(epsilon: float):
+    """All pairs in a block whose upper bound reaches the query's floor."""
+
     def fn(queries: pa.Table, data: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        out = []
         if queries.num_rows and data.num_rows:
-            q, x = _vectors(queries), _vectors(data)
-            qn, xn = (np.sqrt((m * m).sum(1)) for m in (q, x))
-            qid, xid = (t.column("vec_id").to_numpy() for t in (queries, data))
-            codes = np.frombuffer(b"".join(data.column("code").to_pylist()), np.uint8).reshape(len(x), -1)
-            correction = data.column("correction").to_numpy()
-            for a in range(0, len(q), 256):
-                estimate, error = bounds(q[a : a + 256] / qn[a : a + 256, None], codes, correction, epsilon)
-                low = estimate - error
-                low[qid[a : a + 256, None] == xid[None, :]] = -np.inf
-                most = min(k, len(x))
-                least = np.partition(low, len(x) - most, axis=1)[:, len(x) - most]
-                some = (estimate + error >= least[:, None]) & np.isfinite(low)
-                for i in range(len(some)):
-                    at = np.flatnonzero(some[i])
-                    score = (x[at] * q[a + i]).sum(1) / (xn[at] * qn[a + i])
-                    for j in np.lexsort((xid[at], -score))[:k]:
-                        out.append((int(qid[a + i]), int(xid[at[j]]), float(score[j])))
-        cols = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
+            qid, xid = (t.column("gid").to_numpy() for t in (queries, data))
+            least = queries.column("least").to_numpy()
+            for rows, estimate, error in _blocks(queries, data, epsilon):
+                i, j = np.nonzero(estimate + error >= least[rows, None])
+                out.append((qid[rows][i], xid[j], estimate[i, j]))
+        return _pairs(out)
 
     return fn
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, epsilon: float = 4.0, query_block: int = 1024, data_block: int = 8192) -> DataFrame:
+def _cosines(batches):
+    """Exact cosines, in double precision."""
+    for batch in batches:
+        n = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
+        for dim in np.unique(n):
+            part = pa.Table.from_batches([batch.filter(pa.array(n == dim))])
+            a, b = scaled(_vectors(part, "query_v")), scaled(_vectors(part, "v"))
+            dot = lambda x, y: np.cumsum(x * y, axis=1)[:, -1]  # noqa: E731  added one after another
+            score = dot(a, b) / (np.sqrt(dot(a, a)) * np.sqrt(dot(b, b)))
+            yield pa.RecordBatch.from_arrays([*(part.column(c).combine_chunks() for c in ("query_gid", "gid")), pa.array(score)], ["query_gid", "gid", "score"])
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, epsilon: float = 3.5, query_block: int = 1024, data_block: int = 8192, scratch: Scratch | None = None) -> DataFrame:
     """The ``k`` nearest other vectors of each query by cosine: query_id, rank, vec_id, score.
 
     ``vectors`` has ``vec_id`` and ``embedding``; ``is_query`` tells the queries.
-    Every vector is indexed. Queries meet vectors in a grid of bounded blocks,
-    each a task's work; a vector is copied once per block of queries. Vectors
-    that are null, zero, or hold null or non-finite components take no part, nor
-    do rows without vec_id; rows that repeat a vec_id count once (the smallest
-    vector). Only vectors of a query's own length are candidates. Ties go to the
-    smaller vec_id. A query without candidates has no rows.
+    Every vector is indexed. Equal vectors are indexed once, with the ``k + 1``
+    smallest of their ids: no query can get more of them. Distinct queries meet
+    distinct codes in a grid of bounded blocks, each a task's work. ``epsilon``
+    is the bounds' number of deviations. Vectors that are null, empty, zero, or
+    hold null or non-finite components take no part, nor do rows without vec_id;
+    rows that repeat a vec_id count once (the smallest vector). Finite
+    components of any size are right. Only vectors of a query's own length are
+    candidates. Ties go to the smaller vec_id. Other columns are ignored. A
+    query without candidates has no rows, and neither has an empty table.
     """
+    scratch = scratch or Scratch(vectors.sparkSession)
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("query"))
     one = clean.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & good).groupBy("vec_id").agg(F.min("v").alias("v"), F.max("query").alias("query"))
-    index = materialize(one.mapInArrow(_index, "vec_id long, v array<double>, query boolean, code binary, correction double"), "index")
-    size = index.agg(F.count("*").alias("n"), F.count_if("query").alias("q")).first()
+    one = scratch.write(one, "vectors")
+    groups = one.groupBy("v").agg(F.min("vec_id").alias("gid"), F.max("query").alias("asked"))
+    index = scratch.write(groups.mapInArrow(_index, "v array<double>, gid long, asked boolean, code binary, correction double"), "index")
+    # The smallest ids of each distinct vector; the limit on ranks works before the shuffle, so hot vectors send few rows.
+    among = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    first = one.select("v", "vec_id", among.alias("place")).where(F.col("place") <= k + 1)
+    members = scratch.write(first.select(F.min("vec_id").over(Window.partitionBy("v")).alias("gid"), "vec_id"), "members")
+    asking = scratch.write(one.where("query").join(index.where("asked").select("v", "gid").hint("merge"), "v").select(F.col("vec_id").alias("query_id"), "gid"), "asking")
+    size = index.agg(F.count("*").alias("n"), F.count_if("asked").alias("q")).first()
     db, qb = max(1, -(-size["n"] // data_block)), max(1, -(-size["q"] // query_block))
-    part = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
+    part = lambda n, salt: F.pmod(F.xxhash64("gid", F.lit(salt)), F.lit(n)).cast("int")
     dim = F.size("v").alias("dim")
-    q = index.where("query").select("vec_id", "v", dim, part(qb, 1).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(db - 1))).alias("db"))
-    x = index.select("vec_id", "v", "code", "correction", dim, part(db, 2).alias("db"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
-    found = q.groupBy("dim", "qb", "db").cogroup(x.groupBy("dim", "qb", "db")).applyInArrow(_search(k, epsilon), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    x = index.select("gid", "code", "correction", dim, part(db, 2).alias("db"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb")).groupBy("dim", "qb", "db")
+    spread = lambda d: d.select("*", dim, part(qb, 1).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(db - 1))).alias("db")).groupBy("dim", "qb", "db")
+    best = lambda key, score, *ties: F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), *ties))
+    pairs = "query_gid long, gid long, estimate double"
+    asked = index.where("asked").select("gid", "v")
+
+    def cosines(some: DataFrame) -> DataFrame:
+        with_query = some.select("query_gid", "gid").join(asked.select(F.col("gid").alias("query_gid"), F.col("v").alias("query_v")), "query_gid")
+        return with_query.join(index.select("gid", "v"), "gid").select("query_gid", "gid", "query_v", "v").mapInArrow(_cosines, "query_gid long, gid long, score double")
+
+    # k + 1, as the query's own vector is among them. Equal vectors stand for up to k + 1 ids.
+    first = spread(asked).cogroup(x).applyInArrow(_best(4 * (k + 1)), pairs)
+    first = first.withColumn("place", best("query_gid", "estimate", "gid")).where(F.col("place") <= 4 * (k + 1))
+    exact = cosines(first).withColumn("place", best("query_gid", "score", "gid")).where(F.col("place") <= k + 1)
+    floor = exact.groupBy(F.col("query_gid").alias("gid")).agg(F.when(F.count("*") > k, F.min("score") - 1e-9).otherwise(-2.0).alias("least"))
+    floored = scratch.write(asked.join(floor, "gid").select("gid", "v", "least"), "floored")
+    near = spread(floored).cogroup(x).applyInArrow(_reaching(epsilon), pairs)
+    exact = cosines(near.union(first.select("query_gid", "gid", "estimate")).select("query_gid", "gid").distinct())
+    # Distinct vectors' best k + 1, then their ids' best k + 1, then each query's own without itself.
+    top = exact.withColumn("place", best("query_gid", "score", "gid")).where(F.col("place") <= k + 1).select("query_gid", "gid", "score")
+    ids = top.join(members, "gid").withColumn("place", best("query_gid", "score", "vec_id")).where(F.col("place") <= k + 1).select("query_gid", "vec_id", "score")
+    answer = asking.withColumnRenamed("gid", "query_gid").join(ids, "query_gid").where("query_id <> vec_id")
+    return answer.withColumn("rank", best("query_id", "score", "vec_id")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
