@@ -17,10 +17,11 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattlake.llm.shared import shared_dir
+from wattlake.llm.shared import materialize, shared_dir
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 DATE = "2026-01-01T00:00:00Z"
@@ -200,24 +201,49 @@ def write_archives(pages: DataFrame, path: str, target_bytes: int = 16 << 20, re
     Payloads are the html in UTF-8 (null: empty). Of rows with equal payloads of
     at least 1000 bytes, those with the largest page_id are responses and the
     others revisit it; smaller ones and rows without page_id are all responses.
+    Rows that repeat the largest page_id are responses each. Other columns are
+    ignored.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
     long = rows.where((F.octet_length("html") >= DEDUP_BYTES) & F.col("page_id").isNotNull()).select("digest", "page_id")
     repeated = long.groupBy("digest").agg(F.max("page_id").alias("keep"), F.min("page_id").alias("least")).where("keep > least").select("digest", "keep")
+    repeated = materialize(repeated, "repeated").withColumnRenamed("digest", "key")
     small = repeated.limit(repeats_in_memory + 1).count() <= repeats_in_memory
-    told = rows.join(F.broadcast(repeated) if small else repeated, "digest", "left").select("page_id", "url", "html", "digest", F.when((F.octet_length("html") >= DEDUP_BYTES) & (F.col("keep") > F.col("page_id")), F.col("keep")).alias("refers_to"))
+    # Short payloads, which many rows share, have a key of their own: they meet nothing and lie in no one task.
+    able = (F.octet_length("html") >= DEDUP_BYTES) & F.col("page_id").isNotNull()
+    keyed = rows.withColumn("key", F.when(able, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))))
+    told = keyed.join(F.broadcast(repeated) if small else repeated, "key", "left").select("page_id", "url", "html", "digest", F.when((F.octet_length("html") >= DEDUP_BYTES) & (F.col("keep") > F.col("page_id")), F.col("keep")).alias("refers_to"))
     packed = told.mapInArrow(_pack(target_bytes), "zip binary").select(F.col("zip").cast("string").alias("value"))
     packed.write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
+def _store(path: str):
+    """The file system of a path or URI and the path in it."""
+    return pafs.FileSystem.from_uri(re.sub(r"^file:/*", "file:///", path) if ":" in path.split("/")[0] else f"file://{path}")
+
+
+def _open(path: str):
+    store, name = _store(path)
+    return store.open_input_file(name)
+
+
+def ranges_readable(path: str) -> bool:
+    """Whether tasks can read ranges of files in a folder without Spark: local and shared file systems, HDFS, object stores."""
+    try:
+        store, name = _store(path)
+        return store.get_file_info(name).type != pafs.FileType.NotFound
+    except (OSError, ValueError, NotImplementedError):
+        return False
+
+
 def _records(batches):
     for batch in batches:
         for i in range(batch.num_rows):
             size = batch.column("length")[i].as_py()
             content = batch.column("content")[i].as_py() if "content" in batch.schema.names else None
             if content is None:
-                f = open(re.sub(r"^file:/*", "/", batch.column("path")[i].as_py()), "rb")  # noqa: SIM115
+                f = _open(batch.column("path")[i].as_py())
 
                 def read(at: int, n: int, f=f) -> bytes:
                     f.seek(at)
@@ -250,12 +276,14 @@ def _records(batches):
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Records of all archives in a folder: page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload.
 
-    On a file system that tasks can open, only the ranges asked for are read;
-    in any other store an archive (of bounded size) comes as one file's bytes.
-    A revisit's payload is null; its size and digest are those of its response.
+    Directories and members are read by ranges, on local and shared file
+    systems, HDFS and object stores; where only Spark's readers reach a store, an
+    archive (of bounded size) comes as one file's bytes. A revisit's payload is
+    null; its size and digest are those of its response. Records of any size
+    are read whole, one by one; an empty folder gives no rows.
     """
     files = spark.read.format("binaryFile").load(path)
-    files = files.select("path", "length") if path.startswith(("file:", "/")) else files.select("path", "length", "content")
+    files = files.select("path", "length") if ranges_readable(path) else files.select("path", "length", "content")
     return files.mapInArrow(_records, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
