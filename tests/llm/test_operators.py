@@ -82,6 +82,35 @@ def test_jaccard_join_links_copies_of_either_side_of_any_size(spark):
     assert got == {**{i: (0, 3) for i in range(4)}, 9: (9, 0)}
 
 
+def test_jaccard_join_tells_texts_of_one_id_apart(spark):
+    from wattlake.llm.jaccard_join import jaccard_join, marked_join
+
+    rng = random.Random(12)
+    a, b, c = (text(rng, 60) for _ in range(3))
+    for extra in ([], [(1, c)], [(1, text(rng, 50)) for _ in range(5)]):
+        rows = [(1, a), (1, b), (5, edit(rng, b, 1)), (7, edit(rng, a, 1)), *extra]
+        got = jaccard_join(frame(spark, rows).selectExpr("*", "map(1, 2) as mark", "0 as rep")).collect()
+        assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == Counter([(1, 1, 1), (1, 1, 1), (5, 1, 1), (7, 1, 1), *[(1, 1, 0)] * len(extra)])
+        groups = {}
+        for r in marked_join(frame(spark, rows)).collect():
+            groups.setdefault(r["group"], []).append(r["doc_id"])
+        assert sorted(map(sorted, groups.values())) == sorted([[1, 5], [1, 7], *[[1]] * len(extra)])
+
+
+def test_jaccard_join_around_long_texts(spark):
+    """Against brute force, with texts of 1,700 to 2,600 words and near copies that are longer or edited."""
+    from wattlake.llm.jaccard_join import jaccard_join
+
+    rng = random.Random(14)
+    rows = []
+    for i, n in enumerate((1700, 1900, 2040, 2048, 2300, 2600)):
+        t = text(rng, n)
+        rows += [(10 * i, t), (10 * i + 1, t + " " + text(rng, 15)), (10 * i + 2, edit(rng, t, 20)), (10 * i + 3, edit(rng, t, 60)), (10 * i + 4, t + " " + text(rng, n // 5))]
+    sets = {i: shingles(t) for i, t in rows}
+    want = {i: sum(j != i and len(a & b) >= 0.8 * len(a | b) for j, b in sets.items()) for i, a in sets.items()}
+    assert {r["doc_id"]: r["n_links"] for r in jaccard_join(frame(spark, rows)).collect()} == want and sum(want.values()) > 30
+
+
 def test_jaccard_join_empty(spark):
     from wattlake.llm.jaccard_join import jaccard_join
 
@@ -111,11 +140,49 @@ def test_substring_dedup_cuts_the_later_passage_only(spark):
     for i, t in rows:
         if i != 51:
             assert got[i]["text"] == t
+    # A row that is cut and stands three times is cut alike each time; other columns stay, maps too.
+    from pyspark.sql import functions as F
+
+    many = frame(spark, rows + [r for r in rows if r[0] == 51] * 2).selectExpr("*", "map('a', doc_id) as row", "'x' as words_removed", "1 as places")
+    again = substring_dedup(many)
+    assert again.columns == ["doc_id", "text", "row", "places", "words_removed", "spans_removed"]
+    assert [(r["text"], r["words_removed"], r["row"]) for r in again.where(F.col("doc_id") == 51).collect()] == [(got[51]["text"], got[51]["words_removed"], {"a": 51})] * 3
+    assert substring_dedup(frame(spark, [])).collect() == []
     cut = got[51]["text"].split()
     left = [w for w in passage.split() if w in cut]
     assert got[51]["words_removed"] >= 55 and len(cut) == 31 + 80 + 12 - got[51]["words_removed"] and left is not None
 
 
+def test_substring_dedup_against_brute_force(spark):
+    """Cut is what lies in runs of chunks that stand earlier, by chunks taken one by one; each cut span stands elsewhere before."""
+    from wattlake.llm import textkit as tk
+    from wattlake.llm.substring_dedup import chunk_bounds, substring_dedup
+
+    rng = random.Random(11)
+    shared = [text(rng, rng.randrange(10, 90)) for _ in range(6)]
+    rows = [(i, " ".join(x for _ in range(4) for x in (text(rng, rng.randrange(5, 40)), rng.choice(shared)))) for i in range(40)]
+    rows.append((99, text(rng, 20_000) + " " + shared[0] + " " + shared[0]))  # a very long text
+    want, seen = {}, set()
+    for i, t in rows:
+        raw, off = tk.text_bytes(pa.array([t]))
+        data, runs, run = raw.tobytes(), [], []
+        for a, z in zip(*chunk_bounds(raw, off, 4, 8)[:2], strict=True):
+            chunk = data[a:z].strip(b" \n")
+            if chunk in seen:
+                run.append((a, z, len(chunk.split())))
+            else:
+                seen.add(chunk)
+                runs.append(run)
+                run = []
+        out, last = b"", 0
+        for r in [*runs, run]:
+            if sum(x[2] for x in r) >= 20:
+                out, last = out + data[last : r[0][0]], r[-1][1]
+        want[i] = (out + data[last:]).decode()
+    got = {r["doc_id"]: r["text"] for r in substring_dedup(frame(spark, rows)).collect()}
+    assert got == want and sum(want[i] != t for i, t in rows) > 20
+
+
 def test_chunks_tile_and_resist_shifts():
     from wattlake.llm import textkit as tk
     from wattlake.llm.substring_dedup import chunk_bounds
@@ -131,6 +198,9 @@ def test_chunks_tile_and_resist_shifts():
 
     plain = pieces(t)
     assert pieces("x y", "", t) == plain  # texts before do not matter
+    for seed in range(40):  # nor do hits in their last words, after which no white space stands
+        before = text(random.Random(seed), 12) + " " + "".join(text(random.Random(seed + 99), 9).split())
+        assert pieces(before, t) == plain
     assert len(set(pieces("inserted " + t)) & set(plain)) >= len(set(plain)) - 2
 
 
@@ -170,6 +240,46 @@ def test_contamination_finds_edited_copies_beside_exact_ones(spark):
         assert set(got) == {1, 2} and got[1] == 1.0 and 0.5 <= got[2] < 1
 
 
+def test_contamination_recalls_uniformly_edited_copies(spark):
+    """Against brute-force alignment of every item with every document, at edit rates up to 40 %."""
+    from wattlake.llm.decontaminate import contamination
+
+    rng = random.Random(21)
+    items = [(i, text(rng, rng.randrange(20, 50))) for i in range(20)]
+    docs, n = [(i, text(rng, 80)) for i in range(20)], 100
+    for i, t in items:
+        for rate in (0.05, 0.1, 0.2, 0.3, 0.4):
+            w = [f"zz{rng.randrange(10**6)}" if rng.random() < rate else x for x in t.split()]
+            docs.append((n, text(rng, 15) + " " + " ".join(w) + " " + text(rng, 15)))
+            n += 1
+
+    def best(a, b):
+        h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        top = 0
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                h[i + 1][j + 1] = max(0, h[i][j] + (2 if x == y else -1), h[i][j + 1] - 1, h[i + 1][j] - 1)
+                top = max(top, h[i + 1][j + 1])
+        return top / (2 * len(a))
+
+    plain = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    want = {(d, i): best(plain(t), plain(x)) for d, x in docs for i, t in items if d < 100 or (d - 100) // 5 == i}
+    want = {k: v for k, v in want.items() if v >= 0.5}
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in contamination(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) > 60 and len(set(got) & set(want)) >= 0.9 * len(want) and all(got[k] <= want[k] + 1e-6 for k in got if k in want) and all(d >= 100 for d, _ in got)
+
+
+def test_contamination_finds_short_items_and_other_scripts(spark):
+    from wattlake.llm.decontaminate import contamination
+
+    items = [(1, "Brown fox?"), (2, "one two three four"), (3, "Привет мир как дела сегодня друг"), (4, None), (5, "..."), (6, "漢字仮名交じり文"), (7, "fox")]
+    docs = [(1, "the brown fox jumps, BROWN FOX"), (2, "One, two “three”—four"), (3, "ПРИВЕТ МИР, КАК ДЕЛА СЕГОДНЯ ДРУГ"), (4, None), (5, ""), (6, "これは漢字仮名交じり文です"), (None, "brown fox")]
+    found = contamination(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 1), (1, 7), (2, 2), (3, 3), (6, 6)} and all(r["score"] == 1.0 for r in found)
+    empty = frame(spark, [])
+    assert contamination(empty, spark.createDataFrame(items, "item_id long, text string")).collect() == [] and contamination(frame(spark, docs), spark.createDataFrame([], "item_id long, text string")).collect() == []
+
+
 def test_language(spark):
     from wattlake.llm.language_id import identify, train
 
@@ -257,6 +367,21 @@ def test_nearest_matches_brute_force(spark):
     assert hit >= 0.95 * 5 * 9 and all(g["query_id"] != 1100 for g in got)
 
 
+def test_nearest_with_extreme_components_and_hot_vectors(spark):
+    from pyspark.sql import functions as F
+
+    from wattlake.llm.ann import nearest
+
+    rows = [(50, [1e200, 1.0]), (1, [1e190, 0.0]), (2, [0.0, 1e-300]), (3, [1e-310, 1e-310]), (4, [-1e300, 1e300])] + [(i, [3.0, 4.0]) for i in range(100, 400)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in sorted(nearest(d, F.col("vec_id") % 50 == 0).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], round(r["score"], 9)))
+    assert got[50] == [(1, 1.0), (3, round(0.5**0.5, 9)), (100, 0.6), (101, 0.6), (102, 0.6)]
+    assert got[100] == [(i, 1.0) for i in (101, 102, 103, 104, 105)] and got[350] == [(i, 1.0) for i in (100, 101, 102, 103, 104)]
+    assert set(got) == {50, 100, 150, 200, 250, 300, 350} and nearest(d.limit(0), F.lit(True)).collect() == []
+
+
 def test_first_fit_decreasing_matches_plain():
     from wattlake.llm.packing import first_fit_decreasing
 
@@ -306,7 +431,7 @@ def test_lm_scores(spark, corpus):
     from wattlake.llm.lm_score import score_documents
 
     rows = [r for r in corpus if r[0] is not None]
-    got = score_documents(frame(spark, corpus), F.col("doc_id") % 5 == 1, block_docs=30).collect()
+    got = score_documents(frame(spark, corpus), F.col("doc_id") % 5 == 1, block_bytes=9000).collect()
     assert len(got) == len(corpus)
     tok = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()), "\n"]
     c = Counter(w for i, t in rows if i % 5 != 1 for w in tok(t))
@@ -323,29 +448,57 @@ def test_lm_scores(spark, corpus):
     assert len(empty) == 1 and empty[0]["train_tokens"] == 0 and score_documents(frame(spark, []), F.lit(False)).collect() == []
 
 
-def test_lm_probabilities_sum_to_one():
+def test_lm_probabilities_sum_to_one_where_texts_are_scored(spark, monkeypatch):
+    """On the path that scores texts, in every context, but for the step in which probabilities travel."""
+    from pyspark.sql import functions as F
+
     from wattlake.llm import lm_score as L
 
-    r = np.random.default_rng(0)
-    key = np.repeat(np.arange(1, 41, dtype=np.uint64), 3)
-    ctx = np.tile([0, 33, 64], 40)
-    n = r.integers(1, 30, 120)
-    s = L.Seating(key, ctx, n, 1)
-    c, t = [np.zeros(k) for k in (65, 3, 1)], [np.zeros(k) for k in (65, 3, 1)]
-    g = L.Totals(c, t, [0.5] * 3, [1.0] * 3, 40, int(n.sum()))
-    def refresh():
-        for level, size, at, cc, tt in s.totals():
-            c[level - 1][:], t[level - 1][:] = np.bincount(at, cc, size), np.bincount(at, tt, size)
-    refresh()
-    for _ in range(5):
-        s.sweep(g)
-        refresh()
-    assert (s.t1 >= 1).all() and (s.t1 <= s.c1).all() and (s.t2 <= s.c2).all()
-    _, _, own = s.predict(g)
-    unknown = 1 / 41 * (1 + 0.5 * t[2][0]) / (1 + c[2][0])
-    for k in (0, 33, 64):
-        up = (1 + 0.5 * t[1][L.PARENT_OF[k]]) / (1 + c[1][L.PARENT_OF[k]]) * unknown
-        assert own[s.ctx == k].sum() + (1 + 0.5 * t[0][k]) / (1 + c[0][k]) * up == pytest.approx(1)
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(WORDS[: 3 + 2 * (i % 30)]) for _ in range(40))) for i in range(150)]
+    seen = {}
+    real_score, real_model = L._score, L._model
+    monkeypatch.setattr(L, "_score", lambda samples, frequent: seen.update(samples=samples, frequent=frequent.value) or real_score(samples, frequent))
+    monkeypatch.setattr(L, "_model", lambda frequent, *a: seen.update(model=real_model(frequent, *a)) or seen["model"])
+
+    class Kept(L.Scratch):
+        def write(self, df, name):
+            seen[name] = super().write(df, name)
+            return seen[name]
+
+    L.score_documents(frame(spark, rows), F.col("doc_id") < 0, per_root=3.0, scratch=Kept(spark)).collect()
+    model = seen["cells"].mapInArrow(seen["model"], "key long, model binary").toArrow()
+    look, scorer = L.Lookup(model["model"].combine_chunks(), 2), L.Scorer(seen["samples"], seen["frequent"])
+    frequent, rows = len(seen["frequent"].key), np.arange(len(model))
+    assert 10 < frequent < len(rows)
+    for ctx in range(L.CLASSES + frequent):
+        assert scorer.probability(look, rows, np.full(len(rows), ctx)).sum() + scorer.unknown[ctx] == pytest.approx(1, abs=4e-4)
+
+
+def test_lm_gains_on_held_out_texts_with_more_contexts(spark):
+    from pyspark.sql import functions as F
+
+    from wattlake.llm.language_id import fold_of
+    from wattlake.llm.lm_score import score_documents
+
+    docs, held = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), fold_of(F.col("doc_id"), 5) == 1
+    sums = []
+    for per_root in (4.0, 900.0):  # the default, and every word a context
+        got = score_documents(docs, held, per_root=per_root).where("held_out").agg(F.sum("base_score"), F.sum("score"), F.sum("n_tokens")).first()
+        sums.append((got[1] - got[0]) / got[2])
+    assert sums[0] > 0.2 and sums[1] > sums[0] + 0.1
+
+
+def test_lm_blocks_hold_bounded_text_whatever_the_ids(spark):
+    from pyspark.sql import functions as F
+
+    from wattlake.llm.lm_score import _blocked
+    from wattlake.llm.shared import Scratch
+
+    ids = [*range(3000), 10**12, -(10**15), *[None] * 50, *[7] * 2000]
+    d = spark.createDataFrame([(i, f"{k:100}") for k, i in enumerate(ids)], "doc_id long, text string")
+    sizes = [r["count"] for r in _blocked(d, 10_000, Scratch(spark)).groupBy("block").agg(F.count("*").alias("count")).collect()]
+    assert sum(sizes) == len(ids) and max(sizes) <= 250 and len(sizes) > 30
 
 
 def test_html(spark):
@@ -354,6 +507,13 @@ def test_html(spark):
     page = '<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li>menu</ul></nav><div class="cookie-banner">Accept</div><article><h1>Head &amp; more</h1><p><b>One\n  two.<br><p>Three <i>four</i>&nbsp;five<!-- no --><script>var t="</p>";</script><div class="comments"><p>first!</div><ul><li>a<li>b</ul></article><footer>end</footer></body></html>'
     assert Page(page).main_text(frozenset()) == "Head & more\nOne two.\nThree four five\na\nb"
     assert Page("").main_text(frozenset()) == "" and Page("plain < text").main_text(frozenset()) == "plain < text"
+    kept = '<article><p class="comment-free">One.</p><section class="related work"><p>Two.</p></section><p>Let <math><mi>x</mi></math> be</p><div class="ad-slot">Buy</div><ul class="share-buttons"><li>Post</ul></article>'
+    assert Page(kept).main_text(frozenset()) == "One.\nTwo.\nLet x be"
+    # Two layouts on 40 % of a host's pages each; in an article a paragraph of four pages is no template, though elsewhere it is.
+    layout = lambda i: f"<body><div><p>Layout {i % 2} says this.</p></div><div><p>Own text {i}.</p></div></body>" if i % 5 < 4 else f"<body><p>Plain {i}.</p></body>"
+    several = [(i, f"http://two.example/{i}", layout(i)) for i in range(20)] + [(100 + i, f"http://quotes.example/{i}", f"<article><p>A quotation.</p><p>Text {i}.</p></article>") for i in range(5)] + [(200 + i, None, f"<p>No host.</p><p>Text {i}.</p>") for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(several, "page_id long, url string, html string")).collect()}
+    assert got[0] == "Own text 0." and got[3] == "Own text 3." and got[4] == "Plain 4." and got[102] == "A quotation.\nText 2." and got[205] == "No host.\nText 5."
     body = lambda i: f"<body><div><p>Every page says this.</p></div><div><p>Text {i} alone {i * 7}.</p></div></body>"
     rows = [(i, f"http://h.example/{i}", body(i)) for i in range(12)] + [(50, "http://other/1", body(1)), (60, None, None), (61, "::bad::[", "")]
     for bound in (1000, 0):
@@ -375,10 +535,57 @@ def test_pipeline_keeps_rows_without_or_with_reused_ids(spark, tmp_path):
 
     rng = random.Random(6)
     a, b, c, d, e = (text(rng, 80) for _ in range(5))
-    rows = [(5, a), (7, edit(rng, a, 1)), (7, b), (7, b), (8, c), (8, d), (3, c), (None, e), (None, text(rng, 60))]
+    rows = [(5, a), (7, edit(rng, a, 1)), (7, b), (7, b), (8, c), (8, d), (3, c), (None, e), (None, text(rng, 60)), (20, None), (20, None), (21, ""), (21, "...")]
     docs = frame(spark, rows)
     kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
-    assert Counter(map(tuple, kept)) == Counter([(5, a), (7, b), (8, d), (3, c), *rows[-2:]])
+    assert Counter(map(tuple, kept)) == Counter([(5, a), (7, b), (8, d), (3, c), *rows[7:9], (20, None), (21, ""), (21, "...")])
     spark.createDataFrame([(1, b), (2, e)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     left = corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()
     assert Counter(map(tuple, left)) == Counter(r for r in rows if r[1] not in (b, e))
+
+
+def test_pipeline_stages_with_clashing_columns_long_texts_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(16)
+    passage, long = text(rng, 80), text(rng, 30_000)
+    rows = [(1, text(rng, 40) + " " + passage), (2, text(rng, 50) + " " + passage + " " + text(rng, 30)), (3, passage), (4, None), (5, ""), (6, long), (7, long), (None, "ba do")]
+    docs = frame(spark, rows).selectExpr("*", "'aa' as lang", "cast(length(text) as long) as n_chars", "map('k', doc_id) as row", "doc_id as cut_text", "1 as _row", "2 as k1", "array(1) as words_removed")
+    spark.createDataFrame([(1, text(rng, 20)), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {"language": {1, 2, 3, 6, 7, None}, "near_duplicates": {1, 2, 3, 4, 5, 6, None}, "repeated_passages": {1, 2, 4, 5, 6, None}, "decontaminate": {1, 2, 3, 4, 5, 6, 7, None}}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        got = out.collect()
+        ids = {r["doc_id"] for r in got}
+        if name == "repeated_passages":  # edges of a passage may stay, and what is left of 3 or 7
+            ids -= {3, 7}
+            by = {r["doc_id"]: r for r in got}
+            assert by[1]["text"] == rows[0][1] and len(by[2]["text"].split()) < 110 and by[2]["n_chars"] == len(by[2]["text"])
+            assert all(len(by[i]["text"].split()) < 20 for i in (3, 7) if i in by)
+        assert ids == want[name], name
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
+    packed = corpus_pipeline.packing(spark, docs, "")
+    assert {r["doc_id"] for r in packed.collect()} == {1, 2, 3, 4, 5, 6, 7, None} and corpus_pipeline.packing(spark, docs.limit(0), "").collect() == []
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Kept rows and texts of a small corpus whose copies, leaks and passages are known."""
+    import corpus_pipeline
+
+    rng = random.Random(18)
+    items = [(i, text(rng, 30)) for i in range(3)]
+    base = [text(rng, rng.randrange(60, 120)) for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, edit(rng, base[i], 1)) for i in range(6)] + [(200, base[7]), (300, text(rng, 20) + " " + items[1][1] + " " + text(rng, 20)), (400, "12 34"), (401, "")]
+    frame(spark, rows).selectExpr("*", "'aa' as lang", "'s' as source", "cast(length(text) as long) as n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        path = f"{tmp_path}/{name}"
+        stage(spark, docs, str(tmp_path)).write.parquet(path)
+        docs = spark.read.parquet(path)
+        seen[name] = {r["doc_id"] for r in docs.select("doc_id").collect()}
+    everything = {i for i, _ in rows}
+    copies = {i for k, (i, t) in enumerate(rows) for j, u in rows[:k] if shingles(t) and len(shingles(t) & shingles(u)) >= 0.8 * len(shingles(t) | shingles(u))}
+    assert seen["language"] == everything - {400, 401} and seen["near_duplicates"] == seen["language"] - copies and copies >= {200}
+    assert seen["repeated_passages"] == seen["near_duplicates"] and seen["decontaminate"] == seen["near_duplicates"] - {300} and seen["packing"] == seen["decontaminate"]
