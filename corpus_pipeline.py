@@ -66,11 +66,16 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     null or empty text, or whose doc_id stands with different texts stay as they
     are; equal rows are cut alike. No rows give none.
     """
-    cut = substring_dedup(docs.withColumn("words_removed", F.lit(0)))
+    cut = substring_dedup(docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("_doc")))
     kept = cut.where((F.col("words_removed") == 0) | F.col("text").rlike(r"\S"))
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("words_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+
+    def column(c: str):
+        own = F.col("text") if c == "text" else F.col(f"_doc.`{c}`")
+        if c == "n_chars":
+            own = F.when(F.col("words_removed") > 0, F.length("text")).otherwise(own).cast(docs.schema[c].dataType)
+        return own.alias(c)
+
+    return kept.select(*[column(c) for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
