@@ -175,7 +175,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, epsilon: float = 3
     members = scratch.write(first.select(F.min("vec_id").over(Window.partitionBy("v")).alias("gid"), "vec_id"), "members")
     asking = scratch.write(one.where("query").join(index.where("asked").select("v", "gid").hint("merge"), "v").select(F.col("vec_id").alias("query_id"), "gid"), "asking")
     size = index.agg(F.count("*").alias("n"), F.count_if("asked").alias("q")).first()
-    db, qb = max(1, -(-size["n"] // data_block)), max(1, -(-size["q"] // query_block))
+    # Small tables too are dealt to several tasks.
+    db, qb = max(1, -(-size["n"] // data_block), min(16, size["n"] // 1024)), max(1, -(-size["q"] // query_block))
     part = lambda n, salt: F.pmod(F.xxhash64("gid", F.lit(salt)), F.lit(n)).cast("int")
     dim = F.size("v").alias("dim")
     x = index.select("gid", "code", "correction", dim, part(db, 2).alias("db"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb")).groupBy("dim", "qb", "db")
