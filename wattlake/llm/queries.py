@@ -95,12 +95,62 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit of every document."""
+    from wattlake.llm.token_count import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op12_target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and return rates of each sale's items, vendors and client, of what was sold earlier in other folds."""
+    from wattlake.llm.target_encoding import encode_sales
+
+    return encode_sales(*[table(spark, sf_dir, t) for t in ("sale_lines", "sales", "items", "vendors", "clients")])
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and the digest of the repaired rows of every damaged conversation."""
+    from wattlake.llm.conversations import audit_damaged
+
+    return audit_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_language_id, op3_warc, op4_substring_dedup, op5_quality, op6_lm_score, op7_nearest, op8_packing, op9_jaccard_join, op10_html_text)
+    for f in (op1_decontaminate, op2_language_id, op3_warc, op4_substring_dedup, op5_quality, op6_lm_score, op7_nearest, op8_packing, op9_jaccard_join, op10_html_text, op11_token_counts, op12_target_encoding, op13_conversation_repair)
 }
 
-#: The record types, digests and sizes of the archives' records, and the nearest vectors, from the tables alone.
+def _encoding_sql() -> str:
+    """Sums over all earlier lines less those over earlier lines of the fold, level by level."""
+    keys = ("item_id", "kind", "vendor_id", "nation_id", "client_id", "segment", "everything")
+    window = lambda x, by: f"coalesce(sum({x}) OVER (PARTITION BY {by} ORDER BY sold_at RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING), 0)::BIGINT"
+    sums = ", ".join(f"{window(x, k)} - {window(x, f'{k}, fold')} AS {k}_{x}" for k in keys for x in "ns")
+    rate = lambda k, p: f"(CASE WHEN {k}_n < 1 THEN {p} ELSE (1000000 * {k}_s + 50 * {p}) // ({k}_n + 50) END)"
+    group = lambda k: rate(k, rate("everything", "500000"))
+    least = lambda t, k, v: f"(SELECT {k} AS id, min({v}) AS v FROM {t} GROUP BY 1)"
+    return f"""
+        WITH own AS (SELECT sale_id, coalesce(item_id, -1) AS item_id, vendor_id, count(*) AS n, count(*) FILTER (flag = 'returned') AS s FROM sale_lines GROUP BY ALL),
+        r AS (SELECT own.*, coalesce(sales.client_id, -1) AS client_id, sold_at, crc32_of AS fold, i.v AS kind, v.v AS nation_id, c.v AS segment, 0 AS everything
+              FROM own JOIN sales USING (sale_id) JOIN (SELECT sale_id, {{crc}} % 5 AS crc32_of FROM (SELECT DISTINCT sale_id FROM sales)) USING (sale_id)
+              LEFT JOIN {least("items", "item_id", "kind")} i ON i.id = own.item_id LEFT JOIN {least("vendors", "vendor_id", "nation_id")} v ON v.id = own.vendor_id
+              LEFT JOIN {least("clients", "client_id", "segment")} c ON c.id = coalesce(sales.client_id, -1) WHERE sold_at IS NOT NULL),
+        h AS (SELECT *, {sums} FROM r)
+        SELECT sale_id, item_id, vendor_id, n::BIGINT AS n_lines, s::BIGINT AS n_returned, item_id_n AS item_n, {rate("item_id", group("kind"))} AS item_rate,
+               vendor_id_n AS vendor_n, {rate("vendor_id", group("nation_id"))} AS vendor_rate, client_id_n AS client_n, {rate("client_id", group("segment"))} AS client_rate
+        FROM h""".replace("{crc}", _crc32_sql("sale_id::VARCHAR"))
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII string, bit by bit; DuckDB has no function for it."""
+    step = "lambda x: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    byte = "xor(c, b)"
+    for _ in range(8):
+        byte = f"list_transform([{byte}], {step})[1]"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda d: ascii(d)::BIGINT)), lambda c, b: {byte}), 4294967295)"
+
+
+#: The archives' records, the nearest vectors and the encodings, from the tables alone.
 ORACLES: dict[str, str] = {
     "op7_nearest": """
         WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
@@ -117,4 +167,5 @@ ORACLES: dict[str, str] = {
                CASE WHEN n >= 1000 AND keep > page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 1000 AND keep > page_id THEN keep END AS refers_to
         FROM k""",
+    "op12_target_encoding": _encoding_sql(),
 }
