@@ -142,17 +142,6 @@ def test_constrained_clusters(spark):
     assert len(set(clusters(spark, [{**u, "external_ids": {}} for u in units], plant_group=True).values())) == 1
 
 
-def test_clusters_compare_few_pairs():
-    same = [{"id": f"{i:05}", "entity": "plant", "country": "x", "operator": "op", "signature": "north", "unit_name": None, "lon": 1.0, "lat": 1.0, "mw": 100.0, "commissioning_year": None, "ids": [], "plant_ids": []} for i in range(2000)]
-    got, compared = P.cluster_component(same, False)
-    assert len(set(got)) == 1 and compared < 20_000
-    spread = [{**r, "lon": -170.0 + (i % 60) * 5, "lat": -80.0 + (i // 60) * 3} for i, r in enumerate(same * 2)][:3000]
-    got, compared = P.cluster_component(spread, False)
-    assert len(set(got)) == 3000 and compared < 30_000
-    apart = [{**r, "ids": [("wikidata", f"Q{i}")], "mw": 100.0 * 1.5**(i % 40)} for i, r in enumerate(same[:400])]
-    assert P.cluster_component(apart, False)[1] <= 400 * 400
-
-
 def test_merge_capacity_and_ids(spark):
     rows = spark.createDataFrame([row("a", source_type="official_verified", capacity=None, capacity_kind="unavailable", external_ids={"wikidata": "Q1"}, lon=None, lat=None), row("b", external_ids={"wikidata": "Q1", "osm": "way/1"}, capacity_kind="estimated"), row("c", external_ids={"wikidata": "Q1"}, capacity=(90.0, 95.0, 99.0), capacity_kind="reported", location_precision="city_centroid", name="Other")], SCHEMA)
     records, plants = P.canonicalize(rows)

@@ -10,18 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattlake.functions import vocabulary as V
 from wattlake.functions.scalars import PARTS, expand_aliases, haversine_km, key_normalize
+from wattlake.operators.clusters import clusters_of
 from wattlake.operators.graph import connected_components, written
 from wattlake.operators.relational import money
 
 RANGE = "struct<low:double,central:double,high:double>"
-CELL = 1.0
 
 
 def signature(c: Column, aliases: dict[str, str]) -> Column:
@@ -63,135 +61,13 @@ def _keyed(rows: DataFrame, plant_group: bool, aliases: dict[str, str]) -> DataF
     )
 
 
-def candidate_edges(keyed: DataFrame, plant_group: bool) -> DataFrame:
-    """Stars over what could belong together: rows that share an id, or country, kind, operator and name."""
-    exact = keyed.select("id", F.explode("ids").alias("e")).select("id", F.concat_ws("\x1f", F.lit("x"), "e.key", "e.value").alias("key"))
-    kind = F.lit("") if plant_group else F.col("entity")
-    fuzzy = keyed.where("country is not null and operator is not null and signature is not null and lon is not null")
-    fuzzy = fuzzy.select("id", F.concat_ws("\x1f", F.lit("f"), "country", kind, "operator", "signature").alias("key"))
-    both = exact.union(fuzzy)
-    first = both.groupBy("key").agg(F.min("id").alias("first"))
-    return both.join(first, "key").where("id <> first").select("id", "first").distinct()
-
-
-def same_place(lon1: float, lat1: float, lon2: np.ndarray, lat2: np.ndarray) -> np.ndarray:
-    """Which points lie within five kilometres."""
-    a, b = np.radians(lat1), np.radians(lat2)
-    h = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(lon2 - lon1) / 2) ** 2
-    return 2 * 6371.0 * np.arcsin(np.sqrt(np.minimum(1, h))) <= 5
-
-
-class _Clusters:
-    """Groups of rows with the ids, countries and kinds they hold; two join only if nothing of it conflicts."""
-
-    def __init__(self, rows: list[dict], kinds: bool):
-        self.root = list(range(len(rows)))
-        self.held = [({k: {v} for k, v in r["ids"]}, {r["country"]} - {None}, {r["entity"]} if kinds else set()) for r in rows]
-
-    def find(self, i: int) -> int:
-        while self.root[i] != i:
-            self.root[i] = i = self.root[self.root[i]]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        a, b = sorted((self.find(i), self.find(j)))
-        if a == b:
-            return
-        (ids, countries, kinds), (ids2, countries2, kinds2) = self.held[a], self.held[b]
-        if kinds and kinds2 and kinds != kinds2 or countries and countries2 and countries != countries2:
-            return
-        if any(ids[n] != ids2[n] for n in ids.keys() & ids2.keys()):
-            return
-        self.root[b] = a
-        for n, v in ids2.items():
-            ids.setdefault(n, set()).update(v)
-        countries |= countries2
-        kinds |= kinds2
-
-
-def _alike(r: dict, o: dict, plant_group: bool) -> bool:
-    """Whether two rows of one block are one plant, or records of one thing."""
-    if plant_group:
-        return True
-    a, b = r["mw"], o["mw"]
-    if a is None or b is None or (a == 0 or b == 0) and a != b or a and b and not 0.9 <= a / b <= 1.1:
-        return False
-    if r["entity"] != "unit":
-        return True
-    mine = dict(r["plant_ids"])
-    if not any(mine.get(n) == v for n, v in o["plant_ids"]) or not r["unit_name"] or r["unit_name"] != o["unit_name"]:
-        return False
-    y, z = r["commissioning_year"], o["commissioning_year"]
-    return not (y and z and y != z)
-
-
-def cluster_component(rows: list[dict], plant_group: bool) -> tuple[list[int], int]:
-    """Cluster numbers of one component's rows, taken in the order of their ids, and how many pairs were compared.
-
-    A row is tried against the groups that hold one of its ids, then against one
-    row of each group in its block (country, kind, operator, name, neighbouring
-    cells of a degree); a group of copies costs one comparison a row.
-    """
-    groups, by_id, by_block, compared = _Clusters(rows, not plant_group), {}, {}, 0
-    for i, r in enumerate(rows):
-        for j in sorted({groups.find(j) for t in r["ids"] for j in by_id.get(t, ())}):
-            groups.join(i, j)
-        block = (r["country"], "" if plant_group else r["entity"], r["operator"], r["signature"])
-        located = None not in (*block, r["lon"], r["lat"])
-        if located:
-            x, y = int(np.floor(r["lon"] / CELL)), int(np.floor(r["lat"] / CELL))
-            near = {}
-            for dx in (-1, 0, 1):
-                for dy in (-1, 0, 1):
-                    wrapped = (x + dx + 180) % 360 - 180
-                    band = (0,) if plant_group or r["mw"] is None else [_band(r["mw"]) + k for k in range(-2, 3)]
-                    for k in band:
-                        for g, j in by_block.get((*block, wrapped, y + dy, k), {}).items():
-                            near.setdefault(groups.find(g), j)
-            for j in sorted(near.values()):
-                if groups.find(i) != groups.find(j):
-                    compared += 1
-                    if same_place(r["lon"], r["lat"], np.array([rows[j]["lon"]]), np.array([rows[j]["lat"]]))[0] and _alike(r, rows[j], plant_group):
-                        groups.join(i, j)
-        for t in r["ids"]:
-            by_id.setdefault(t, set()).add(groups.find(i))
-        if located:
-            k = 0 if plant_group or r["mw"] is None else _band(r["mw"])
-            own = by_block.setdefault((*block, (x + 180) % 360 - 180, y, k), {})
-            by_block[(*block, (x + 180) % 360 - 180, y, k)] = {groups.find(g): j for g, j in own.items()} | {groups.find(i): own.get(groups.find(i), i)}
-    return [groups.find(i) for i in range(len(rows))], compared
-
-
-def _band(mw: float) -> int:
-    return int(np.floor(np.log(mw) / np.log(1.1))) if mw > 0 else 0
-
-
 def constrained_clusters(rows: DataFrame, plant_group: bool, aliases: dict[str, str] | None = None) -> DataFrame:
-    """id, cluster (smallest id of it) and comparisons of a cluster's component, for every row.
+    """id and cluster (smallest id of it) of every row: records of rows, or with ``plant_group`` plants of records.
 
-    The permissive graph's components come first; within each, rows join in the
-    order of their ids and only where kinds, countries and ids do not conflict,
-    so the outcome is sequential by definition and a component is one task's work.
+    Links are taken in the order of the rows' ids and join only where kinds,
+    countries and ids do not conflict; see ``clusters``.
     """
-    keyed = written(_keyed(rows, plant_group, {key_normalize_text(k): key_normalize_text(v) for k, v in (aliases or {}).items()}))
-    edges = candidate_edges(keyed, plant_group).select(F.xxhash64("id").alias("src"), F.xxhash64("first").alias("dst"))
-    placed = keyed.withColumn("node", F.xxhash64("id")).join(connected_components(edges), "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
-
-    def fn(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("id")
-        got = [{k: None if isinstance(v, float) and np.isnan(v) else v for k, v in r.items()} for r in part.to_dict("records")]
-        for r in got:
-            for c in ("ids", "plant_ids"):
-                r[c] = [(e["key"], e["value"]) for e in r[c]]
-        cluster, compared = cluster_component(got, plant_group)
-        return pd.DataFrame({"id": part["id"], "cluster": [got[c]["id"] for c in cluster], "compared": compared})
-
-    placed = written(placed)
-    alone = placed.groupBy("component").agg(F.count("*").alias("n"))
-    sized = placed.join(alone, "component")
-    many = sized.where("n > 1").drop("n").groupBy("component").applyInPandas(fn, "id string, cluster string, compared long")
-    one = sized.where("n = 1").select("id", F.col("id").alias("cluster"), F.lit(0).cast("long").alias("compared"))
-    return written(many.union(one))
+    return clusters_of(written(_keyed(rows, plant_group, {key_normalize_text(k): key_normalize_text(v) for k, v in (aliases or {}).items()})), plant_group)
 
 
 def key_normalize_text(s: str) -> str:
@@ -357,4 +233,4 @@ def country_keys(names: DataFrame) -> DataFrame:
     return placed.join(placed.groupBy("component").agg(F.min(rank).alias("m")), "component").select("name", F.col("m.name").alias("country"))
 
 
-__all__ = ["anchors", "canonicalize", "capacity_account", "cluster_component", "constrained_clusters", "country_keys", "haversine_km", "identities", "merge_records", "record_ids", "signature", "summarize_plants", "unique_names"]
+__all__ = ["anchors", "canonicalize", "capacity_account", "constrained_clusters", "country_keys", "haversine_km", "identities", "merge_records", "record_ids", "signature", "summarize_plants", "unique_names"]
