@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from wattlake.llm.shared import Scratch
 
 #: Rows that a shard's task joins at once; a larger shard goes through in turns, its balances carried on.
-TURN_ROWS = 1 << 17
+TURN_ROWS = 1 << 15
 NEVER = -(1 << 62)
 
 
@@ -73,7 +73,7 @@ def _joined(keys: list[str], carried: list[str], folds: int):
     def fn(batches):
         import duckdb
 
-        con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         shard = None
         for now, part in _turns(batches):
             con.register("part", part)
@@ -93,7 +93,7 @@ def _joined(keys: list[str], carried: list[str], folds: int):
     return fn
 
 
-def history(rows: DataFrame, keys: Sequence[str], time: str, fold: str, n: str, s: str, folds: int, gap: int = 0, slice_rows: int = 1 << 18, most_slices: int = 4096, buckets: int = 4, scratch: Scratch | None = None) -> DataFrame:
+def history(rows: DataFrame, keys: Sequence[str], time: str, fold: str, n: str, s: str, folds: int, gap: int = 0, slice_rows: int = 1 << 17, most_slices: int = 4096, buckets: int = 4, scratch: Scratch | None = None) -> DataFrame:
     """``rows`` with <key>_n and <key>_s for each of ``keys``: sums of ``n`` and ``s`` over rows of the key's value,
     of other folds, more than ``gap`` earlier (0: any time earlier; rows of the same time never count).
 
