@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from wattlake.llm.shared import Scratch
 
 #: Rows that a shard's task joins at once; a larger shard goes through in turns, its balances carried on.
-TURN_ROWS = 1 << 15
+TURN_ROWS = 1 << 16
 NEVER = -(1 << 62)
 
 
@@ -58,16 +58,17 @@ def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
         yield shard, pa.Table.from_batches(held)
 
 
-def _joined(keys: list[str], carried: list[str], folds: int):
+def _joined(keys: int, carried: list[str], folds: int):
     """mapInArrow over shards: rows by time, opening balances first; gives each asking row its history's n and s by key."""
-    sums = ", ".join(f"CASE WHEN p._level IS NULL THEN coalesce(k{i}.{x}, 0) - coalesce(f{i}.{x}, 0) END AS {k}_{x}" for i, k in enumerate(keys) for x in ("n", "s"))
+    sums = ", ".join(f"coalesce(k{i}.{x}, 0) - coalesce(f{i}.{x}, 0) AS _k{i}_{x}" for i in range(keys) for x in ("n", "s"))
+    total = "(sum(sum({x})) OVER w)::BIGINT AS {x}"
+    both = ", ".join(total.format(x=x) for x in "ns")
     cums = "".join(f"""
-        CREATE OR REPLACE TEMP TABLE k{i} AS SELECT key, t, sum(sum(n)) OVER w::BIGINT AS n, sum(sum(s)) OVER w::BIGINT AS s
-            FROM told WHERE level = {i} GROUP BY key, t WINDOW w AS (PARTITION BY key ORDER BY t);
-        CREATE OR REPLACE TEMP TABLE f{i} AS SELECT key, fold, t, sum(sum(n)) OVER w::BIGINT AS n, sum(sum(s)) OVER w::BIGINT AS s
-            FROM told WHERE level = {i} GROUP BY key, fold, t WINDOW w AS (PARTITION BY key, fold ORDER BY t);""" for i in range(len(keys)))
-    asof = " ".join(f"ASOF LEFT JOIN k{i} ON p.{k} = k{i}.key AND p._time > k{i}.t ASOF LEFT JOIN f{i} ON p.{k} = f{i}.key AND p._fold = f{i}.fold AND p._time > f{i}.t" for i, k in enumerate(keys))
-    events = " UNION ALL ".join(f"SELECT {i} AS level, {k} AS key, _fold AS fold, _time AS t, _n AS n, _s AS s FROM part WHERE _level IS NULL AND _tells" for i, k in enumerate(keys))
+        CREATE OR REPLACE TEMP TABLE k{i} AS SELECT key, t, {both} FROM told SEMI JOIN part ON told.key = part._k{i} WHERE level = {i} GROUP BY key, t WINDOW w AS (PARTITION BY key ORDER BY t);
+        CREATE OR REPLACE TEMP TABLE f{i} AS SELECT key, fold, t, {both} FROM told SEMI JOIN part ON told.key = part._k{i} AND told.fold = part._fold WHERE level = {i}
+            GROUP BY key, fold, t WINDOW w AS (PARTITION BY key, fold ORDER BY t);""" for i in range(keys))
+    asof = " ".join(f"ASOF LEFT JOIN k{i} ON p._k{i} = k{i}.key AND p._time > k{i}.t ASOF LEFT JOIN f{i} ON p._k{i} = f{i}.key AND p._fold = f{i}.fold AND p._time > f{i}.t" for i in range(keys))
+    events = " UNION ALL ".join(f"SELECT {i} AS level, _k{i} AS key, _fold AS fold, _time AS t, sum(_n)::BIGINT AS n, sum(_s)::BIGINT AS s FROM part WHERE _level IS NULL AND _tells GROUP BY ALL" for i in range(keys))
     opened = f"SELECT _level, _key, f, {NEVER}, _open_n[f + 1], _open_s[f + 1] FROM part, range({folds}) AS r(f) WHERE _level IS NOT NULL AND _open_n[f + 1] <> 0"
 
     def fn(batches):
@@ -78,12 +79,12 @@ def _joined(keys: list[str], carried: list[str], folds: int):
         for now, part in _turns(batches):
             con.register("part", part)
             if now != shard:
-                con.execute("CREATE OR REPLACE TEMP TABLE told (level INT, key VARCHAR, fold INT, t BIGINT, n BIGINT, s BIGINT)")
+                con.execute("CREATE OR REPLACE TEMP TABLE told (level INT, key BIGINT, fold INT, t BIGINT, n BIGINT, s BIGINT)")
                 shard = now
             con.execute(f"INSERT INTO told {events} UNION ALL {opened}")
             con.execute(cums)
-            out = con.sql(f"SELECT {', '.join(f'p.{c}' for c in carried)}, {sums} FROM part p {asof} WHERE p._level IS NULL AND p._asks").to_arrow_table()
-            yield from out.cast(pa.schema([(c, part.schema.field(c).type) for c in carried] + [(f"{k}_{x}", pa.int64()) for k in keys for x in ("n", "s")])).to_batches()
+            out = con.sql(f"SELECT {', '.join(f'p.{c}' for c in carried)}, {sums} FROM (FROM part WHERE _level IS NULL AND _asks) p {asof}").to_arrow_table()
+            yield from out.cast(pa.schema([(c, part.schema.field(c).type) for c in carried] + [(f"_k{i}_{x}", pa.int64()) for i in range(keys) for x in ("n", "s")])).to_batches()
             # Rows of the next turn may have this one's last time: only what is earlier is summed up.
             con.execute(f"""CREATE OR REPLACE TEMP TABLE told AS SELECT level, key, fold, CASE WHEN t < (SELECT max(_time) FROM part) THEN {NEVER} ELSE t END AS t, sum(n)::BIGINT AS n, sum(s)::BIGINT AS s
                             FROM told GROUP BY ALL""")
@@ -93,20 +94,21 @@ def _joined(keys: list[str], carried: list[str], folds: int):
     return fn
 
 
-def history(rows: DataFrame, keys: Sequence[str], time: str, fold: str, n: str, s: str, folds: int, gap: int = 0, slice_rows: int = 1 << 17, most_slices: int = 4096, buckets: int = 4, scratch: Scratch | None = None) -> DataFrame:
+def history(rows: DataFrame, keys: Sequence[str], time: str, fold: str, n: str, s: str, folds: int, gap: int = 0, slice_rows: int = 1 << 18, most_slices: int = 4096, buckets: int = 4) -> DataFrame:
     """``rows`` with <key>_n and <key>_s for each of ``keys``: sums of ``n`` and ``s`` over rows of the key's value,
     of other folds, more than ``gap`` earlier (0: any time earlier; rows of the same time never count).
 
-    ``time`` is a long column; ``fold`` an int from 0 to ``folds`` - 1. Nulls of a key are a value of
-    their own. Each key's values must lie within one value of the last key, which with the slice of
-    time makes a shard (of ``buckets`` a slice). Rows without a time have no history and are in none: they are left
-    out. Equal rows stay apart. No rows give none. At most ``most_slices`` bounds come to the driver.
+    ``time`` is a long column; ``fold`` an int from 0 to ``folds`` - 1. Keys are whole numbers, others go by
+    their 64-bit hash; null is a value of its own (the least long stands for it). Each key's values must lie
+    within one value of the last key, which with the slice of time makes a shard (of ``buckets`` a slice).
+    Rows without a time have no history and are in none: they are left out. Equal rows stay apart. No rows
+    give none. At most ``most_slices`` bounds come to the driver.
     """
-    spark, scratch = rows.sparkSession, scratch or Scratch(rows.sparkSession)
+    spark, names = rows.sparkSession, [f"_k{i}" for i in range(len(keys))]
+    kinds = dict(rows.dtypes)
+    code = lambda k: F.coalesce(F.col(k).cast("long") if kinds[k] in ("tinyint", "smallint", "int", "bigint") else F.when(F.col(k).isNotNull(), F.xxhash64(k)), F.lit(-(1 << 63)))
     own = [c for c in rows.columns if not c.startswith("_")]
-    text = lambda k: F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit(""))
-    named = [f"_k{i}" for i in range(len(keys))]
-    rows = rows.where(F.col(time).isNotNull()).select(F.struct(*own).alias("_row"), *[text(k).alias(c) for k, c in zip(keys, named, strict=True)], F.col(time).alias("_time"), F.col(fold).cast("int").alias("_fold"), F.col(n).cast("long").alias("_n"), F.col(s).cast("long").alias("_s"))
+    rows = rows.where(F.col(time).isNotNull()).select(*own, *[code(k).alias(c) for k, c in zip(keys, names, strict=True)], F.col(time).alias("_time"), F.col(fold).cast("int").alias("_fold"), F.col(n).cast("long").alias("_n"), F.col(s).cast("long").alias("_s"))
     slices = min(most_slices, -(-rows.count() // slice_rows))
     bounds = _slices(rows, "_time", slices)
     if gap:
@@ -114,22 +116,22 @@ def history(rows: DataFrame, keys: Sequence[str], time: str, fold: str, n: str,
         cut = _sliced(asks.union(tells), "_time", bounds)
     else:
         cut = _sliced(rows.withColumns({"_asks": F.lit(True), "_tells": F.lit(True)}), "_time", bounds)
-    shard = F.col("_slice") * buckets + F.pmod(F.xxhash64(named[-1]), F.lit(buckets))
+    shard = F.col("_slice") * buckets + F.pmod(F.xxhash64(names[-1]), F.lit(buckets))
     cut = cut.withColumn("_shard", shard.cast("long"))
     # Sums by key, slice and fold; their running totals over earlier slices are the opening balances.
-    levels = F.explode(F.array(*[F.struct(F.lit(i).alias("_level"), F.col(c).alias("_key")) for i, c in enumerate(named)]))
+    levels = F.explode(F.array(*[F.struct(F.lit(i).alias("_level"), F.col(c).alias("_key")) for i, c in enumerate(names)]))
     each = cut.select(levels.alias("l"), "_shard", "_slice", "_fold", "_tells", "_n", "_s").select("l.*", "_shard", "_slice", "_fold", "_tells", "_n", "_s")
     amount = lambda c, f: F.sum(F.when((F.col("_fold") == f) & F.col("_tells"), F.col(c)).otherwise(0))
     totals = each.groupBy("_level", "_key", "_slice", "_shard").agg(*[amount(f"_{x}", f).alias(f"_{x}{f}") for x in "ns" for f in range(folds)])
     before = Window.partitionBy("_level", "_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     opening = totals.select("_shard", "_level", "_key", *[F.array(*[F.coalesce(F.sum(f"_{x}{f}").over(before), F.lit(0)) for f in range(folds)]).alias(f"_open_{x}") for x in "ns"])
     opening = opening.where(F.exists("_open_n", lambda x: x != 0))
-    both = cut.unionByName(opening, allowMissingColumns=True)
+    both = cut.drop("_slice").unionByName(opening, allowMissingColumns=True)
     shards = max(1, slices * buckets)
     dealt = both.repartition(min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // 8))), "_shard").sortWithinPartitions(F.col("_shard"), F.col("_time").asc_nulls_first())
-    kinds = ", ".join(f"{c}_{x} long" for c in named for x in ("n", "s"))
-    out = dealt.mapInArrow(_joined(named, ["_row"], folds), f"_row {rows.schema['_row'].dataType.simpleString()}, {kinds}")
-    return out.select("_row.*", *[F.col(f"{c}_{x}").alias(f"{k}_{x}") for k, c in zip(keys, named, strict=True) for x in ("n", "s")])
+    made = ", ".join([f"`{c}` {kinds[c]}" for c in own] + [f"{c}_{x} long" for c in names for x in ("n", "s")])
+    out = dealt.mapInArrow(_joined(len(names), own, folds), made)
+    return out.select(*own, *[F.col(f"{c}_{x}").alias(f"{k}_{x}") for k, c in zip(keys, names, strict=True) for x in ("n", "s")])
 
 
 def rate(n: Column, s: Column, prior: Column, weight: int = 50, scale: int = 1_000_000) -> Column:
@@ -162,17 +164,23 @@ def encode_sales(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors:
     scratch = Scratch(lines.sparkSession)
     own = lines.groupBy("sale_id", F.coalesce("item_id", F.lit(-1)).alias("item_id"), "vendor_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count(F.when(F.col("flag") == "returned", 1)).alias("n_returned"))
     sold = sales.where("sold_at is not null").select("sale_id", F.coalesce("client_id", F.lit(-1)).alias("client_id"), local_micros(F.col("sold_at")).alias("time"))
-    least = lambda t, k, v: t.groupBy(k).agg(F.min(v).cast("string").alias(v)).where(F.col(k).isNotNull())
+    least = lambda t, k, v: t.groupBy(k).agg(F.min(v).alias(v)).where(F.col(k).isNotNull())
     sold = sold.join(least(clients, "client_id", "segment").hint("merge"), "client_id", "left")
     rows = own.join(sold.hint("merge"), "sale_id")
     rows = rows.join(least(items, "item_id", "kind").hint("merge"), "item_id", "left")
     rows = rows.join(least(vendors, "vendor_id", "nation_id").hint("merge"), "vendor_id", "left")
     crc = F.crc32(F.col("sale_id").cast("string").cast("binary"))
-    rows = scratch.write(rows.withColumns({"fold": (crc % folds).cast("int"), "everything": F.lit("")}), "rows")
-    for keys in (["item_id", "kind"], ["vendor_id", "nation_id"], ["client_id", "segment", "everything"]):
-        rows = scratch.write(history(rows, keys, "time", "fold", "n_lines", "n_returned", folds, gap, scratch=scratch, **sizes), keys[0])
-        scratch.keep(keys[0])
+    brief = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias(c)
+    rows = rows.select("sale_id", "item_id", "vendor_id", "client_id", "n_lines", "n_returned", "time", (crc % folds).cast("int").alias("fold"), brief("kind"), "nation_id", brief("segment"), F.lit(0).alias("everything"))
+    rows = scratch.write(rows, "rows")
     rated = lambda k, prior: rate(F.col(f"{k}_n"), F.col(f"{k}_s"), prior)
     every = rated("everything", F.lit(500_000))
-    out = {f"{name}_{what}": x for name, key, group in (("item", "item_id", "kind"), ("vendor", "vendor_id", "nation_id"), ("client", "client_id", "segment")) for what, x in (("n", F.col(f"{key}_n")), ("rate", rated(key, rated(group, every))))}
-    return rows.select("sale_id", "item_id", "vendor_id", "n_lines", "n_returned", *[x.alias(c) for c, x in out.items()])
+    passes = (("client", "client_id", "segment", ["everything"]), ("item", "item_id", "kind", []), ("vendor", "vendor_id", "nation_id", []))
+    for name, key, group, more in passes:
+        found = history(rows, [key, group, *more], "time", "fold", "n_lines", "n_returned", folds, gap, **sizes)
+        kept = [c for c in rows.columns if c not in ("client_id", group, *more)]
+        own_rate = rated(key, rated(group, every if more else F.col("every")))
+        out = found.select(*kept, F.col(f"{key}_n").alias(f"{name}_n"), own_rate.alias(f"{name}_rate"), *[every.alias("every") for _ in more])
+        rows = scratch.write(out, name)
+        scratch.keep(name)
+    return rows.select("sale_id", "item_id", "vendor_id", "n_lines", "n_returned", "item_n", "item_rate", "vendor_n", "vendor_rate", "client_n", "client_rate")
