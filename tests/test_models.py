@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wattlake.functions import scalars as S
 from wattlake.functions import vocabulary as V
+from wattlake.operators import cover as C
 from wattlake.operators import energy as E
 from wattlake.operators import models as M
 from wattlake.operators import plants as P
@@ -114,9 +115,9 @@ def test_polygon_across_the_dateline_and_overlapping_parts(spark):
     ring = lambda x, y, w, h: [[x, y], [x + w, y], [x + w, y + h], [x, y + h], [x, y]]
     shapes = spark.createDataFrame([("date", [[ring(178.0, 0.0, 2.0, 2.0)], [ring(-180.0, 0.0, 2.0, 2.0)]]), ("twice", [[ring(0.0, 0.0, 4.0, 4.0)], [ring(1.0, 1.0, 4.0, 4.0)]]), ("hole", [[ring(10.0, 0.0, 6.0, 6.0), ring(12.0, 2.0, 2.0, 2.0)]])], "geo string, polygons array<array<array<array<double>>>>")
     pts = spark.createDataFrame([(1, 179.0, 1.0), (2, -179.5, 1.0), (3, 2.0, 2.0), (4, 13.0, 3.0), (5, 11.0, 3.0), (6, 12.0, 3.0), (7, None, 1.0), (8, 10.0, 0.0)], "id int, lon double, lat double")
-    got = {(r["id"], r["geo"]) for r in G.contains(pts, "id", shapes, "geo").collect()}
+    got = {(r["id"], r["geo"]) for r in C.contains(pts, "id", shapes, "geo").collect()}
     assert got == {(1, "date"), (2, "date"), (3, "twice"), (5, "hole"), (6, "hole"), (8, "hole")}
-    assert G.contains(pts, "id", shapes.limit(0), "geo").collect() == [] and G.contains(pts.limit(0), "id", shapes, "geo").collect() == []
+    assert C.contains(pts, "id", shapes.limit(0), "geo").collect() == [] and C.contains(pts.limit(0), "id", shapes, "geo").collect() == []
 
 
 def row(i, **k):

@@ -16,28 +16,9 @@ def money(c: Column) -> Column:
 # --- joins ---------------------------------------------------------------
 
 
-def point_in_polygon(points: DataFrame, polygons: DataFrame, cell: float = 1.0, equal: Sequence[str] = ()) -> DataFrame:
-    """Pairs of points (lon, lat) and polygons (poly_id, xs, ys: one ring) that hold them; the bounds count as inside.
-
-    Polygons are cut into the grid cells of their boxes, so candidates come from
-    an equi-join on the cell (and on ``equal`` columns) and only they are ray cast.
-    """
-    low, high = lambda c: F.floor(F.array_min(c) / cell).cast("long"), lambda c: F.floor(F.array_max(c) / cell).cast("long")
-    cells = polygons.withColumn("cx", F.explode(F.sequence(low("xs"), high("xs")))).withColumn("cy", F.explode(F.sequence(low("ys"), high("ys"))))
-    at = points.withColumn("cx", F.floor(F.col("lon") / cell).cast("long")).withColumn("cy", F.floor(F.col("lat") / cell).cast("long"))
-    edges = F.arrays_zip("xs", "ys", F.expr("concat(slice(xs, 2, size(xs)), slice(xs, 1, 1))").alias("xn"), F.expr("concat(slice(ys, 2, size(ys)), slice(ys, 1, 1))").alias("yn"))
-
-    def crosses(e):
+def crosses(e):
         return ((e["ys"] > F.col("lat")) != (e["yn"] > F.col("lat"))) & (F.col("lon") < (e["xn"] - e["xs"]) * (F.col("lat") - e["ys"]) / (e["yn"] - e["ys"]) + e["xs"])
 
-    def touches(e):
-        cross = (F.col("lon") - e["xs"]) * (e["yn"] - e["ys"]) - (F.col("lat") - e["ys"]) * (e["xn"] - e["xs"])
-        return (F.abs(cross) < 1e-9) & F.col("lon").between(F.least(e["xs"], e["xn"]), F.greatest(e["xs"], e["xn"])) & F.col("lat").between(F.least(e["ys"], e["yn"]), F.greatest(e["ys"], e["yn"]))
-
-    joined = at.join(cells, ["cx", "cy", *equal]).withColumn("edges", edges)
-    odd = F.aggregate("edges", F.lit(False), lambda acc, e: F.when(crosses(e), ~acc).otherwise(acc))
-    return joined.where(odd | F.exists("edges", touches)).drop("edges", "cx", "cy")
-
 
 def best_match(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in ``order``."""

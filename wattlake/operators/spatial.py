@@ -1,4 +1,4 @@
-"""Containment of points in polygons with holes, and what is built on it: assignment to regions, zonal sums."""
+"""What is built on containment: assignment to regions and countries, views."""
 
 from __future__ import annotations
 
@@ -7,47 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattlake.operators.relational import best_match, money
-
-
-def _edges(polygons: DataFrame, geo: str, shape: str) -> DataFrame:
-    """geo, part and the ends of every ring's edges; rings need not be closed."""
-    parts = polygons.select(geo, F.posexplode(shape).alias("part", "rings"))
-    rings = parts.select(geo, "part", F.explode("rings").alias("ring"))
-    ends = rings.select(geo, "part", F.explode(F.arrays_zip(F.col("ring").alias("a"), F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1)).alias("b"))).alias("e"))
-    at = lambda side, i: F.col(f"e.{side}")[i]
-    return ends.select(geo, "part", at("a", 0).alias("x1"), at("a", 1).alias("y1"), at("b", 0).alias("x2"), at("b", 1).alias("y2")).where("x1 <> x2 or y1 <> y2")
-
-
-def contains(points: DataFrame, point: str, polygons: DataFrame, geo: str, shape: str = "polygons", equal: Sequence[str] = (), cell: float = 1.0, boundary: bool = True) -> DataFrame:
-    """Pairs of ``point`` and ``geo`` where a polygon holds the point (lon, lat).
-
-    ``shape`` is an array of polygons, each an array of rings (the first outside,
-    the others holes), each an array of [lon, lat]. ``equal`` are columns that
-    must agree on both sides. Boxes meet points in grid cells; only then are the
-    edges joined, and of them only those of the point's own band of latitude,
-    which is all that a horizontal ray can cross: no outline is copied to its
-    cells. Points on an edge count if ``boundary``. Points without a coordinate
-    and polygons without three points hold nothing; overlapping parts count once.
-    """
-    edges = _edges(polygons, geo, shape)
-    floor = lambda c: F.floor(F.col(c) / cell).cast("long")
-    box = edges.groupBy(geo, "part").agg(F.min("x1").alias("x0"), F.max("x1").alias("x9"), F.min("y1").alias("y0"), F.max("y1").alias("y9"))
-    cells = box.select(geo, "part", F.explode(F.sequence(floor("x0"), floor("x9"))).alias("cx"), "y0", "y9").select(geo, "part", "cx", F.explode(F.sequence(floor("y0"), floor("y9"))).alias("band"))
-    if equal:
-        cells = cells.join(polygons.select(geo, *equal), geo)
-    at = points.where("lon is not null and lat is not null").select(point, "lon", "lat", *equal, floor("lon").alias("cx"), floor("lat").alias("band"))
-    near = at.join(cells, ["cx", "band", *equal]).select(point, "lon", "lat", geo, "part", "band")
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    banded = edges.withColumn("band", F.explode(F.sequence(F.floor(low / cell).cast("long"), F.floor(high / cell).cast("long"))))
-    met = near.join(banded, [geo, "part", "band"])
-    over = (F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))
-    right = F.col("lon") < (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1")
-    cross = (F.col("lon") - F.col("x1")) * (F.col("y2") - F.col("y1")) - (F.col("lat") - F.col("y1")) * (F.col("x2") - F.col("x1"))
-    touch = (F.abs(cross) < 1e-9) & F.col("lon").between(F.least("x1", "x2"), F.greatest("x1", "x2")) & F.col("lat").between(low, high)
-    got = met.groupBy(point, geo, "part").agg((F.count_if(over & right) % 2 == 1).alias("inside"), F.coalesce(F.max(touch), F.lit(False)).alias("touches"))
-    keep = F.col("inside") | F.col("touches") if boundary else F.col("inside")
-    return got.where(keep).select(point, geo).distinct()
+from wattlake.operators.cover import contains
+from wattlake.operators.relational import best_match
 
 
 def assign_region(assets: DataFrame, ident: str, regions: DataFrame, geo: str = "region_id", equal: Sequence[str] = ()) -> DataFrame:
@@ -70,32 +31,6 @@ def assign_country(assets: DataFrame, ident: str, countries: DataFrame, geo: str
     return joined.withColumn("country", F.when(F.col("lon").isNull() | F.col("lat").isNull(), F.col("country")).otherwise(F.col("_country"))).drop("_country")
 
 
-def zonal_sum(cells: DataFrame, cell: str, polygons: DataFrame, geo: str, value: str, valid: str) -> DataFrame:
-    """Per polygon: the sum of valid cells whose centre lies in it, how many are selected and what share of them is valid.
-
-    A cell counts once for a geography, however many of its parts hold it.
-    """
-    held = contains(cells, cell, polygons, geo).join(cells.select(cell, value, valid), cell)
-    ok = F.coalesce(F.col(valid), F.lit(False)) & F.col(value).isNotNull()
-    return held.groupBy(geo).agg(F.sum(F.when(ok, money(F.col(value)))).cast("double").alias("total"), F.count("*").alias("selected"), F.round(100.0 * F.count_if(ok) / F.count("*"), 4).alias("coverage"))
-
-
-def regional_population(cells: DataFrame, cell: str, regions: DataFrame, geo: str, years: Sequence[int], value: str = "value", valid: str = "valid") -> DataFrame:
-    """Population of every region and year from that year's raster (``year`` on cells; one year's cells stand for all if only it has any).
-
-    A region without a selected or without a valid cell is unavailable, and says why.
-    """
-    only = cells.agg(F.count_distinct("year").alias("n"), F.min("year").alias("y")).first()
-    source = F.lit(only["y"]) if only["n"] == 1 else F.col("year")
-    wanted = regions.select(geo, F.explode(F.array(*[F.lit(y) for y in years])).alias("year")).withColumn("source_year", source.cast("int"))
-    held = contains(cells.select(cell, "lon", "lat"), cell, regions, geo).join(cells.select(cell, F.col("year").cast("int").alias("source_year"), value, valid), cell)
-    ok = F.coalesce(F.col(valid), F.lit(False)) & F.col(value).isNotNull()
-    sums = held.groupBy(geo, "source_year").agg(F.sum(F.when(ok, money(F.col(value)))).cast("double").alias("population"), F.count("*").alias("selected"), F.count_if(ok).alias("known"))
-    joined = wanted.join(sums, [geo, "source_year"], "left")
-    reason = F.when(F.col("selected").isNull(), "no_cell_centre_inside").when(F.col("known") == 0, "no_valid_cell")
-    return joined.select(geo, "year", "source_year", "population", F.round(100.0 * F.col("known") / F.col("selected"), 4).alias("coverage"), reason.alias("unavailable"))
-
-
 def merge_geometries(features: DataFrame, key: str, polygons: str = "polygons") -> DataFrame:
     """One row per key with all its features' polygons."""
     return features.groupBy(key).agg(F.flatten(F.collect_list(polygons)).alias("polygons"))

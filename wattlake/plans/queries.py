@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from wattlake.functions import scalars as S
 from wattlake.operators import models as M
+from wattlake.operators import cover as C
 from wattlake.operators import relational as R
+from wattlake.operators import zonal as Z
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -136,16 +138,21 @@ def observed_capacity_factor(spark, sf_dir):
     return r.select("l_suppkey", F.round("central", 6).alias("central"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "years")
 
 
+def _boxes(spark, sf_dir):
+    """A nation's shape: a box."""
+    x, y = (F.col("n_nationkey") * 7).cast("double"), (F.col("n_nationkey") % 5 * 5).cast("double")
+    ring = F.array(*[F.array(a, b) for a, b in ((x, y), (x + 6.5, y), (x + 6.5, y + 4.5), (x, y + 4.5))])
+    return t(spark, sf_dir, "nation").select("n_nationkey", F.array(F.array(ring)).alias("polygons"))
+
+
 @query("""
 SELECT c_custkey, n_nationkey FROM (SELECT c_custkey, CAST(c_custkey % 360 AS DOUBLE) / 2 AS lon, CAST(c_custkey * 7 % 100 AS DOUBLE) / 4 AS lat FROM customer) p
 JOIN (SELECT n_nationkey, CAST(n_nationkey * 7 AS DOUBLE) AS x, CAST(n_nationkey % 5 * 5 AS DOUBLE) AS y FROM nation) q
 ON lon BETWEEN x AND x + 6.5 AND lat BETWEEN y AND y + 4.5""")
 def point_in_polygon(spark, sf_dir):
-    """Regions' points in countries' polygons, bounds included, by grid cells and ray casting."""
+    """Regions' points in countries' polygons, bounds included, by a cover of cells."""
     points = t(spark, sf_dir, "customer").select("c_custkey", ((F.col("c_custkey") % 360).cast("double") / 2).alias("lon"), ((F.col("c_custkey") * 7 % 100).cast("double") / 4).alias("lat"))
-    x, y = (F.col("n_nationkey") * 7).cast("double"), (F.col("n_nationkey") % 5 * 5).cast("double")
-    polygons = t(spark, sf_dir, "nation").select("n_nationkey", F.array(x, x + 6.5, x + 6.5, x).alias("xs"), F.array(y, y, y + 4.5, y + 4.5).alias("ys"))
-    return R.point_in_polygon(points, polygons).select("c_custkey", "n_nationkey")
+    return C.contains(points, "c_custkey", _boxes(spark, sf_dir), "n_nationkey")
 
 
 @query("""
@@ -321,10 +328,8 @@ def zonal_sum(spark, sf_dir):
     """Raster cells whose centre lies in a polygon, summed per polygon."""
     k = F.col("p_partkey")
     cells = t(spark, sf_dir, "part").select("p_partkey", ((k % 180).cast("double") + 0.5).alias("lon"), ((k * 3 % 25).cast("double") + 0.5).alias("lat"), "p_retailprice")
-    x, y = (F.col("n_nationkey") * 7).cast("double"), (F.col("n_nationkey") % 5 * 5).cast("double")
-    polygons = t(spark, sf_dir, "nation").select("n_nationkey", F.array(x, x + 6.5, x + 6.5, x).alias("xs"), F.array(y, y, y + 4.5, y + 4.5).alias("ys"))
-    found = R.point_in_polygon(cells, polygons).dropDuplicates(["n_nationkey", "p_partkey"])
-    return found.groupBy("n_nationkey").agg(F.sum(R.money(F.col("p_retailprice"))).cast("double").alias("zone_sum"), F.count("*").alias("cells"))
+    found = Z.zonal_totals(cells.withColumn("ok", F.lit(True)), _boxes(spark, sf_dir), "n_nationkey", Z.Grid(0.5, 0.5), "p_retailprice", "ok")
+    return found.select("n_nationkey", F.col("total").alias("zone_sum"), F.col("selected").alias("cells"))
 
 
 @query("""

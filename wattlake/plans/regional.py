@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wattlake.functions import scalars as S
 from wattlake.functions import vocabulary as V
+from wattlake.operators import cover as C
 from wattlake.operators import energy as E
 from wattlake.operators import models as M
 from wattlake.operators import plants as P
@@ -17,6 +18,7 @@ from wattlake.operators import population as N
 from wattlake.operators import relational as R
 from wattlake.operators import snapshot as W
 from wattlake.operators import spatial as G
+from wattlake.operators import zonal as Z
 from wattlake.plans.queries import query, t
 from wattlake.sources import feeds
 
@@ -193,14 +195,14 @@ def _spots(spark, sf_dir):
 @query(f"SELECT c_custkey, n_nationkey FROM {SPOTS} p JOIN {SHAPES} q ON {HELD}")
 def polygons_with_holes(spark, sf_dir):
     """Points in shapes of several parts with holes, edges included."""
-    return G.contains(_spots(spark, sf_dir), "c_custkey", _shapes(spark, sf_dir), "n_nationkey")
+    return C.contains(_spots(spark, sf_dir), "c_custkey", _shapes(spark, sf_dir), "n_nationkey")
 
 
 @query(f"""
 SELECT c_custkey, n_nationkey FROM {SPOTS} p JOIN {SHAPES} q ON p.c_nationkey % 5 = q.n_regionkey AND {HELD}""")
 def bucketed_containment(spark, sf_dir):
     """The same, only among shapes of the point's own group."""
-    return G.contains(_spots(spark, sf_dir).withColumn("region", F.col("c_nationkey") % 5), "c_custkey", _shapes(spark, sf_dir), "n_nationkey", equal=["region"])
+    return C.contains(_spots(spark, sf_dir).withColumn("region", F.col("c_nationkey") % 5), "c_custkey", _shapes(spark, sf_dir), "n_nationkey", equal=["region"])
 
 
 @query(f"""
@@ -227,7 +229,7 @@ def zonal_coverage(spark, sf_dir):
     """Valid raster cells in shapes with holes: sums, selected cells, share of valid ones."""
     k = F.col("p_partkey")
     cells = t(spark, sf_dir, "part").select("p_partkey", ((k % 180).cast("double") + 0.5).alias("lon"), ((k * 3 % 25).cast("double") + 0.5).alias("lat"), F.col("p_retailprice").alias("v"), (k % 9 > 0).alias("ok"))
-    return G.zonal_sum(cells, "p_partkey", _shapes(spark, sf_dir), "n_nationkey", "v", "ok")
+    return Z.zonal_sum(cells, _shapes(spark, sf_dir), "n_nationkey", Z.Grid(0.5, 0.5), "v", "ok")
 
 
 @query(f"""
@@ -237,7 +239,7 @@ def regional_population(spark, sf_dir):
     """Population of every region and year from the one raster there is."""
     k = F.col("p_partkey")
     cells = t(spark, sf_dir, "part").select("p_partkey", F.lit(2025).alias("year"), ((k % 180).cast("double") + 0.5).alias("lon"), ((k * 3 % 25).cast("double") + 0.5).alias("lat"), F.col("p_retailprice").alias("value"), (k % 9 > 0).alias("valid"))
-    return G.regional_population(cells, "p_partkey", _shapes(spark, sf_dir), "n_nationkey", (2026, 2027, 2028)).drop("coverage")
+    return Z.regional_population(cells, _shapes(spark, sf_dir), "n_nationkey", Z.Grid(0.5, 0.5), (2026, 2027, 2028)).drop("coverage")
 
 
 @query("""
