@@ -65,10 +65,27 @@ def test_pages_check_totals_progress_and_repeats():
     with pytest.raises(ValueError) as e:
         list(feeds.pages(failing, 3, secrets=("hush2",)))
     assert "hush" not in str(e.value)
-    q = feeds.route_query("generation", 2020, 2024, offset=10)
-    assert q["frequency"] == "annual" and q["facets[sectorid][]"] == "99" and q["offset"] == "10"
-    with pytest.raises(ValueError):
-        feeds.route_query("hourly", 2020, 2024)
+    q = feeds.route_query("generation", offset=10)
+    assert q["frequency"] == "annual" and q["facets[sectorid][]"] == "99" and q["offset"] == "10" and q["sort[0][direction]"] == "desc"
+    assert feeds.route_query("capability", [" tx"])["facets[stateId][]"] == "TX" and feeds.route_query("sales", ["tx", "CA", "tx", " "])["facets[stateid][]"] == ["CA", "TX"]
+    assert feeds.route_query("capability")["facets[fuelTypeId][]"] == feeds.route_query("capability")["facets[producerTypeId][]"] == "ALL"
+    for route, text in (("hourly", "unknown"), ("interchange", "never")):
+        with pytest.raises(ValueError, match=text):
+            feeds.route_query(route)
+
+
+def test_envelopes_are_annual_and_name_their_route():
+    rows = [{"period": "2024", "_routeId": "sales"}]
+    assert feeds.annual_rows({"response": {"frequency": "Annual", "data": rows}}) == rows
+    assert feeds.annual_rows({"response": {"data": [{"preAggregatedAnnual": True}]}}, pre_aggregated=True)
+    for bad in ({}, {"response": []}, {"response": {"data": {}}}, {"response": {"data": [1]}}, {"response": {"frequency": "hourly", "data": []}}, {"response": {"data": rows}}):
+        with pytest.raises(ValueError):
+            feeds.annual_rows(bad)
+    assert feeds.route_of({"response": {"data": rows}}) == "sales" and feeds.route_of({}, "interchange") == "interchange"
+    assert feeds.route_of({"request": {"command": "/v2/electricity/retail-sales/data/?x"}, "response": {"data": []}}) == "sales"
+    for bad in ({"response": {"data": [{"_routeId": "sales"}, {"_routeId": "generation"}]}}, {}):
+        with pytest.raises(ValueError):
+            feeds.route_of(bad)
 
 
 def test_landed_pages_and_indicator(spark, tmp_path):
@@ -112,6 +129,43 @@ def test_workbooks_find_their_header_and_type_units(spark, tmp_path):
         list(feeds.sheet_rows(workbook([["a"]]), (), ("Plant ID",)))
 
 
+def test_csv_and_workbook_share_their_headers(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('\ufeffGEM Location ID,Plant ID,GEM Unit/Phase ID,Project Name,Unit Name,Country/Area,Status,Capacity (MW),Technology,Latitude,Longitude,Start year\nL1,P1,U1,One,"A, ""B""",Aland,operating,"1,200",Solar PV,1.25,2,2019\n')
+    got = feeds.tracker_records(feeds.csv_rows(spark, str(tmp_path / "t.csv"))).collect()
+    assert [(r["plant_id"], r["unit_id"], r["capacity"]["central"], r["name"], r["lat"]) for r in got] == [("P1", "U1", 1200.0, 'A, "B"', 1.25)]
+    (tmp_path / "bad.csv").write_text("Plant ID,Unit ID,Status,Latitude,Longitude\nP1,U1,operating,1,2\n,U2,operating,1,2\n")
+    with pytest.raises(PySparkException):
+        feeds.tracker_records(feeds.csv_rows(spark, str(tmp_path / "bad.csv"))).collect()
+
+
+def test_a_long_sheet_is_never_held_whole(tmp_path):
+    import tracemalloc
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    path, n = tmp_path / "long.xlsx", 200_000
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="Power" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/a.xml"/></Relationships>')
+        with z.open("xl/sharedStrings.xml", "w") as f:
+            f.write(f"<sst {ns}><si><t>Plant ID</t></si><si><t>Unit ID</t></si>".encode())
+            f.write(b"".join(b"<si><r><t>unit </t></r><r><t>%d</t></r><rPh><t>kana</t></rPh></si>" % i for i in range(n)))
+            f.write(b"</sst>")
+        with z.open("xl/worksheets/a.xml", "w") as f:
+            f.write(f"<worksheet {ns}><sheetData><row><c t=\"s\"><v>0</v></c><c t=\"s\"><v>1</v></c></row>".encode())
+            for i in range(n):
+                f.write(b'<row r="%d"><c r="A%d" t="inlineStr"><is><t>p</t></is></c><c r="B%d" t="s"><v>%d</v></c></row>' % (i + 2, i + 2, i + 2, i + 2))
+            f.write(b"</sheetData></worksheet>")
+    with open(path, "rb") as f:
+        tracemalloc.start()
+        last, count = None, 0
+        for last in feeds.sheet_rows(f, (), ("Plant ID", "Unit ID")):
+            count += 1
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert count == n and last == {"Plant ID": "p", "Unit ID": f"unit {n - 1}"}
+    assert peak < 30_000_000  # the sheet as a tree takes over 300 MB
+
+
 @pytest.mark.parametrize("change", [{"Plant ID": ""}, {"Capacity (MW)": "-5"}, {"Capacity (MW)": "many"}, {"Latitude": None}, {"Latitude": "95"}, {"Status": "odd"}, {"Start year": "soon"}])
 def test_tracker_rows_that_are_broken_raise(spark, change):
     row = dict(zip(HEADER, ["P1", "U1", "One", None, "Aland", "operating", "12", "wind", "1", "2", "2019"], strict=True)) | change

@@ -11,15 +11,6 @@ def test_json_stat_leaves_absent_positions_null(spark, tmp_path):
     assert {r["code"]: r["value"] for r in readers.json_stat(spark, str(p), "geo").collect()} == {"A": 2.5, "B": None}
 
 
-def test_countries_merge_and_skip_those_without_code(spark, tmp_path):
-    square = lambda x: [[[x, 0], [x + 1, 0], [x + 1, 1], [x, 0]]]
-    feature = lambda iso, g: {"properties": {"iso2cd": iso, "nam_en": iso}, "geometry": g}
-    p = tmp_path / "c.json"
-    p.write_text(json.dumps({"features": [feature("AA", {"type": "Polygon", "coordinates": square(0)}), feature("AA", {"type": "MultiPolygon", "coordinates": [square(2), square(4)]}), feature(None, {"type": "LineString", "coordinates": [[0, 0], [1, 1]]})]}))
-    got = readers.geojson_countries(spark, str(p)).collect()
-    assert [(r["iso2"], len(r["polygons"])) for r in got] == [("AA", 3)]
-
-
 def test_bindings_and_power_units(spark, tmp_path):
     b = {"element": {"type": "uri", "value": "https://x/way/12"}, "output": {"type": "literal", "value": "1,250 MW"}, "geometry": {"type": "literal", "value": "LINESTRING(0 0, 2 4)"}}
     p = tmp_path / "b.json"
@@ -28,12 +19,6 @@ def test_bindings_and_power_units(spark, tmp_path):
     assert [(r["kind"], r["id"], r["capacity_mw"], r["lon"], r["lat"], r["name"]) for r in rows] == [("way", "12", 1250.0, 1.0, 2.0, None)]
 
 
-def test_tracker_header_aliases(spark, tmp_path):
-    p = tmp_path / "t.csv"
-    p.write_text('Plant ID,GEM Unit/Phase ID,Project Name,Capacity (MW),Latitude,Longitude,Status\nP1,U1,One,"1,200",1,2,Operating\n,U2,None,5,1,2,x\nP3,U3,Bad,5,,2,x\n')
-    assert [(r["unit_id"], r["capacity"], r["status"]) for r in readers.tracker_units(spark, str(p)).collect()] == [("U1", 1200.0, "operating")]
-
-
 def test_wide_generation_latest(spark):
     d = spark.createDataFrame([("a", 1.0, None), ("b", None, None), ("c", 1.0, 2.0)], "id string, generation_gwh_2019 double, generation_gwh_2020 double")
     assert {r["id"]: r["latest"] for r in readers.wide_generation(d, "id").collect()} == {"a": 1.0, "b": None, "c": 2.0}
@@ -69,8 +54,3 @@ def test_compact_expand_inverse(spark):
     assert sorted(sinks.expand(defs, facts, "id").select("id", "n", "v").collect()) == sorted(d.collect())
     with pytest.raises(ValueError):
         sinks.compact(spark.createDataFrame([("k", 1, "x"), ("k", 2, "z")], "id string, n int, v string"), "id", ["v"])
-
-
-def test_quality_gate():
-    assert sinks.quality_gate({"a": 5}, {"a": 5}) == []
-    assert len(sinks.quality_gate({"a": 4, "b": 0}, {"a": 5})) == 2

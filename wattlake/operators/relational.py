@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattlake.operators.graph import written
+
 
 def money(c: Column) -> Column:
     """Exact sums: doubles as decimals with six places, so that a sum does not depend on its order."""
@@ -67,18 +69,41 @@ def weighted_mean(value: Column, weight: Column) -> Column:
     return (F.sum(money(value * weight)).cast("double") / F.sum(money(weight)).cast("double"))
 
 
+#: Widths of the cells of longitudes, each a part of the one before; by the last, 360 degrees take more cells than any key has longitudes.
+LON_CELLS = (0.1, 0.1 / 3600, 0.1 / 3600**2)
+
+
+def _largest_gap(d: DataFrame, keys: Sequence[str], lon: str, width: float, around: bool) -> DataFrame:
+    """keys and ``gap`` (gap, tie, west, east): the largest one between a key's cells of longitudes; ``around`` counts the one over the end.
+
+    Only each cell's least and greatest longitude are gathered, by partial aggregation.
+    """
+    cells = d.groupBy(*keys, F.floor((F.col(lon) + 180) / width).alias("_cell")).agg(F.min(lon).alias("low"), F.max(lon).alias("high"))
+    whole = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("c"))
+    c, n = F.col("c"), F.size("c")
+    after = lambda i: F.when(i < n, F.try_element_at(c, i + 1)["low"]).otherwise(c[0]["low"])
+    gap = lambda i: F.struct((after(i) + F.when(i == n, 360.0).otherwise(0.0) - c[i - 1]["high"]).alias("gap"), (-c[i - 1]["high"]).alias("tie"), after(i).alias("west"), c[i - 1]["high"].alias("east"))
+    gaps = F.transform(F.sequence(F.lit(1), n), gap)
+    return whole.select(*keys, F.array_max(gaps if around else F.slice(gaps, 1, n - 1)).alias("gap")).where("gap is not null")
+
+
 def circular_bounds(df: DataFrame, key: str, lon: str) -> DataFrame:
     """West and east bound of each key's longitudes: the complement of the largest gap on the circle.
 
-    Longitudes are first reduced to distinct ones; the running order is per key.
+    A gap as wide as a cell lies between cells, so a tenth of a degree tells
+    nearly every key; keys whose longitudes leave no such gap are looked at once
+    more in finer cells. Of equal gaps the first from the west counts; null longitudes do not.
     """
-    d = df.select(key, lon).distinct()
-    w = Window.partitionBy(key).orderBy(lon)
-    whole = Window.partitionBy(key)
-    gaps = d.withColumn("next", F.coalesce(F.lead(lon).over(w), F.min(lon).over(whole) + 360)).withColumn("gap", F.col("next") - F.col(lon))
-    gaps = gaps.withColumn("_west", F.coalesce(F.lead(lon).over(w), F.min(lon).over(whole)))
-    best = F.max(F.struct("gap", (-F.col(lon)).alias("tie"), F.col("_west").alias("west"), F.col(lon).alias("east")))
-    return gaps.groupBy(key).agg(best.alias("m")).select(key, "m.west", "m.east")
+    d = df.select(key, lon).where(F.col(lon).isNotNull())
+    first = _largest_gap(d, [key], lon, LON_CELLS[0], True)
+    narrow = first.where(F.col("gap.gap") < LON_CELLS[0]).select(key)
+    found = first
+    if not narrow.isEmpty():
+        cell = lambda w: F.floor((F.col(lon) + 180) / w)
+        dense = d.join(narrow, key, "left_semi").withColumn("_a", cell(LON_CELLS[0])).withColumn("_b", cell(LON_CELLS[1]))
+        second, third = _largest_gap(dense, [key, "_a"], lon, LON_CELLS[1], False), _largest_gap(dense, [key, "_a", "_b"], lon, LON_CELLS[2], False)
+        found = first.union(second.select(key, "gap")).union(third.select(key, "gap")).groupBy(key).agg(F.max("gap").alias("gap"))
+    return found.select(key, "gap.west", "gap.east")
 
 
 def circular_centre(df: DataFrame, key: str, lon: str) -> DataFrame:
@@ -121,18 +146,64 @@ def shares(df: DataFrame, group: Sequence[str], value: str) -> Column:
     return F.when(total == 0, F.raise_error(F.lit("shares of a zero total")).cast("double")).otherwise(F.col(value) / total)
 
 
+#: Fractions are whole numbers of nine digits; each pass tells ten bits of the least one that still gets a unit.
+FRACTION, PASSES = 10**9, (20, 10, 0)
+
+
+def _cut(rows: DataFrame, need: DataFrame, shift: int) -> DataFrame:
+    """_g, _cut and _need: the part of ``_frac`` above ``shift`` in which a group's last units fall, and how many are left for it.
+
+    Counts by group and part come first, at most about a thousand a group.
+    """
+    counts = rows.groupBy("_g", F.shiftright("_frac", shift).alias("_part")).agg(F.count(F.lit(1)).alias("n"))
+    falling = counts.groupBy("_g").agg(F.sort_array(F.collect_list(F.struct("_part", "n")), False).alias("p"))
+    start = F.struct(F.lit(None).cast("long").alias("cut"), F.col("_need").alias("left"))
+    step = lambda acc, p: F.when(acc["cut"].isNotNull(), acc).when(acc["left"] <= p["n"], F.struct(p["_part"].cast("long").alias("cut"), acc["left"].alias("left"))).otherwise(F.struct(acc["cut"].alias("cut"), (acc["left"] - p["n"]).alias("left")))
+    told = falling.join(need, "_g").select("_g", F.aggregate("p", start, step).alias("c"))
+    return told.select("_g", F.col("c.cut").alias("_cut"), F.col("c.left").alias("_need"))
+
+
+def _first_by_id(ties: DataFrame, need: DataFrame, ident: str) -> DataFrame:
+    """Rows of equal fractions that get a group's last units: the first by id.
+
+    Rows are dealt by ranges of group and id; a row's place is its place in its range, after the rows of its group in
+    the ranges before.
+    """
+    at = written(ties.select("_g", ident).repartitionByRange("_g", ident).sortWithinPartitions("_g", ident).withColumn("_at", F.monotonically_increasing_id()))
+    at = at.withColumns({"_range": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    ranges = at.groupBy("_g", "_range").agg(F.min("_row").alias("_start"), F.count(F.lit(1)).alias("n"))
+    listed = ranges.groupBy("_g").agg(F.collect_list(F.struct("_range", "n")).alias("all"))
+    before = F.aggregate(F.filter("all", lambda r: r["_range"] < F.col("_range")), F.lit(0).cast("long"), lambda s, r: s + r["n"])
+    placed = at.join(ranges.join(listed, "_g").select("_g", "_range", "_start", before.alias("_before")), ["_g", "_range"]).join(need, "_g")
+    return placed.where(F.col("_before") + F.col("_row") - F.col("_start") < F.col("_need")).select("_g", ident)
+
+
 def largest_remainder(df: DataFrame, group: Sequence[str], ident: str, weight: str, total: str) -> DataFrame:
     """Whole units of ``total`` by weight: floors, then one each by falling fraction (ids break ties); null where all weights are zero.
 
-    Weights are summed exactly, so the order of rows does not matter; sums are
-    aggregated and joined back, and only the ranks of the leftovers need a window.
+    Weights are summed exactly, so the order of rows does not matter. The least fraction that still gets a unit is
+    found by counts, ten bits a pass, and only rows of that very fraction are put in order: no group is in one task.
+    ``ident`` is unique in a group. A null group is a group; a null total gives nulls.
     """
-    whole = df.groupBy(*group).agg(F.sum(money(F.col(weight))).cast("double").alias("_all"))
+    keys = [F.col(c).eqNullSafe(F.col(f"_all_{c}")) for c in group]
+    whole = df.groupBy(*group).agg(F.sum(money(F.col(weight))).cast("double").alias("_all")).withColumnsRenamed({c: f"_all_{c}" for c in group})
     exact = F.when(F.col("_all") > 0, F.bround(F.col(total).cast("double") * money(F.col(weight)).cast("double") / F.col("_all"), 9))
-    d = df.join(whole, list(group)).withColumn("_exact", exact).withColumn("_floor", F.floor("_exact"))
-    d = d.join(d.groupBy(*group).agg(F.sum("_floor").alias("_given")), list(group))
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy((F.col("_exact") - F.col("_floor")).desc_nulls_last(), ident))
-    return d.withColumn("units", (F.col("_floor") + F.when(rank <= F.col(total) - F.col("_given"), 1).otherwise(0)).cast("long")).drop("_exact", "_floor", "_all", "_given")
+    d = df.join(whole, keys).drop(*[f"_all_{c}" for c in group]).withColumn("_exact", exact).withColumn("_floor", F.floor("_exact"))
+    d = written(d.withColumns({"_frac": F.round((F.col("_exact") - F.col("_floor")) * FRACTION).cast("long"), "_g": F.to_json(F.struct(*group), {"ignoreNullFields": "false"})}).drop("_exact", "_all"))
+    open_rows = d.where("_floor is not null").select("_g", ident, "_frac", "_floor", F.col(total).alias("_total"))
+    need = written(open_rows.groupBy("_g").agg((F.max("_total") - F.sum("_floor")).cast("long").alias("_need")).where("_need > 0"))
+    rows, left, cut = open_rows.join(need.select("_g"), "_g", "left_semi"), need, None
+    for shift in PASSES:
+        if cut is not None:
+            rows = open_rows.join(cut, "_g").where(F.shiftright("_frac", cut_shift) == F.col("_cut")).drop("_cut", "_need")
+            left = cut.select("_g", "_need")
+        cut, cut_shift = written(_cut(rows, left, shift)), shift
+    # A group with more units left than rows gives each of them one: it has no cut.
+    ties = open_rows.join(cut.where("_cut is not null"), "_g").where(F.col("_frac") == F.col("_cut"))
+    first = _first_by_id(ties, cut.select("_g", "_need"), ident).withColumn("_tied", F.lit(1))
+    out = d.join(cut.select("_g", "_cut", F.lit(True).alias("_open")), "_g", "left").join(first, ["_g", ident], "left")
+    more = F.when(F.col("_open") & (F.col("_cut").isNull() | (F.col("_frac") > F.col("_cut"))), 1).otherwise(F.coalesce("_tied", F.lit(0)))
+    return out.withColumn("units", (F.col("_floor") + more).cast("long")).select(*df.columns, "units")
 
 
 def residual_to_top(df: DataFrame, group: Sequence[str], ident: str, score: str, value: str, total: str) -> DataFrame:

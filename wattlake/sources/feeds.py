@@ -5,7 +5,8 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from typing import BinaryIO
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -91,20 +92,65 @@ def redact(text: str, secrets: tuple[str, ...] = ()) -> str:
     return re.sub(r"(?i)(api[_-]?key|token|secret)=[^&\s\"']+", r"\1=***", text)
 
 
-# The state series' routes.
-ROUTES = {"sales": "electricity/retail-sales/data", "generation": "electricity/electric-power-operational-data/data", "capability": "electricity/state-electricity-profiles/capability/data", "interchange": "electricity/rto/interchange-data/data"}
+# The state series' routes, and what each is asked for.
+ROUTES = {
+    "sales": "electricity/retail-sales/data/",
+    "generation": "electricity/electric-power-operational-data/data/",
+    "capability": "electricity/state-electricity-profiles/capability/data/",
+    "interchange": "electricity/rto/region-data/data/",
+}
+ROUTE_FACETS = {
+    "sales": {"facets[sectorid][]": "ALL"},
+    "generation": {"facets[sectorid][]": "99"},
+    "capability": {"facets[producerTypeId][]": "ALL", "facets[fuelTypeId][]": "ALL"},
+}
+STATE_FACETS = {"sales": "facets[stateid][]", "generation": "facets[location][]", "capability": "facets[stateId][]"}
 
 
-def route_query(route: str, start: int, end: int, length: int = 5000, offset: int = 0) -> dict[str, str]:
-    """Parameters of one page of an annual state series; an unknown route raises."""
-    if route not in ROUTES:
-        raise ValueError(f"unknown route {route}")
-    metric = {"sales": "sales", "generation": "generation", "capability": "capability", "interchange": "value"}[route]
-    facets = {"sales": {"facets[sectorid][]": "ALL"}, "generation": {"facets[sectorid][]": "99"}}.get(route, {})
-    return {"frequency": "annual", "data[0]": metric, "start": str(start), "end": str(end), "sort[0][column]": "period", "sort[0][direction]": "asc", "offset": str(offset), "length": str(length), **facets}
+def route_query(route: str, states: Sequence[str] = (), length: int = 5000, offset: int = 0) -> dict[str, str | list[str]]:
+    """Parameters of one page of an annual state series, the newest year first, of all or of some states.
+
+    An unknown route raises, and so does interchange, which is never fetched by region: only its annual sums are read.
+    """
+    if route not in ROUTE_FACETS:
+        raise ValueError(f"route {route} is never fetched" if route in ROUTES else f"unknown route {route}")
+    wanted = sorted({s.strip().upper() for s in states if s.strip()})
+    of = {STATE_FACETS[route]: wanted[0] if len(wanted) == 1 else wanted} if wanted else {}
+    return {"frequency": "annual", "data[0]": route, "sort[0][column]": "period", "sort[0][direction]": "desc", "offset": str(offset), "length": str(length), **ROUTE_FACETS[route], **of}
 
 
-def pages(fetch: Callable[[int], dict], length: int, most_pages: int = 1000, most_rows: int = 5_000_000, secrets: tuple[str, ...] = ()) -> Iterator[dict]:
+def annual_rows(envelope: dict, pre_aggregated: bool = False) -> list[dict]:
+    """Records of a saved response: ``response.data`` is a list of records and its frequency is annual, or an error.
+
+    With ``pre_aggregated`` records that all say so need no frequency.
+    """
+    response = envelope.get("response")
+    rows = response.get("data") if isinstance(response, dict) else None
+    if not isinstance(rows, list) or not all(isinstance(r, dict) for r in rows):
+        raise ValueError("unexpected response: response.data must be a list of records")
+    told = str(response.get("frequency") or "").lower()
+    if told not in ("annual", "yearly") and not (pre_aggregated and rows and all(r.get("preAggregatedAnnual") is True for r in rows)):
+        raise ValueError(f"annual rows are needed, not {told or 'ones without a frequency'}")
+    return rows
+
+
+def route_of(envelope: dict, given: str | None = None) -> str:
+    """The route of a saved response: as given, as its records say, or as its request was; else an error."""
+    if given is not None:
+        if given not in ROUTES:
+            raise ValueError(f"unknown route {given}")
+        return given
+    told = {r.get("_routeId") for r in envelope.get("response", {}).get("data", [])} - {None, ""}
+    if len(told) == 1 and told <= set(ROUTES):
+        return told.pop()
+    command = str((envelope.get("request") or {}).get("command") or "")
+    found = [r for r, path in ROUTES.items() if path.rstrip("/") in command]
+    if not found:
+        raise ValueError("the response names no route")
+    return found[0]
+
+
+def pages(fetch: Callable[[int], dict], length: int, most_pages: int = 1000, most_rows: int = 250_000, secrets: tuple[str, ...] = ()) -> Iterator[dict]:
     """Rows of an offset-paged response; ``fetch`` takes an offset and gives total and data.
 
     A total that changes, a page that repeats, one without progress, and more
@@ -160,29 +206,69 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def sheet_rows(body: bytes, hints: tuple[str, ...], headers: tuple[str, ...], search: int = 100) -> Iterator[dict[str, str]]:
-    """Rows of a workbook's sheet as header to text.
+MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+STRINGS_AT_ONCE = 1 << 16
+
+
+def _elements(stream, tag: str) -> Iterator[ElementTree.Element]:
+    """Elements of a name as they end; each is dropped from the tree once it has been used."""
+    path: list[ElementTree.Element] = []
+    for event, element in ElementTree.iterparse(stream, ("start", "end")):
+        if event == "start":
+            path.append(element)
+            continue
+        path.pop()
+        if element.tag == tag:
+            yield element
+            if path:
+                path[-1].clear()
+
+
+def _text(element: ElementTree.Element) -> str:
+    """An element's text runs, without the phonetic ones."""
+    heard = {id(t) for r in element.iter(f"{MAIN}rPh") for t in r.iter(f"{MAIN}t")}
+    return "".join(t.text or "" for t in element.iter(f"{MAIN}t") if id(t) not in heard)
+
+
+class SharedStrings:
+    """A workbook's shared strings as Arrow arrays of a fixed number each."""
+
+    def __init__(self, stream):
+        self.parts: list[pa.Array] = []
+        held: list[str] = []
+        for si in _elements(stream, f"{MAIN}si"):
+            held.append(_text(si))
+            if len(held) == STRINGS_AT_ONCE:
+                self.parts.append(pa.array(held, pa.string()))
+                held = []
+        self.parts.append(pa.array(held, pa.string()))
+
+    def __getitem__(self, i: int) -> str:
+        return self.parts[i // STRINGS_AT_ONCE][i % STRINGS_AT_ONCE].as_py()
+
+
+def sheet_rows(body: bytes | BinaryIO, hints: tuple[str, ...], headers: tuple[str, ...], search: int = 100) -> Iterator[dict[str, str]]:
+    """Rows of a workbook's sheet as header to text, as they are read: no sheet is held whole.
 
     Sheets whose names have a hint come first; the header row is the first of
     the leading ``search`` that has all ``headers``. A workbook without one raises.
     """
-    ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
     rel = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-    with zipfile.ZipFile(io.BytesIO(body)) as z:
+    with zipfile.ZipFile(io.BytesIO(body) if isinstance(body, bytes) else body) as z:
         names = set(z.namelist())
-        shared = ["".join(t.text or "" for t in si.iter(f"{{{ns['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", ns)] if "xl/sharedStrings.xml" in names else []
+        shared = SharedStrings(z.open("xl/sharedStrings.xml")) if "xl/sharedStrings.xml" in names else []
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        sheets = [(s.get("name"), targets[s.get(rel)]) for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{{{ns['m']}}}sheet")]
+        sheets = [(s.get("name"), targets[s.get(rel)]) for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{MAIN}sheet")]
         rank = lambda s: next((i for i, h in enumerate(hints) if h.lower() in s[0].lower()), len(hints))
         for _, target in sorted(sheets, key=rank):
             path = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
             header = None
-            for number, row in enumerate(ElementTree.fromstring(z.read(path)).iter(f"{{{ns['m']}}}row")):
+            for number, row in enumerate(_elements(z.open(path), f"{MAIN}row")):
                 cells = {}
-                for c in row.findall("m:c", ns):
-                    v = c.find("m:v", ns)
-                    text = "".join(t.text or "" for t in c.iter(f"{{{ns['m']}}}t")) if c.get("t") == "inlineStr" else v.text if v is not None else None
-                    cells[_column(c.get("r"))] = shared[int(text)] if c.get("t") == "s" and text is not None else text
+                for at, c in enumerate(row.findall(f"{MAIN}c")):
+                    v, kind = c.find(f"{MAIN}v"), c.get("t")
+                    text = _text(c) if kind == "inlineStr" else v.text if v is not None else None
+                    cells[_column(c.get("r")) if c.get("r") else at] = shared[int(text)] if kind == "s" and text is not None else text
                 if header is None:
                     have = {(t or "").strip().lower() for t in cells.values()}
                     if all(h.lower() in have for h in headers):
@@ -197,7 +283,10 @@ def sheet_rows(body: bytes, hints: tuple[str, ...], headers: tuple[str, ...], se
 
 
 def workbooks(spark: SparkSession, path: str, hints: tuple[str, ...], headers: tuple[str, ...]) -> DataFrame:
-    """Rows of workbooks as maps, one task per file, beside the file's name; a workbook is read whole, as its format asks."""
+    """Rows of workbooks as maps beside the file's name, a task per file, out in parts as they are read.
+
+    A task holds a file as it is packed, its strings and one part of its rows.
+    """
 
     def fn(batches):
         for batch in batches:
@@ -245,6 +334,12 @@ TRACKER_HEADERS = {
 }
 
 
+def csv_rows(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """``row`` of CSV files with a header, as ``workbooks`` gives it: header to text, empty ones null."""
+    raw = spark.read.option("header", True).option("encoding", encoding).option("multiLine", True).option("escape", '"').csv(path)
+    return raw.select(F.map_from_arrays(F.array(*[F.lit(c.lstrip("\ufeff").strip()) for c in raw.columns]), F.array(*[F.col(f"`{c}`") for c in raw.columns])).alias("row"))
+
+
 def tracker_records(rows: DataFrame) -> DataFrame:
     """Typed units of tracker rows (``row``: header to text). Missing ids, bad numbers, capacities and lone coordinates raise."""
     keyed = rows.withColumn("row", F.map_from_entries(F.array_distinct(F.transform(F.map_entries("row"), lambda e: F.struct(S.key_normalize(e["key"]).alias("key"), e["value"].alias("value"))))))

@@ -7,36 +7,11 @@ from pyspark.sql import functions as F
 
 from wattlake.functions.scalars import NULL_WORDS, capacity_mw
 
-# Header names of the unit tracker, the first filled one counts.
-UNIT_HEADERS = {
-    "plant_id": ("GEM Location ID", "Plant ID"),
-    "unit_id": ("GEM Unit/Phase ID", "Unit ID"),
-    "name": ("Project/Plant Name", "Project Name", "Plant Name"),
-    "country": ("Country/Area", "Country"),
-    "capacity": ("Capacity (MW)",),
-    "status": ("Status",),
-    "latitude": ("Latitude",),
-    "longitude": ("Longitude",),
-}
-
-
 def filled(c: Column) -> Column:
     t = F.trim(c)
     return F.when(~F.lower(t).isin(*NULL_WORDS), t)
 
 
-def geojson_countries(spark: SparkSession, path: str) -> DataFrame:
-    """iso2, name and polygons of a FeatureCollection; features of one country merge, those without a code go."""
-    ring = "array<array<array<double>>>"
-    schema = "features array<struct<properties:struct<iso2cd:string,nam_en:string>,geometry:struct<type:string,coordinates:string>>>"
-    f = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f")).select("f.properties.*", "f.geometry.*")
-    single = F.array(F.from_json("coordinates", ring))
-    many = F.from_json("coordinates", f"array<{ring}>")
-    f = f.where(F.col("iso2cd").rlike("^[A-Z]{2}$") & F.col("type").isin("Polygon", "MultiPolygon"))
-    f = f.select(F.col("iso2cd").alias("iso2"), F.col("nam_en").alias("name"), F.when(F.col("type") == "Polygon", single).otherwise(many).alias("p"))
-    return f.groupBy("iso2").agg(F.min("name").alias("name"), F.flatten(F.collect_list("p")).alias("polygons"))
-
-
 def json_stat(spark: SparkSession, path: str, dimension: str) -> DataFrame:
     """code and value of a one-dimension JSON-stat file: positions without a value are null."""
     raw = spark.read.text(path, wholetext=True)
@@ -62,16 +37,6 @@ def power_units(bindings: DataFrame) -> DataFrame:
     return bindings.select(F.regexp_extract("element", r"/(node|way|relation)/(\d+)", 1).alias("kind"), F.regexp_extract("element", r"/(node|way|relation)/(\d+)", 2).alias("id"), "name", capacity_mw(F.col("output")).alias("capacity_mw"), middle(odd).alias("lon"), middle(even).alias("lat"))
 
 
-def tracker_units(spark: SparkSession, path: str) -> DataFrame:
-    """Units of a tracker CSV by header aliases; plant_id and unit_id are required."""
-    raw = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
-    have = {c.lstrip("﻿").strip().lower(): c for c in raw.columns}
-    pick = lambda names: F.coalesce(*[filled(F.col(f"`{have[n.lower()]}`")) for n in names if n.lower() in have], F.lit(None).cast("string"))
-    d = raw.select(*[pick(names).alias(k) for k, names in UNIT_HEADERS.items()])
-    d = d.withColumns({c: F.regexp_replace(c, ",", "").try_cast("double") for c in ("capacity", "latitude", "longitude")}).withColumn("status", F.lower("status"))
-    return d.where("plant_id is not null and unit_id is not null and (capacity is null or capacity between 0 and 100000) and ((latitude is null) = (longitude is null))")
-
-
 def wide_generation(df: DataFrame, ident: str, prefix: str = "generation_gwh_") -> DataFrame:
     """Wide yearly columns to a map of years, and the latest year's value."""
     years = [c for c in df.columns if c.startswith(prefix)]
@@ -94,12 +59,3 @@ def electricity_rows(spark: SparkSession, path: str) -> DataFrame:
         F.map_from_entries(F.array_sort(F.collect_list(F.when((F.col("kind") == "fuel") & F.col("gwh").isNotNull(), F.struct("fuel", "gwh"))))).alias("mix"),
     )
     return agg
-
-
-def by_precedence(sources: list[tuple[str, DataFrame]]) -> DataFrame:
-    """Union of feeds with their rank, best first; missing columns are null."""
-    out = None
-    for rank, (name, df) in enumerate(sources):
-        d = df.withColumn("source", F.lit(name)).withColumn("source_rank", F.lit(rank))
-        out = d if out is None else out.unionByName(d, allowMissingColumns=True)
-    return out

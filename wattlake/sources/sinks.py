@@ -72,12 +72,6 @@ def expand(defs: DataFrame, facts: DataFrame, ident: str) -> DataFrame:
     return facts.join(defs, ident)
 
 
-def quality_gate(new: dict[str, int], old: dict[str, int] | None) -> list[str]:
-    """Reasons against a refresh: a count that is not positive, or one below the last snapshot's."""
-    out = [f"{k} is empty" for k, v in new.items() if v <= 0]
-    return out + [f"{k} dropped from {old[k]} to {v}" for k, v in new.items() if old and v < old.get(k, 0)]
-
-
 def publish(spark: SparkSession, root: str, snapshot: str, tables: dict[str, DataFrame]) -> str:
     """Write all tables under a temporary name, rename, then move the pointer. Ids are safe names, snapshots are immutable."""
     if not snapshot or not all(c.isalnum() or c in "-_." for c in snapshot) or snapshot.startswith("."):
