@@ -69,7 +69,7 @@ def _joined(keys: int, carried: list[str], folds: int):
             GROUP BY key, fold, t WINDOW w AS (PARTITION BY key, fold ORDER BY t);""" for i in range(keys))
     asof = " ".join(f"ASOF LEFT JOIN k{i} ON p._k{i} = k{i}.key AND p._time > k{i}.t ASOF LEFT JOIN f{i} ON p._k{i} = f{i}.key AND p._fold = f{i}.fold AND p._time > f{i}.t" for i in range(keys))
     events = " UNION ALL ".join(f"SELECT {i} AS level, _k{i} AS key, _fold AS fold, _time AS t, sum(_n)::BIGINT AS n, sum(_s)::BIGINT AS s FROM part WHERE _level IS NULL AND _tells GROUP BY ALL" for i in range(keys))
-    opened = f"SELECT _level, _key, f, {NEVER}, _open_n[f + 1], _open_s[f + 1] FROM part, range({folds}) AS r(f) WHERE _level IS NOT NULL AND _open_n[f + 1] <> 0"
+    opened = " UNION ALL ".join(f"SELECT _level, _key, {f}, {NEVER}, _n{f}, _s{f} FROM part WHERE _level IS NOT NULL AND _n{f} <> 0" for f in range(folds))
 
     def fn(batches):
         import duckdb
@@ -124,8 +124,9 @@ def history(rows: DataFrame, keys: Sequence[str], time: str, fold: str, n: str,
     amount = lambda c, f: F.sum(F.when((F.col("_fold") == f) & F.col("_tells"), F.col(c)).otherwise(0))
     totals = each.groupBy("_level", "_key", "_slice", "_shard").agg(*[amount(f"_{x}", f).alias(f"_{x}{f}") for x in "ns" for f in range(folds)])
     before = Window.partitionBy("_level", "_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    opening = totals.select("_shard", "_level", "_key", *[F.array(*[F.coalesce(F.sum(f"_{x}{f}").over(before), F.lit(0)) for f in range(folds)]).alias(f"_open_{x}") for x in "ns"])
-    opening = opening.where(F.exists("_open_n", lambda x: x != 0))
+    # Flat columns: a list's size would be measured anew for every row on its way to Python.
+    opening = totals.select("_shard", "_level", "_key", *[F.sum(f"_{x}{f}").over(before).alias(f"_{x}{f}") for x in "ns" for f in range(folds)])
+    opening = opening.where(sum((F.col(f"_n{f}") for f in range(folds)), F.lit(0)) > 0)
     both = cut.drop("_slice").unionByName(opening, allowMissingColumns=True)
     shards = max(1, slices * buckets)
     dealt = both.repartition(min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // 8))), "_shard").sortWithinPartitions(F.col("_shard"), F.col("_time").asc_nulls_first())
@@ -164,7 +165,8 @@ def encode_sales(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors:
     scratch = Scratch(lines.sparkSession)
     own = lines.groupBy("sale_id", F.coalesce("item_id", F.lit(-1)).alias("item_id"), "vendor_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count(F.when(F.col("flag") == "returned", 1)).alias("n_returned"))
     sold = sales.where("sold_at is not null").select("sale_id", F.coalesce("client_id", F.lit(-1)).alias("client_id"), local_micros(F.col("sold_at")).alias("time"))
-    least = lambda t, k, v: t.groupBy(k).agg(F.min(v).alias(v)).where(F.col(k).isNotNull())
+    # Written first: with a plain exchange on either side of a join, a hot id's rows can be split.
+    least = lambda t, k, v: scratch.write(t.groupBy(k).agg(F.min(v).alias(v)).where(F.col(k).isNotNull()), k)
     sold = sold.join(least(clients, "client_id", "segment").hint("merge"), "client_id", "left")
     rows = own.join(sold.hint("merge"), "sale_id")
     rows = rows.join(least(items, "item_id", "kind").hint("merge"), "item_id", "left")
