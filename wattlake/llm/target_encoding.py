@@ -21,6 +21,8 @@ from wattlake.llm.shared import Scratch
 #: Rows that a shard's task joins at once; a larger shard goes through in turns, its balances carried on.
 TURN_ROWS = 1 << 16
 NEVER = -(1 << 62)
+#: Stands for a key without a value.
+NULL = -(1 << 63)
 
 
 def _slices(times: DataFrame, column: str, slices: int) -> list[float]:
@@ -58,18 +60,18 @@ def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
         yield shard, pa.Table.from_batches(held)
 
 
-def _joined(keys: int, carried: list[str], folds: int):
+def _joined(keys: int, carried: list[str], folds: int, told_apart: bool):
     """mapInArrow over shards: rows by time, opening balances first; gives each asking row its history's n and s by key."""
+    rows = lambda role: f"(FROM part WHERE _level IS NULL{f' AND {role}' if told_apart else ''})"
     sums = ", ".join(f"coalesce(k{i}.{x}, 0) - coalesce(f{i}.{x}, 0) AS _k{i}_{x}" for i in range(keys) for x in ("n", "s"))
-    total = "(sum(sum({x})) OVER w)::BIGINT AS {x}"
-    both = ", ".join(total.format(x=x) for x in "ns")
+    both = ", ".join(f"(sum(sum({x})) OVER w)::BIGINT AS {x}" for x in "ns")
     cums = "".join(f"""
-        CREATE OR REPLACE TEMP TABLE k{i} AS SELECT key, t, {both} FROM told SEMI JOIN part ON told.key = part._k{i} WHERE level = {i} GROUP BY key, t WINDOW w AS (PARTITION BY key ORDER BY t);
-        CREATE OR REPLACE TEMP TABLE f{i} AS SELECT key, fold, t, {both} FROM told SEMI JOIN part ON told.key = part._k{i} AND told.fold = part._fold WHERE level = {i}
+        CREATE OR REPLACE TEMP TABLE k{i} AS SELECT key, t, {both} FROM told SEMI JOIN {rows("_asks")} p ON told.key = p._k{i} WHERE level = {i} GROUP BY key, t WINDOW w AS (PARTITION BY key ORDER BY t);
+        CREATE OR REPLACE TEMP TABLE f{i} AS SELECT key, fold, t, {both} FROM told SEMI JOIN {rows("_asks")} p ON told.key = p._k{i} AND told.fold = p._fold WHERE level = {i}
             GROUP BY key, fold, t WINDOW w AS (PARTITION BY key, fold ORDER BY t);""" for i in range(keys))
     asof = " ".join(f"ASOF LEFT JOIN k{i} ON p._k{i} = k{i}.key AND p._time > k{i}.t ASOF LEFT JOIN f{i} ON p._k{i} = f{i}.key AND p._fold = f{i}.fold AND p._time > f{i}.t" for i in range(keys))
-    events = " UNION ALL ".join(f"SELECT {i} AS level, _k{i} AS key, _fold AS fold, _time AS t, sum(_n)::BIGINT AS n, sum(_s)::BIGINT AS s FROM part WHERE _level IS NULL AND _tells GROUP BY ALL" for i in range(keys))
-    opened = " UNION ALL ".join(f"SELECT _level, _key, {f}, {NEVER}, _n{f}, _s{f} FROM part WHERE _level IS NOT NULL AND _n{f} <> 0" for f in range(folds))
+    events = " UNION ALL ".join(f"SELECT {i} AS level, _k{i} AS key, _fold AS fold, _time AS t, sum(_n)::BIGINT AS n, sum(_s)::BIGINT AS s FROM {rows('_tells')} GROUP BY ALL" for i in range(keys))
+    opened = " UNION ALL ".join(f"SELECT _level, _k0, {f}, {NEVER}, _n{f}, _s{f} FROM part WHERE _level IS NOT NULL AND _n{f} <> 0" for f in range(folds))
 
     def fn(batches):
         import duckdb
@@ -83,7 +85,7 @@ def _joined(keys: int, carried: list[str], folds: int):
                 shard = now
             con.execute(f"INSERT INTO told {events} UNION ALL {opened}")
             con.execute(cums)
-            out = con.sql(f"SELECT {', '.join(f'p.{c}' for c in carried)}, {sums} FROM (FROM part WHERE _level IS NULL AND _asks) p {asof}").to_arrow_table()
+            out = con.sql(f"SELECT {', '.join(f'p.{c}' for c in carried)}, {sums} FROM {rows('_asks')} p {asof}").to_arrow_table()
             yield from out.cast(pa.schema([(c, part.schema.field(c).type) for c in carried] + [(f"_k{i}_{x}", pa.int64()) for i in range(keys) for x in ("n", "s")])).to_batches()
             # Rows of the next turn may have this one's last time: only what is earlier is summed up.
             con.execute(f"""CREATE OR REPLACE TEMP TABLE told AS SELECT level, key, fold, CASE WHEN t < (SELECT max(_time) FROM part) THEN {NEVER} ELSE t END AS t, sum(n)::BIGINT AS n, sum(s)::BIGINT AS s
@@ -105,34 +107,40 @@ def history(rows: DataFrame, keys: Sequence[str], time: str, fold: str, n: str,
     give none. At most ``most_slices`` bounds come to the driver.
     """
     spark, names = rows.sparkSession, [f"_k{i}" for i in range(len(keys))]
-    kinds = dict(rows.dtypes)
-    code = lambda k: F.coalesce(F.col(k).cast("long") if kinds[k] in ("tinyint", "smallint", "int", "bigint") else F.when(F.col(k).isNotNull(), F.xxhash64(k)), F.lit(-(1 << 63)))
-    own = [c for c in rows.columns if not c.startswith("_")]
-    rows = rows.where(F.col(time).isNotNull()).select(*own, *[code(k).alias(c) for k, c in zip(keys, names, strict=True)], F.col(time).alias("_time"), F.col(fold).cast("int").alias("_fold"), F.col(n).cast("long").alias("_n"), F.col(s).cast("long").alias("_s"))
+    kinds, columns, whole = dict(rows.dtypes), rows.columns, ("tinyint", "smallint", "int", "bigint")
+    code = lambda k: F.coalesce(F.col(k).cast("long") if kinds[k] in whole else F.when(F.col(k).isNotNull(), F.xxhash64(k)), F.lit(NULL))
+    # Each value goes to Python once: what is also a key, time, fold or sum is read back from there.
+    coded = {k: c for k, c in zip(keys, names, strict=True) if kinds[k] in whole}
+    roles = {time: "_time", fold: "_fold", n: "_n", s: "_s"} | coded
+    plain = [c for c in columns if c not in roles]
+    rows = rows.where(F.col(time).isNotNull()).select(*plain, *[code(k).alias(c) for k, c in zip(keys, names, strict=True)], F.col(time).cast("long").alias("_time"), F.col(fold).cast("int").alias("_fold"), F.col(n).cast("long").alias("_n"), F.col(s).cast("long").alias("_s"))
     slices = min(most_slices, -(-rows.count() // slice_rows))
     bounds = _slices(rows, "_time", slices)
     if gap:
         asks, tells = rows.withColumns({"_asks": F.lit(True), "_tells": F.lit(False)}), rows.withColumns({"_asks": F.lit(False), "_tells": F.lit(True), "_time": F.col("_time") + gap})
-        cut = _sliced(asks.union(tells), "_time", bounds)
-    else:
-        cut = _sliced(rows.withColumns({"_asks": F.lit(True), "_tells": F.lit(True)}), "_time", bounds)
+        rows = asks.union(tells)
+    cut = _sliced(rows, "_time", bounds)
     shard = F.col("_slice") * buckets + F.pmod(F.xxhash64(names[-1]), F.lit(buckets))
     cut = cut.withColumn("_shard", shard.cast("long"))
     # Sums by key, slice and fold; their running totals over earlier slices are the opening balances.
     levels = F.explode(F.array(*[F.struct(F.lit(i).alias("_level"), F.col(c).alias("_key")) for i, c in enumerate(names)]))
-    each = cut.select(levels.alias("l"), "_shard", "_slice", "_fold", "_tells", "_n", "_s").select("l.*", "_shard", "_slice", "_fold", "_tells", "_n", "_s")
-    amount = lambda c, f: F.sum(F.when((F.col("_fold") == f) & F.col("_tells"), F.col(c)).otherwise(0))
+    # A slice in which a key only asks has a balance too.
+    of = lambda c: (F.when(F.col("_tells"), F.col(c)).otherwise(0) if gap else F.col(c)).alias(c)
+    each = cut.select(levels.alias("l"), "_shard", "_slice", "_fold", of("_n"), of("_s")).select("l.*", "_shard", "_slice", "_fold", "_n", "_s")
+    amount = lambda c, f: F.sum(F.when(F.col("_fold") == f, F.col(c)).otherwise(0))
     totals = each.groupBy("_level", "_key", "_slice", "_shard").agg(*[amount(f"_{x}", f).alias(f"_{x}{f}") for x in "ns" for f in range(folds)])
     before = Window.partitionBy("_level", "_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     # Flat columns: a list's size would be measured anew for every row on its way to Python.
-    opening = totals.select("_shard", "_level", "_key", *[F.sum(f"_{x}{f}").over(before).alias(f"_{x}{f}") for x in "ns" for f in range(folds)])
+    opening = totals.select("_shard", "_level", F.col("_key").alias("_k0"), *[F.sum(f"_{x}{f}").over(before).alias(f"_{x}{f}") for x in "ns" for f in range(folds)])
     opening = opening.where(sum((F.col(f"_n{f}") for f in range(folds)), F.lit(0)) > 0)
     both = cut.drop("_slice").unionByName(opening, allowMissingColumns=True)
     shards = max(1, slices * buckets)
-    dealt = both.repartition(min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // 8))), "_shard").sortWithinPartitions(F.col("_shard"), F.col("_time").asc_nulls_first())
-    made = ", ".join([f"`{c}` {kinds[c]}" for c in own] + [f"{c}_{x} long" for c in names for x in ("n", "s")])
-    out = dealt.mapInArrow(_joined(len(names), own, folds), made)
-    return out.select(*own, *[F.col(f"{c}_{x}").alias(f"{k}_{x}") for k, c in zip(keys, names, strict=True) for x in ("n", "s")])
+    dealt = both.repartition(min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // 4))), "_shard").sortWithinPartitions(F.col("_shard"), F.col("_time").asc_nulls_first())
+    carried = [*plain, *names, "_time", "_fold", "_n", "_s"]
+    made = ", ".join([f"`{c}` {kinds[c]}" for c in plain] + [f"{c} {'int' if c == '_fold' else 'long'}" for c in carried if c not in plain] + [f"{c}_{x} long" for c in names for x in ("n", "s")])
+    out = dealt.mapInArrow(_joined(len(names), carried, folds, bool(gap)), made)
+    back = lambda c: (F.when(F.col(roles[c]) != NULL, F.col(roles[c])) if c in coded else F.col(roles[c])).cast(kinds[c]).alias(c) if c in roles else F.col(c)
+    return out.select(*[back(c) for c in columns], *[F.col(f"{c}_{x}").alias(f"{k}_{x}") for k, c in zip(keys, names, strict=True) for x in ("n", "s")])
 
 
 def rate(n: Column, s: Column, prior: Column, weight: int = 50, scale: int = 1_000_000) -> Column:
