@@ -248,8 +248,14 @@ def test_shards_snapshots_and_rebuild(spark, tmp_path):
     got = {r["country"]: r for r in index.collect()}
     assert got["AA"]["features"] == 6 and (got["AA"]["west"], got["AA"]["east"], abs(got["AA"]["centre_lon"])) == (179.0, -179.0, 180.0)
     assert sinks.lazy_layer(spark, str(tmp_path / "shards"), index, "AA").count() == 6
-    with pytest.raises(ValueError):
-        sinks.lazy_layer(spark, str(tmp_path / "shards"), index.withColumn("features", F.col("features") + 1), "AA")
+    for broken in (F.col("features") + 1, F.col("bytes") + 1, F.concat("checksum", F.lit("0"))):
+        name = next(c for c in ("features", "bytes", "checksum") if c in str(broken))
+        with pytest.raises(ValueError, match="does not match"):
+            sinks.lazy_layer(spark, str(tmp_path / "shards"), index.withColumn(name, broken), "AA")
+    with pytest.raises(ValueError, match="bytes of 10"):
+        sinks.lazy_layer(spark, str(tmp_path / "shards"), index, "AA", most_bytes=10)
+    with pytest.raises(ValueError, match="no shard"):
+        sinks.lazy_layer(spark, str(tmp_path / "shards"), index, "ZZ")
     root = str(tmp_path / "snap")
     sinks.publish(spark, root, "one", {"plants": plants})
     refresh.rebuild(spark, root, "two", ["plants"], lambda t: {"count": t["plants"].groupBy("country").count()})

@@ -41,11 +41,19 @@ def test_scores(spark):
 def test_allocation_by_score_and_official_rows(spark):
     control = lambda v: spark.createDataFrame([("X", v)], "country string, control double")
     rows = lambda *r: spark.createDataFrame([("X", *x) for x in r], "country string, region string, score double, official double")
-    got = lambda r, v=1000.0: {x["region"]: x["demand"] for x in M.allocate(r, control(v), "country", "region", "score", "official", "control").collect()}
+    got = lambda r, v=1000.0, places=2: {x["region"]: x["demand"] for x in M.allocate(r, control(v), "country", "region", "score", "official", "control", places).collect()}
     assert got(rows(("A", 0.5, 700.0), ("B", 0.5, None))) == {"A": 700.0, "B": 300.0}
     assert got(rows(("A", 6e-7, None), ("B", 7e-7, None), ("C", 1.4e-6, None)), 100.0) == {"A": 22.22, "B": 25.93, "C": 51.85}
     assert got(rows(("A", 4e-7, None), ("B", 2e-7, None)), 1.0) == {"A": 0.67, "B": 0.33}
-    assert got(rows(("A", 0.0, None), ("B", None, None))) == {"A": None, "B": None}
+    # A rest that no region can take is an error, not a gap; without a rest zeros stand.
+    for bare in ((("A", 0.0, None), ("B", None, None)), (("A", 0.5, 400.0),), (("A", 0.5, 400.0), ("B", 0.0, None))):
+        with pytest.raises(PySparkException, match="no region can take the rest of its control: X"):
+            got(rows(*bare))
+    assert got(rows(("A", 0.5, 1000.0), ("B", 0.0, None), ("C", None, None))) == {"A": 1000.0, "B": 0.0, "C": None}
+    # Full precision: the control is kept to the last place.
+    assert got(rows(("A", 1.0, None)), 10.005, None) == {"A": 10.005}
+    thirds = got(rows(("A", 1.0, None), ("B", 1.0, None), ("C", 1.0, None)), 10.005, None)
+    assert sum(thirds.values()) == pytest.approx(10.005, abs=1e-12) and thirds["B"] == pytest.approx(3.335, abs=1e-12)
     with pytest.raises(PySparkException, match="exceeds"):
         got(rows(("A", 0.5, 1700.0), ("B", 0.5, None)))
     r = one(spark, M.allocation_score(d(0.4), d(0.2), d(None)), M.allocation_score(d(None), d(0.2), d(0.1)), M.allocation_score(d(0.4), d(0.2), d(0.6)))

@@ -54,6 +54,11 @@ def parse_number(c: Column, blanks: tuple[str, ...] = ("", "n/a", "na", "unknown
     return F.when(c.isNull() | F.lower(t).isin(*blanks), F.lit(None).cast("double")).when(finite(number), number).otherwise(F.raise_error(F.concat(F.lit("invalid number: "), c)).cast("double"))
 
 
+def half_up(c: Column, places: int = 0) -> Column:
+    """Rounded to ``places`` decimals, halves away from zero, by the decimal that is written and not the binary one."""
+    return F.round(c.cast("string").cast("decimal(38,18)"), places).cast("double")
+
+
 def capacity_mw(c: Column) -> Column:
     """Capacity text such as ``1,234.5 MW``, ``500 kW`` or ``2 GW`` in megawatts; null if it is none."""
     pattern = r"^\s*(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)\s*([kKmMgG])[wW]\s*$"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wattlake.functions.scalars import PARTS, parts_of, range_gap, range_times
 from wattlake.operators import models as M
+from wattlake.operators.graph import written
 from wattlake.operators.relational import money, observed_factor
 
 YEARS = tuple(range(2026, 2032))
@@ -67,18 +68,22 @@ def demand_weights(population: DataFrame, unavailable: DataFrame, activity: Data
     ``population`` has geography_id, country, year, population; the components
     geography_id, year, value. All or nothing: a country with any unavailable
     region is left at country level. A component counts for a country and year
-    where its sum is above zero.
+    where its sum is above zero; one that repeats a region and year raises.
     """
     whole = unavailable.select("country").distinct()
     rows = population.join(whole, "country", "left_anti")
-
-    def share(values: DataFrame, name: str) -> DataFrame:
-        d = values.join(rows.select("geography_id", "year", "country"), ["geography_id", "year"])
-        sums = d.groupBy("country", "year").agg(F.sum(money(F.col("value"))).cast("double").alias("_t")).where("_t > 0")
-        return d.join(sums, ["country", "year"]).select("geography_id", "year", (F.col("value") / F.col("_t")).alias(name))
-
-    d = rows.join(share(rows.select("geography_id", "year", F.col("population").cast("double").alias("value")), "population_share"), ["geography_id", "year"], "left")
-    d = d.join(share(activity, "activity_share"), ["geography_id", "year"], "left").join(share(industrial, "industrial_share"), ["geography_id", "year"], "left")
+    at = ["geography_id", "year"]
+
+    def once(values: DataFrame, name: str) -> DataFrame:
+        twice = F.raise_error(F.concat(F.lit(f"{name} repeats "), F.concat_ws(" ", *at))).cast("double")
+        return values.groupBy(*at).agg(F.when(F.count(F.lit(1)) == 1, F.max("value")).otherwise(twice).cast("double").alias(name))
+
+    parts = {"population": F.col("population").cast("double"), "activity": F.col("activity"), "industrial": F.col("industrial")}
+    own = rows.join(once(activity, "activity"), at, "left").join(once(industrial, "industrial"), at, "left")
+    own = written(own.select("*", *[v.alias(f"_{k}") for k, v in parts.items()]).drop("activity", "industrial"))
+    sums = own.groupBy("country", "year").agg(*[F.sum(money(F.col(f"_{k}"))).cast("double").alias(f"_all_{k}") for k in parts])
+    share = lambda k: F.when(F.col(f"_all_{k}") > 0, F.col(f"_{k}") / F.col(f"_all_{k}")).alias(f"{k}_share")
+    d = own.join(sums, ["country", "year"]).select(*population.columns, *[share(k) for k in parts])
     scored = d.withColumn("score", M.allocation_score(F.col("population_share"), F.col("activity_share"), F.col("industrial_share"))).withColumn("grade", M.allocation_grade(F.col("activity_share"), F.col("industrial_share")))
     missing = unavailable.groupBy("country").agg(F.array_sort(F.collect_set("geography_id")).alias("unavailable"), F.array_sort(F.collect_set("year")).alias("years"))
     return scored, missing

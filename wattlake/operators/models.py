@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattlake.operators.graph import written
 from wattlake.operators.relational import money
 
 # Weights of the demand score and of the balance index.
@@ -107,28 +108,37 @@ def wide(c: Column) -> Column:
     return c.cast("decimal(38,18)")
 
 
-def allocate(regions: DataFrame, controls: DataFrame, key: str | list[str], region: str, score: str, official: str, control: str) -> DataFrame:
-    """National controls to regions: official rows stand, the rest follows the scores, cents reconcile exactly.
+def allocate(regions: DataFrame, controls: DataFrame, key: str | list[str], region: str, score: str, official: str, control: str, places: int | None = None) -> DataFrame:
+    """National controls to regions: official rows stand, the rest follows the scores, sums are the controls.
 
     ``controls`` has one row per ``key`` (a country, or country and year). Adds
-    ``demand`` (two decimals); within a key its sum is the control (the top score
-    takes the rounding). Officials beyond the control, by more than 1e-12 of it,
-    raise. Regions without a score, and all open ones where no score is above
-    zero, get null. Sums per key are aggregated and joined back: no window, so a
+    ``demand``: in full precision, summed exactly to eighteen places, or in
+    ``places`` decimals; the top score (smallest id) takes what rounding leaves.
+    Officials beyond the control, or a rest that no open region with a score
+    above zero can take, by more than 1e-12 of the control, raise. Open regions
+    of score zero get zero, those without a score null. Regions and their
+    controls are written once; sums per key are joined back: no window, so a
     large country is no single task.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    open_score = F.when(F.col(official).isNull() & (F.col(score) > 0), F.col(score))
-    cents = lambda c: F.bround(c, 2).cast("decimal(24,2)")
-    joined = regions.join(controls, keys)
-    whole = joined.groupBy(*keys).agg(F.first(control).alias("_control"), F.coalesce(F.sum(money(F.col(official))), F.lit(0)).cast("double").alias("_fixed"), F.sum(wide(open_score)).cast("double").alias("_open"), F.min_by(region, F.when(open_score.isNotNull(), F.struct((-open_score).alias("s"), F.col(region).alias("r")))).alias("_top"))
-    over = F.col("_fixed") > F.col("_control") + 1e-12 * F.greatest(F.abs("_control"), F.lit(1.0))
-    whole = whole.withColumn("_rest", F.when(over, F.raise_error(F.lit("official demand exceeds its control")).cast("double")).otherwise(F.col("_control") - F.col("_fixed"))).drop("_control")
-    d = joined.join(whole, keys).withColumn("demand", F.coalesce(cents(F.col(official)), cents(F.col("_rest") * open_score / F.col("_open"))))
+    exact = lambda c: (wide(c) if places is None else F.bround(c, places).cast(f"decimal(24,{places})"))
+    kept = "decimal(38,18)" if places is None else f"decimal(24,{places})"
+    is_open = F.col(official).isNull()
+    open_score = F.when(is_open & (F.col(score) > 0), F.col(score))
+    joined = written(regions.join(controls, keys))
+    top = F.min_by(region, F.when(open_score.isNotNull(), F.struct((-open_score).alias("s"), F.col(region).alias("r"))))
+    whole = joined.groupBy(*keys).agg(F.max(control).alias("_control"), F.coalesce(F.sum(money(F.col(official))), F.lit(0)).cast("double").alias("_fixed"), F.sum(wide(open_score)).cast("double").alias("_open"), top.alias("_top"))
+    slack = 1e-12 * F.greatest(F.abs("_control"), F.lit(1.0))
+    rest = F.greatest(F.lit(0.0), F.col("_control") - F.col("_fixed"))
+    raised = lambda text: F.raise_error(F.concat(F.lit(f"{text}: "), F.concat_ws(" ", *keys))).cast("double")
+    checked = F.when(F.col("_fixed") > F.col("_control") + slack, raised("official demand exceeds its control")).when(F.col("_open").isNull() & (rest > slack), raised("no region can take the rest of its control")).otherwise(rest)
+    whole = written(whole.withColumn("_rest", checked).drop("_control"))
+    share = F.when(open_score.isNotNull(), F.col("_rest") * open_score / F.col("_open")).when(is_open & (F.col(score) == 0), 0.0)
+    d = written(joined.join(whole.drop("_fixed"), keys).withColumn("demand", F.coalesce(exact(F.col(official)), exact(share))).drop("_open", "_rest"))
     given = d.groupBy(*keys).agg(F.sum("demand").alias("_given"))
-    lack = cents(F.col(control)) - F.col("_given")
-    top = (F.col(region) == F.col("_top")) & open_score.isNotNull()
-    return d.join(given, keys).withColumn("demand", (F.col("demand") + F.when(top, lack).otherwise(F.lit(0).cast("decimal(24,2)"))).cast("double")).drop("_fixed", "_open", "_rest", "_top", "_given")
+    lack = (exact(F.col(control)) - F.col("_given")).cast(kept)
+    takes = (F.col(region) == F.col("_top")) & open_score.isNotNull()
+    return d.join(given, keys).withColumn("demand", (F.col("demand") + F.when(takes, lack).otherwise(F.lit(0).cast(kept))).cast("double")).drop("_top", "_given")
 
 
 # Share of a coming plant's capacity that is counted on, by lifecycle.

@@ -93,8 +93,25 @@ def union_of(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
 
 
+LINEAGE = "struct<source_record_id:string,source_type:string,source_ids:array<string>,value_kind:string,method:string>"
+#: How a field's value was chosen.
+BY_FIELD, BY_METRIC, AS_WHOLE, UNITED = "most_believed_value", "most_believed_metric", "best_location_as_whole", "united_ids"
+
+
+def lineage(field: str, weight: Column, method: str) -> Column:
+    """The source row of a field's value, by the same choice as the value itself."""
+    kind = F.col("capacity_kind") if field == "capacity" else F.lit(None).cast("string")
+    told = F.struct(F.col("id").alias("source_record_id"), "source_type", F.array_sort("source_ids").alias("source_ids"), kind.alias("value_kind"), F.lit(method).alias("method"))
+    return F.max_by(told, weight).cast(LINEAGE)
+
+
 def merge_records(rows: DataFrame, clusters: DataFrame) -> DataFrame:
-    """One record per cluster: field by field the most believed value, metric and kind together, a location as one whole, ids united."""
+    """One record per cluster: field by field the most believed value, metric and kind together, a location as one whole, ids united.
+
+    ``field_provenance`` says of every field that has a value from which source
+    row it is and how it was chosen; ``id_aliases`` has all ids of the namespaces
+    of which a cluster has several.
+    """
     place = F.when(F.col("lon").isNotNull(), V.rank(F.col("location_precision"), V.PRECISION_RANK, -1)).otherwise(-1)
     where = F.struct(place.alias("precision"), V.rank(F.col("source_type"), V.SOURCE_RANK).alias("source"), V.public_source_rank(F.col("source_ids")).alias("public"), F.col("id").alias("id"))
     location = F.max_by(F.struct("lon", "lat", "location_precision", "country"), where).alias("location")
@@ -102,22 +119,35 @@ def merge_records(rows: DataFrame, clusters: DataFrame) -> DataFrame:
     plain = [best(c) for c in ("entity", "name", "plant_name", "operator", "technology", "lifecycle", "commissioning_year", "plant_id", "unit_id")]
     source = F.max_by(F.struct("source_type"), preference("")).alias("source")
     ids = F.collect_list(F.struct(preference("external_ids").alias("p"), F.map_entries(F.coalesce("external_ids", F.create_map().cast("map<string,string>"))).alias("e"))).alias("maps")
-    out = rows.join(clusters.select("id", "cluster"), "id").groupBy("cluster").agg(*plain, location, metric, source, union_of(F.col("source_ids")).alias("source_ids"), union_of(F.col("evidence")).alias("evidence"), F.array_sort(F.collect_set("id")).alias("source_record_ids"), ids)
+    filled = lambda c: F.when(F.col(c).isNotNull(), preference(c))
+    placed = F.when(F.col("lon").isNotNull(), where)
+    told = {c: lineage(c, filled(c), BY_FIELD) for c in ("entity", "name", "plant_name", "operator", "technology", "lifecycle", "commissioning_year", "plant_id", "unit_id")}
+    told |= {"capacity": lineage("capacity", filled("capacity"), BY_METRIC), "location": lineage("location", placed, AS_WHOLE), "external_ids": lineage("external_ids", F.when(F.size(F.coalesce("external_ids", F.create_map().cast("map<string,string>"))) > 0, preference("external_ids")), UNITED)}
+    fields = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in told.items()]).alias("told")
+    out = rows.join(clusters.select("id", "cluster"), "id").groupBy("cluster").agg(fields, *plain, location, metric, source, union_of(F.col("source_ids")).alias("source_ids"), union_of(F.col("evidence")).alias("evidence"), F.array_sort(F.collect_set("id")).alias("source_record_ids"), ids)
     # Of several ids in one namespace the most believed row's stands; the others are aliases.
     entries = F.flatten(F.transform(F.array_sort("maps"), lambda x: x["e"]))
     chosen = F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["key"]), F.create_map(e["key"], e["value"])))
+    names = F.array_sort(F.array_distinct(F.transform(entries, lambda e: e["key"])))
+    several = F.filter(F.transform(names, lambda n: F.struct(n.alias("key"), F.array_sort(F.array_distinct(F.transform(F.filter(entries, lambda e: e["key"] == n), lambda e: e["value"]))).alias("value"))), lambda e: F.size(e["value"]) > 1)
+    provenance = F.map_from_entries(F.filter("told", lambda e: e["value"].isNotNull()))
     return out.select(
         F.col("cluster").alias("id"), "entity", "location.country", "name", "plant_name", "operator", "location.lon", "location.lat", "metric.capacity",
         F.col("metric.capacity_kind").alias("capacity_kind"), F.col("metric.source_type").alias("capacity_source"), F.coalesce("metric.source_ids", F.expr("array()").cast("array<string>")).alias("capacity_source_ids"), "technology", "lifecycle", "commissioning_year",
         chosen.alias("external_ids"), "plant_id", "unit_id", "source.source_type", "source_ids", "location.location_precision", "evidence", "source_record_ids",
+        provenance.alias("field_provenance"), F.map_from_entries(several).alias("id_aliases"),
     )
 
 
 # --- capacity ----------------------------------------------------------------
 
 
+CAPACITY_LINEAGE = "struct<value_kind:string,source_type:string,source_ids:array<string>>"
+
+
 def capacity_account(records: DataFrame, group: str, lifecycles: Sequence[str]) -> DataFrame:
-    """Per group: capacity (range), method, coverage, known and all units, the partial sum, capacity by technology.
+    """Per group: capacity (range), method, coverage, known and all units, the partial sum, capacity by technology, and
+    the lineage (value kind, source and source ids) of what was counted.
 
     All units known: their sum, unless a plant row is believed more; some
     unknown: the best plant row, or nothing; no units: the best plant row.
@@ -125,12 +155,14 @@ def capacity_account(records: DataFrame, group: str, lifecycles: Sequence[str])
     alive = records.where(F.col("lifecycle").isin(*lifecycles))
     unit, known = F.col("entity") == "unit", F.col("capacity").isNotNull()
     weight = F.struct(V.rank(F.col("capacity_kind"), V.VALUE_KIND_RANK).alias("kind"), V.rank(F.coalesce("capacity_source", "source_type"), V.SOURCE_RANK).alias("source"))
+    told = F.struct(F.coalesce("capacity_kind", F.lit("unavailable")).alias("value_kind"), F.coalesce("capacity_source", "source_type").alias("source_type"), F.array_sort("capacity_source_ids").alias("source_ids"))
     claims = F.size(F.filter("evidence", lambda e: F.array_contains("capacity_source_ids", e)))
     total = F.struct(*[F.sum(F.when(unit & known, money(F.col(f"capacity.{p}")))).cast("double").alias(p) for p in PARTS])
     aggregate = F.max_by(F.struct("capacity", "technology", weight.alias("weight"), claims.alias("claims")), F.when(~unit & known, preference("capacity"))).alias("best")
     g = alive.groupBy(group).agg(
         F.count_if(unit).alias("units"), F.count_if(unit & known).alias("known"), total.alias("unit_sum"), aggregate,
         F.min(F.when(unit & known, weight["kind"])).alias("unit_kind"), F.min(F.when(unit & known, weight["source"])).alias("unit_source"), F.sum(F.when(unit & known, claims)).alias("unit_claims"),
+        F.array_sort(F.collect_set(F.when(unit & known, told))).alias("unit_lineage"), F.max_by(told, F.when(~unit & known, preference("capacity"))).alias("plant_lineage"),
     )
     mine, theirs = F.struct(F.col("best.weight.kind").alias("a"), F.col("best.weight.source").alias("b"), F.col("best.claims").cast("long").alias("c")), F.struct(F.col("unit_kind").alias("a"), F.col("unit_source").alias("b"), F.col("unit_claims").alias("c"))
     complete, has = (F.col("units") > 0) & (F.col("known") == F.col("units")), F.col("best").isNotNull()
@@ -146,6 +178,7 @@ def capacity_account(records: DataFrame, group: str, lifecycles: Sequence[str])
         F.round(F.when(F.col("units") > 0, F.when(F.col("method") == "aggregate_preferred", 100.0).otherwise(100.0 * F.col("known") / F.col("units"))).otherwise(F.when(has, 100.0).otherwise(0.0)), 2).alias("coverage"),
         F.col("known").alias("known_units"), F.col("units").alias("all_units"), F.when((F.col("known") > 0) & ~from_units, F.col("unit_sum")).alias("partial"),
         F.when(from_units, F.col("unit_mix")).when(from_plant, F.create_map(F.coalesce("best.technology", F.lit("other")), F.col("best.capacity.central"))).otherwise(F.create_map().cast("map<string,double>")).alias("mix"),
+        F.when(from_units, F.col("unit_lineage")).when(from_plant, F.array("plant_lineage")).otherwise(F.expr("array()").cast(f"array<{CAPACITY_LINEAGE}>")).alias("lineage"),
     )
 
 

@@ -229,9 +229,11 @@ def reconciles(shards: DataFrame, overview: DataFrame) -> DataFrame:
 
 
 def asset_violations(assets: DataFrame) -> DataFrame:
-    """Contract of assets: ordered ranges, fields by category, retirement not before commissioning, value kind given."""
+    """Contract of assets: ordered ranges, fields by category, retirement not before commissioning; where assets have a ``value_kind``, a known one beside a demand."""
     r = F.col("demand_mw")
+    kinds = {"value_kind": r.isNull() | F.coalesce(F.col("value_kind").isin(*V.VALUE_KIND_RANK), F.lit(False))} if "value_kind" in assets.columns else {}
     return violations(assets, "id", {
+        **kinds,
         "range_order": r.isNull() | ((r["low"] <= r["central"]) & (r["central"] <= r["high"]) & (r["low"] >= 0)), "category": F.col("category").isin("data_centre", "water_infrastructure", "power_generation"),
         "lifecycle": F.col("lifecycle").isin(*LIVE, "paused", "cancelled"), "retirement": F.col("retirement_year").isNull() | F.col("commissioning_year").isNull() | (F.col("retirement_year") >= F.col("commissioning_year")),
         "demand_only_for_loads": (F.col("category") != "power_generation") | r.isNull(),

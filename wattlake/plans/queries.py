@@ -56,7 +56,7 @@ def regional_demand_allocation(spark, sf_dir):
     controls = t(spark, sf_dir, "orders").join(cust, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.sum(R.money(F.col("o_totalprice"))).cast("double").alias("control"))
     score = F.when(F.col("c_acctbal") > 0, F.col("c_acctbal"))
     regions = cust.select("c_nationkey", "c_custkey", score.alias("score"), F.when((F.col("c_custkey") % 50 == 0) & (F.col("c_acctbal") > 0), F.col("c_acctbal")).alias("official"))
-    return M.allocate(regions, controls, "c_nationkey", "c_custkey", "score", "official", "control").select("c_nationkey", "c_custkey", "demand")
+    return M.allocate(regions, controls, "c_nationkey", "c_custkey", "score", "official", "control", places=2).select("c_nationkey", "c_custkey", "demand")
 
 
 @query("""

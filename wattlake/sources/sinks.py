@@ -50,10 +50,14 @@ def country_shards(plants: DataFrame, path: str, key: str = "country", rows_per_
     sized = plants.groupBy(key).agg(F.ceil(F.count("*") / rows_per_file).cast("int").alias("_files"))
     dealt = plants.join(sized, key).withColumn("_file", F.pmod(F.xxhash64(*[c for c in plants.columns if c != key]), F.col("_files")))
     dealt.repartition(key, "_file").drop("_files", "_file").write.mode("errorifexists").partitionBy(key).parquet(path)
+    return country_index(plants, key).join(shard_sums(plants, key), key)
+
+
+def shard_sums(plants: DataFrame, key: str = "country") -> DataFrame:
+    """Bytes and checksum of every shard's rows, in any order."""
     text = F.to_json(F.struct(*sorted(plants.columns)), {"ignoreNullFields": "false"})
     part = lambda i: F.sum(F.conv(F.substring(F.sha2(text, 256), i, 12), 16, 10).cast("decimal(20,0)"))
-    sums = plants.groupBy(key).agg(F.sum(F.octet_length(text)).alias("bytes"), F.sha2(F.concat_ws(":", part(1).cast("string"), part(13).cast("string"), part(25).cast("string")), 256).alias("checksum"))
-    return country_index(plants, key).join(sums, key)
+    return plants.groupBy(key).agg(F.sum(F.octet_length(text)).alias("bytes"), F.sha2(F.concat_ws(":", part(1).cast("string"), part(13).cast("string"), part(25).cast("string")), 256).alias("checksum"))
 
 
 def compact(facts: DataFrame, ident: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -135,11 +139,20 @@ def read_latest(spark: SparkSession, root: str, table: str, verify: bool = False
     return df
 
 
-def lazy_layer(spark: SparkSession, path: str, index: DataFrame, country: str, key: str = "country") -> DataFrame:
-    """One country's shard, read by partition and held against the index; a count that differs raises."""
-    d = spark.read.parquet(path).where(F.col(key) == country)
+def lazy_layer(spark: SparkSession, path: str, index: DataFrame, country: str, key: str = "country", most_bytes: int = 64_000_000) -> DataFrame:
+    """One country's shard, read by partition and held against its index: rows, bytes and checksum, or an error.
+
+    A shard that its index says is over ``most_bytes`` is not read.
+    """
     want = index.where(F.col(key) == country).first()
-    if want is None or d.count() != want["features"]:
+    if want is None:
+        raise ValueError(f"no shard of {country} in the index")
+    if want["bytes"] > most_bytes:
+        raise ValueError(f"shard of {country} has {want['bytes']} bytes of {most_bytes}")
+    kinds = {f.name: f.dataType for f in index.schema.fields}
+    d = spark.read.parquet(path).withColumn(key, F.col(key).cast(kinds[key])).where(F.col(key) == country)
+    have = shard_sums(d, key).first()
+    if have is None or d.count() != want["features"] or (have["bytes"], have["checksum"]) != (want["bytes"], want["checksum"]):
         raise ValueError(f"shard of {country} does not match its index")
     return d
 
