@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,26 +71,26 @@ def _joined(keys: int, carried: list[str], folds: int, told_apart: bool):
         CREATE OR REPLACE TEMP TABLE f{i} AS SELECT key, fold, t, {both} FROM told SEMI JOIN {rows("_asks")} p ON told.key = p._k{i} AND told.fold = p._fold WHERE level = {i}
             GROUP BY key, fold, t WINDOW w AS (PARTITION BY key, fold ORDER BY t);""" for i in range(keys))
     asof = " ".join(f"ASOF LEFT JOIN k{i} ON p._k{i} = k{i}.key AND p._time > k{i}.t ASOF LEFT JOIN f{i} ON p._k{i} = f{i}.key AND p._fold = f{i}.fold AND p._time > f{i}.t" for i in range(keys))
-    events = " UNION ALL ".join(f"SELECT {i} AS level, _k{i} AS key, _fold AS fold, _time AS t, sum(_n)::BIGINT AS n, sum(_s)::BIGINT AS s FROM {rows('_tells')} GROUP BY ALL" for i in range(keys))
+    events = " UNION ALL ".join(f"SELECT {i} AS level, _k{i} AS key, _fold AS fold, _time AS t, _n AS n, _s AS s FROM {rows('_tells')}" for i in range(keys))
     opened = " UNION ALL ".join(f"SELECT _level, _k0, {f}, {NEVER}, _n{f}, _s{f} FROM part WHERE _level IS NOT NULL AND _n{f} <> 0" for f in range(folds))
 
     def fn(batches):
         import duckdb
 
         con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
-        shard = None
+        shard = last = None
         for now, part in _turns(batches):
             con.register("part", part)
             if now != shard:
                 con.execute("CREATE OR REPLACE TEMP TABLE told (level INT, key BIGINT, fold INT, t BIGINT, n BIGINT, s BIGINT)")
-                shard = now
+            elif last is not None:
+                # This turn's rows may have the last one's last time: only what is earlier is summed up.
+                con.execute(f"CREATE OR REPLACE TEMP TABLE told AS SELECT level, key, fold, CASE WHEN t < {last} THEN {NEVER} ELSE t END AS t, sum(n)::BIGINT AS n, sum(s)::BIGINT AS s FROM told GROUP BY ALL")
+            shard, last = now, pc.max(part.column("_time")).as_py()
             con.execute(f"INSERT INTO told {events} UNION ALL {opened}")
             con.execute(cums)
             out = con.sql(f"SELECT {', '.join(f'p.{c}' for c in carried)}, {sums} FROM {rows('_asks')} p {asof}").to_arrow_table()
             yield from out.cast(pa.schema([(c, part.schema.field(c).type) for c in carried] + [(f"_k{i}_{x}", pa.int64()) for i in range(keys) for x in ("n", "s")])).to_batches()
-            # Rows of the next turn may have this one's last time: only what is earlier is summed up.
-            con.execute(f"""CREATE OR REPLACE TEMP TABLE told AS SELECT level, key, fold, CASE WHEN t < (SELECT max(_time) FROM part) THEN {NEVER} ELSE t END AS t, sum(n)::BIGINT AS n, sum(s)::BIGINT AS s
-                            FROM told GROUP BY ALL""")
             con.unregister("part")
         con.close()
 
