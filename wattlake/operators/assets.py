@@ -6,17 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattlake.functions import vocabulary as V
-from wattlake.functions.scalars import external_ids, haversine_km, key_normalize, log_band, name_signature
+from wattlake.functions.scalars import expand_aliases, external_ids, haversine_km, log_band, name_signature
 from wattlake.operators.graph import connected_components, written
-from wattlake.operators.plants import union_of
+from wattlake.operators.plants import key_normalize_text, union_of
 from wattlake.operators.relational import blocked_pairs
 
 DISTANCE_KM, LEAST_RATIO, MOST_RATIO = 50.0, 0.8, 1.25
 
 
-def asset_edges(assets: DataFrame) -> DataFrame:
+def asset_edges(assets: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """src and dst of assets that share an external id, or match in all but small things.
 
+    ``aliases`` (spelling to name) are applied to whole words of operators and names.
+
     ``assets``: id, name, operator, country, category, target_year, mw, lon, lat,
     external_ids. A match has the same country, category, operator and name, lies
     within 50 km, a year apart at most, with 0.8 to 1.25 of the capacity. Year,
@@ -28,7 +30,8 @@ def asset_edges(assets: DataFrame) -> DataFrame:
     first = ids.groupBy("namespace", "value").agg(F.min("id").alias("first"))
     exact = ids.join(first, ["namespace", "value"]).where("id <> first").select(F.col("id").alias("src"), F.col("first").alias("dst"))
     blank = lambda c: F.nullif(c, F.lit(""))
-    keyed = assets.select("id", "country", "category", blank(key_normalize(F.col("operator"))).alias("operator"), blank(name_signature(F.col("name"), distinct=False)).alias("signature"), "target_year", "mw", "lon", "lat").dropna()
+    known = {key_normalize_text(k): key_normalize_text(v) for k, v in (aliases or {}).items()}
+    keyed = assets.select("id", "country", "category", blank(expand_aliases(F.col("operator"), known)).alias("operator"), blank(name_signature(expand_aliases(F.col("name"), known), distinct=False)).alias("signature"), "target_year", "mw", "lon", "lat").dropna()
     same = keyed.groupBy("country", "category", "operator", "signature", "target_year", "mw", "lon", "lat").agg(F.min("id").alias("first"))
     copies = keyed.join(same, [c for c in keyed.columns if c != "id"]).where("id <> first").select(F.col("id").alias("src"), F.col("first").alias("dst"))
     cells = same.withColumnRenamed("first", "id").withColumns({"cx": F.floor("lon").cast("long"), "cy": F.floor("lat").cast("long"), "band": log_band(F.col("mw"), 1.25)})
@@ -39,13 +42,13 @@ def asset_edges(assets: DataFrame) -> DataFrame:
     return exact.union(copies).union(met.select(a("id").alias("src"), b("id").alias("dst")))
 
 
-def dedupe_assets(assets: DataFrame) -> DataFrame:
+def dedupe_assets(assets: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """One asset per group of duplicates: its smallest id, by field the value of the best source, then precision, aliases and sources united.
 
     Besides what ``asset_edges`` needs: source_type, location_precision, source_ids.
     """
     numbered = written(assets.withColumn("node", F.xxhash64("id")))
-    edges = asset_edges(numbered.drop("node")).select(F.xxhash64("src").alias("src"), F.xxhash64("dst").alias("dst"))
+    edges = asset_edges(numbered.drop("node"), aliases).select(F.xxhash64("src").alias("src"), F.xxhash64("dst").alias("dst"))
     placed = numbered.join(connected_components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
     order = lambda c: F.when(F.col(c).isNotNull(), F.struct(V.rank(F.col("source_type"), V.SOURCE_RANK), V.rank(F.col("location_precision"), V.PRECISION_RANK, -1), F.col("id")))
     plain = [F.max_by(c, order(c)).alias(c) for c in ("name", "operator", "country", "category", "target_year", "mw", "source_type")]

@@ -74,7 +74,7 @@ def pyramid(points: DataFrame, ident: str, zooms: range, radius_px: float = 60.0
         sums = held.groupBy("centre").agg(F.sum("n").alias("n"))
         markers = written(m.drop("n", "rank").join(sums.withColumnRenamed("centre", "id"), "id"))
         if below is not None:
-            done = below.join(found.withColumnRenamed("centre", "parent"), "id")
+            done = below.join(found.withColumnRenamed("centre", "parent"), "id").select("zoom", "id", "lon", "lat", "n", "parent")
             out = done if out is None else out.union(done)
         below = markers.select(F.lit(zoom).alias("zoom"), "id", "lon", "lat", "n")
     top = below.withColumn("parent", F.lit(None).cast("string"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattlake.functions import vocabulary as V
 from wattlake.functions.scalars import PARTS
 from wattlake.operators import models as M
 from wattlake.operators.relational import circular_bounds, circular_centre, money, violations
@@ -221,6 +222,61 @@ def snapshot_violations(countries: DataFrame, regions: DataFrame, assets: DataFr
     return out
 
 
+def publication_violations(plants: DataFrame, index: DataFrame, sums: DataFrame, overview: DataFrame, regions: DataFrame, sources: DataFrame, evidence: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """What stands against publishing a snapshot's shards, as rows of artifact, id, rule; none is a valid snapshot.
+
+    ``plants``: plant_id, country, geography_id, lon, lat, capacity_mw, operating_mw,
+    planned_mw, mix (map), source_ids. ``index`` and ``sums`` (of the shards as
+    read): country, bytes, checksum. ``overview``: geography_id, country, lon, lat,
+    capacity_mw, operating_mw, planned_mw, mix, dominant. ``regions``: geography_id,
+    country, source_ids. ``sources``: source_id. ``evidence``: evidence_id,
+    source_id, subject_id. Sums are exact; ids are joined, never gathered.
+    """
+    off = lambda a, b: F.coalesce(F.abs(a - b) > tolerance, F.lit(True))
+    broken = lambda df, ident, name, bad, rule: df.where(bad).select(F.lit(name).alias("artifact"), F.col(ident).cast("string").alias("id"), F.lit(rule).alias("rule"))
+    col = F.col
+    # Shards: their place, their region and what their numbers add up to.
+    mixed = F.aggregate(F.map_values("mix"), F.lit(0.0), lambda s, v: s + v)
+    placed = plants.join(regions.select("geography_id", col("country").alias("_home")), "geography_id", "left")
+    parts = [
+        broken(placed, "plant_id", "plants", col("_home").isNull(), "region_known"),
+        broken(placed, "plant_id", "plants", col("_home").isNotNull() & ~col("_home").eqNullSafe(col("country")), "region_in_country"),
+        broken(plants, "plant_id", "plants", off(col("capacity_mw"), col("operating_mw") + col("planned_mw")), "capacity_by_lifecycle"),
+        broken(plants, "plant_id", "plants", off(col("capacity_mw"), mixed), "capacity_by_technology"),
+        broken(plants, "plant_id", "plants", F.exists(F.map_values("mix"), lambda v: v < 0) | (F.least("operating_mw", "planned_mw") < 0), "capacity_not_negative"),
+        broken(plants, "plant_id", "plants", F.coalesce(~(col("lon").between(-180, 180) & col("lat").between(-90, 90)), F.lit(True)), "point"),
+    ]
+    held = index.select("country", "bytes", "checksum").join(sums.select("country", col("bytes").alias("_bytes"), col("checksum").alias("_checksum")), "country", "full")
+    parts += [broken(held, "country", "shards", ~col("bytes").eqNullSafe(col("_bytes")), "bytes"), broken(held, "country", "shards", ~col("checksum").eqNullSafe(col("_checksum")), "checksum")]
+    # Regions of the overview are their plants rolled up.
+    total = lambda c: F.sum(money(col(c))).cast("double").alias(f"_{c}")
+    names = ("capacity_mw", "operating_mw", "planned_mw")
+    rolled = plants.groupBy("geography_id").agg(*[total(c) for c in names], F.min("country").alias("_country"))
+    by_kind = plants.select("geography_id", F.explode("mix").alias("technology", "mw")).groupBy("geography_id", "technology").agg(F.sum(money(col("mw"))).cast("double").alias("mw"))
+    kinds = by_kind.groupBy("geography_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("technology", "mw")))).alias("_mix"), F.min(F.struct((-col("mw")).alias("a"), "technology")).alias("_top"))
+    both = overview.join(rolled.join(kinds, "geography_id", "left"), "geography_id", "full")
+    known = col("capacity_mw").isNotNull() & col("_capacity_mw").isNotNull()
+    other = F.exists(F.map_keys("_mix"), lambda k: off(F.try_element_at("mix", k), F.try_element_at("_mix", k))) | (F.size("mix") != F.size("_mix"))
+    parts.append(broken(both, "geography_id", "overview", ~known, "regions_of_shards"))
+    parts += [broken(both.where(known), "geography_id", "overview", off(col(c), col(f"_{c}")), f"rolled_{c}") for c in names]
+    parts += [broken(both.where(known), "geography_id", "overview", F.coalesce(other, F.lit(True)), "rolled_mix"), broken(both.where(known), "geography_id", "overview", ~col("dominant").eqNullSafe(col("_top.technology")), "dominant")]
+    box = plants.groupBy("geography_id").agg(F.min("lat").alias("_south"), F.max("lat").alias("_north")).join(circular_bounds(plants, "geography_id", "lon"), "geography_id")
+    centred = overview.join(box, "geography_id")
+    within = F.when(col("west") <= col("east"), col("lon").between(col("west") - 1e-9, col("east") + 1e-9)).otherwise((col("lon") >= col("west") - 1e-9) | (col("lon") <= col("east") + 1e-9)) & col("lat").between(col("_south") - 1e-9, col("_north") + 1e-9)
+    parts.append(broken(centred, "geography_id", "overview", F.coalesce(~within, F.lit(True)), "centroid"))
+    # Every source that is named is known; evidence is of a known source and about something.
+    named = plants.select(F.lit("plants").alias("a"), col("plant_id").cast("string").alias("i"), F.explode("source_ids").alias("source_id")).union(regions.select(F.lit("regions"), "geography_id", F.explode("source_ids"))).union(evidence.select(F.lit("evidence"), "evidence_id", "source_id"))
+    parts.append(named.join(sources.select("source_id").distinct(), "source_id", "left_anti").select(col("a").alias("artifact"), col("i").alias("id"), F.lit("source_known").alias("rule")).distinct())
+    subjects = plants.select(col("plant_id").cast("string").alias("subject_id")).union(regions.select("geography_id"))
+    parts.append(broken(evidence.join(subjects.distinct(), "subject_id", "left_anti"), "evidence_id", "evidence", F.lit(True), "subject_known"))
+    bare = lambda df, ident, name: broken(df, ident, name, F.coalesce(F.size("source_ids"), F.lit(0)) == 0, "has_source")
+    parts += [bare(plants, "plant_id", "plants"), bare(regions, "geography_id", "regions")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
 def reconciles(shards: DataFrame, overview: DataFrame) -> DataFrame:
     """Geographies whose plants in the shards and in the overview differ; no row means that they reconcile."""
     a = shards.groupBy("geography_id").agg(F.count("*").alias("in_shards"))
