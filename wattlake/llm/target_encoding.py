@@ -172,26 +172,28 @@ def encode_sales(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors:
     rows give none. Other columns do not matter.
     """
     scratch = Scratch(lines.sparkSession)
-    own = lines.groupBy("sale_id", F.coalesce("item_id", F.lit(-1)).alias("item_id"), "vendor_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count(F.when(F.col("flag") == "returned", 1)).alias("n_returned"))
-    sold = sales.where("sold_at is not null").select("sale_id", F.coalesce("client_id", F.lit(-1)).alias("client_id"), local_micros(F.col("sold_at")).alias("time"))
+    counts = [F.count(F.lit(1)).alias("n_lines"), F.count(F.when(F.col("flag") == "returned", 1)).alias("n_returned")]
     # Written first: with a plain exchange on either side of a join, a hot id's rows can be split.
     least = lambda t, k, v: scratch.write(t.groupBy(k).agg(F.min(v).alias(v)).where(F.col(k).isNotNull()), k)
+    brief = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias(c)
+    rated = lambda k, prior: rate(F.col(f"{k}_n"), F.col(f"{k}_s"), prior)
+    # A sale has one time and client: its lines are told of them once.
+    crc = F.crc32(F.col("sale_id").cast("string").cast("binary"))
+    sold = sales.where("sold_at is not null").select("sale_id", F.coalesce("client_id", F.lit(-1)).alias("client_id"), local_micros(F.col("sold_at")).alias("time"), (crc % folds).cast("int").alias("fold"))
     sold = sold.join(least(clients, "client_id", "segment").hint("merge"), "client_id", "left")
+    sold = sold.join(scratch.write(lines.groupBy("sale_id").agg(*counts), "counts").hint("merge"), "sale_id")
+    sold = scratch.write(sold.select("sale_id", "client_id", "time", "fold", "n_lines", "n_returned", brief("segment"), F.lit(0).alias("everything")), "sold")
+    found = history(sold, ["client_id", "segment", "everything"], "time", "fold", "n_lines", "n_returned", folds, gap, **sizes)
+    every = rated("everything", F.lit(500_000))
+    sold = scratch.write(found.select("sale_id", "time", "fold", F.col("client_id_n").alias("client_n"), rated("client_id", rated("segment", every)).alias("client_rate"), every.alias("every")), "client")
+    own = lines.groupBy("sale_id", F.coalesce("item_id", F.lit(-1)).alias("item_id"), "vendor_id").agg(*counts)
     rows = own.join(sold.hint("merge"), "sale_id")
     rows = rows.join(least(items, "item_id", "kind").hint("merge"), "item_id", "left")
     rows = rows.join(least(vendors, "vendor_id", "nation_id").hint("merge"), "vendor_id", "left")
-    crc = F.crc32(F.col("sale_id").cast("string").cast("binary"))
-    brief = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias(c)
-    rows = rows.select("sale_id", "item_id", "vendor_id", "client_id", "n_lines", "n_returned", "time", (crc % folds).cast("int").alias("fold"), brief("kind"), "nation_id", brief("segment"), F.lit(0).alias("everything"))
-    rows = scratch.write(rows, "rows")
-    rated = lambda k, prior: rate(F.col(f"{k}_n"), F.col(f"{k}_s"), prior)
-    every = rated("everything", F.lit(500_000))
-    passes = (("client", "client_id", "segment", ["everything"]), ("item", "item_id", "kind", []), ("vendor", "vendor_id", "nation_id", []))
-    for name, key, group, more in passes:
-        found = history(rows, [key, group, *more], "time", "fold", "n_lines", "n_returned", folds, gap, **sizes)
-        kept = [c for c in rows.columns if c not in ("client_id", group, *more)]
-        own_rate = rated(key, rated(group, every if more else F.col("every")))
-        out = found.select(*kept, F.col(f"{key}_n").alias(f"{name}_n"), own_rate.alias(f"{name}_rate"), *[every.alias("every") for _ in more])
-        rows = scratch.write(out, name)
+    rows = scratch.write(rows.select("sale_id", "item_id", "vendor_id", "n_lines", "n_returned", "time", "fold", brief("kind"), "nation_id", "client_n", "client_rate", "every"), "rows")
+    for name, key, group in (("item", "item_id", "kind"), ("vendor", "vendor_id", "nation_id")):
+        found = history(rows, [key, group], "time", "fold", "n_lines", "n_returned", folds, gap, **sizes)
+        kept = [c for c in rows.columns if c != group]
+        rows = scratch.write(found.select(*kept, F.col(f"{key}_n").alias(f"{name}_n"), rated(key, rated(group, F.col("every"))).alias(f"{name}_rate")), name)
         scratch.keep(name)
     return rows.select("sale_id", "item_id", "vendor_id", "n_lines", "n_returned", "item_n", "item_rate", "vendor_n", "vendor_rate", "client_n", "client_rate")
