@@ -99,7 +99,7 @@ def test_shares_and_remainders_of_zero(spark):
     rows = spark.createDataFrame([("a", "x", 0.0), ("a", "y", 0.0), ("b", "x", 1.0), ("b", "y", 2.0)], "g string, i string, w double").withColumn("t", F.lit(10).cast("long"))
     assert {(r["g"], r["i"]): r["units"] for r in R.largest_remainder(rows, ["g"], "i", "w", "t").collect()} == {("a", "x"): None, ("a", "y"): None, ("b", "x"): 3, ("b", "y"): 7}
     with pytest.raises(PySparkException, match="zero total"):
-        rows.withColumn("s", R.shares(rows, ["g"], "w")).collect()
+        R.with_shares(rows, ["g"], "w", "s").collect()
     p = spark.createDataFrame([("A", "X", 2026, 5, "reported"), ("B", "X", 2026, 5, "reported")], "geography_id string, country string, year int, population long, value_kind string")
     for v in (3, 100):
         with pytest.raises(PySparkException):

@@ -140,10 +140,17 @@ def best_fields(df: DataFrame, key: Sequence[str], fields: Sequence[str], rank:
 # --- windows -------------------------------------------------------------
 
 
-def shares(df: DataFrame, group: Sequence[str], value: str) -> Column:
-    """Each row's share of its group's sum; a sum of zero raises."""
-    total = F.sum(money(F.col(value))).over(Window.partitionBy(*group)).cast("double")
-    return F.when(total == 0, F.raise_error(F.lit("shares of a zero total")).cast("double")).otherwise(F.col(value) / total)
+def _beside(df: DataFrame, group: Sequence[str], *sums: Column) -> DataFrame:
+    """``df`` with aggregates of each row's group beside it: summed up first and joined back, so that no group is in one task."""
+    whole = df.groupBy(*group).agg(*sums).withColumnsRenamed({c: f"_all_{c}" for c in group})
+    return df.join(whole, [F.col(c).eqNullSafe(F.col(f"_all_{c}")) for c in group]).drop(*[f"_all_{c}" for c in group])
+
+
+def with_shares(df: DataFrame, group: Sequence[str], value: str, name: str = "share") -> DataFrame:
+    """``df`` with each row's share of its group's exact sum; a sum of zero raises."""
+    d = _beside(df, group, F.sum(money(F.col(value))).cast("double").alias("_total"))
+    share = F.when(F.col("_total") == 0, F.raise_error(F.lit("shares of a zero total")).cast("double")).otherwise(F.col(value) / F.col("_total"))
+    return d.withColumn(name, share).drop("_total")
 
 
 #: Fractions are whole numbers of nine digits; each pass tells ten bits of the least one that still gets a unit.
@@ -207,10 +214,11 @@ def largest_remainder(df: DataFrame, group: Sequence[str], ident: str, weight: s
 
 
 def residual_to_top(df: DataFrame, group: Sequence[str], ident: str, score: str, value: str, total: str) -> DataFrame:
-    """Give what ``value`` lacks to ``total`` to the row of the top score (smallest id)."""
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(score), ident))
-    lack = F.col(total) - F.sum(F.col(value)).over(Window.partitionBy(*group))
-    return df.withColumn(value, F.col(value) + F.when(rank == 1, lack).otherwise(F.lit(0).cast("decimal(18,2)")))
+    """Give what ``value`` lacks to ``total`` to the row of the top score (smallest id, which is unique in its group; rows without a score come last)."""
+    top = F.min(F.struct(F.col(score).isNull().alias("a"), (-F.col(score)).alias("b"), F.col(ident).alias("i"))).alias("_top")
+    d = _beside(df, group, top, F.sum(F.col(value)).alias("_given"))
+    lack = F.col(total) - F.col("_given")
+    return d.withColumn(value, F.col(value) + F.when(F.col(ident) == F.col("_top.i"), lack).otherwise(F.lit(0).cast("decimal(18,2)"))).drop("_top", "_given")
 
 
 def baseline_growth(df: DataFrame, key: Sequence[str], year: str, value: str) -> DataFrame:

@@ -800,7 +800,7 @@ def fills_shares_grades(spark, sf_dir):
     c = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"))
     d = R.fill_only(c.where("k % 2 = 0").withColumn("origin", F.lit("primary")), c.withColumn("origin", F.lit("fallback")), ["k"])
     fraction, confidence = M.graded(F.lit("population_only"), (k % 30).cast("int"))
-    return d.select("k", "origin", F.round(R.shares(d, ["n"], "k"), 12).alias("share"), fraction.alias("fraction"), confidence.alias("confidence"))
+    return R.with_shares(d, ["n"], "k").select("k", "origin", F.round("share", 12).alias("share"), fraction.alias("fraction"), confidence.alias("confidence"))
 
 
 @query("""
