@@ -47,7 +47,7 @@ def test_texts_that_differ(valid, table, key, ident, columns, want):
     ("table", "ident", "column", "value", "want"),
     [
         ("plants", "p1", "operating_mw", 7.0, {("plants", "p1", "capacity_by_lifecycle"), ("overview", "A1", "rolled_operating_mw")}),
-        ("plants", "p1", "lat", 91.0, {("plants", "p1", "point")}),
+        ("plants", "p1", "lat", 91.0, {("plants", "p1", "point"), ("overview", "A1", "centroid")}),
         ("overview", "A1", "capacity_mw", 15.5, {("overview", "A1", "rolled_capacity_mw")}),
         ("overview", "A1", "lon", 0.0, {("overview", "A1", "centroid")}),
         ("overview", "A1", "lat", 4.0, {("overview", "A1", "centroid")}),
