@@ -126,13 +126,13 @@ def points_in_long_outlines(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT p_partkey % 720 AS col, p_partkey // 720 % 360 AS r, CAST(p_retailprice AS DECIMAL(28,6)) AS v FROM part),
+WITH c AS (SELECT p_partkey * 13 % 720 AS col, p_partkey * 7 % 360 AS r, CAST(p_retailprice AS DECIMAL(28,6)) AS v FROM part),
 q AS (SELECT n_nationkey, n_nationkey * 13 - 160.0 AS x, n_nationkey % 7 * 20 - 60.0 AS y, 12.0 + n_nationkey % 4 * 9 AS r0 FROM nation)
 SELECT n_nationkey, CAST(sum(v) AS DOUBLE) AS total, count(*) AS selected FROM c JOIN q ON abs(col * 0.5 - 179.75 - x) <= r0 AND abs(r * 0.5 - 89.75 - y) <= r0 / 2 GROUP BY 1""")
 def scanline_sums(spark, sf_dir):
     """Raster cells of half a degree in wide boxes, most of them by the totals of whole tiles."""
     k, n = F.col("p_partkey"), F.col("n_nationkey")
-    cells = t(spark, sf_dir, "part").select(((k % 720) * 0.5 - 179.75).alias("lon"), (F.floor(k / 720) % 360 * 0.5 - 89.75).alias("lat"), F.col("p_retailprice").alias("v"), F.lit(True).alias("ok"))
+    cells = t(spark, sf_dir, "part").select(((k * 13 % 720) * 0.5 - 179.75).alias("lon"), ((k * 7 % 360) * 0.5 - 89.75).alias("lat"), F.col("p_retailprice").alias("v"), F.lit(True).alias("ok"))
     x, y, r = n * 13 - F.lit(160.0), n % 7 * 20 - F.lit(60.0), F.lit(12.0) + n % 4 * 9
     ring = F.array(*[F.array(x + a * r, y + b * r / 2) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
     shapes = t(spark, sf_dir, "nation").select(n, F.array(F.array(ring)).alias("polygons"))
