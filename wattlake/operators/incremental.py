@@ -14,13 +14,21 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattlake.operators.graph import written
+
 LEVELS = ("root", "region", "year", "leaf")
 
 
-def _summed(texts: Column) -> Column:
-    """One digest of many texts, in any order: their SHA-256 in four parts, added up, beside their number."""
-    part = lambda i: F.sum(F.conv(F.substring(F.sha2(texts.cast("binary"), 256), i, 12), 16, 10).cast("decimal(20,0)")).cast("string")
-    return F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *[part(i) for i in (1, 13, 25, 37)]).cast("binary"), 256)
+def _digest(d: DataFrame, keys: Sequence[Column], texts: Column) -> DataFrame:
+    """``keys`` and ``fingerprint``, one digest of each group's texts in any order: their SHA-256 in four parts, added up, beside their number.
+
+    A part of 48 bits is added up in halves, which longs hold for 2^39 rows.
+    """
+    starts, sha = (1, 13, 25, 37), F.sha2(texts.cast("binary"), 256)
+    cut = d.select(*keys, *[F.conv(F.substring(sha, i, 12), 16, 10).cast("long").alias(f"_{i}") for i in starts])
+    names = [c for c in cut.columns if c not in {f"_{i}" for i in starts}]
+    part = lambda c: (F.sum(F.shiftright(c, 24)).cast("decimal(20,0)") * (1 << 24) + F.sum(F.col(c).bitwiseAND(F.lit((1 << 24) - 1)))).cast("string")
+    return cut.groupBy(*names).agg(F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *[part(f"_{i}") for i in starts]).cast("binary"), 256).alias("fingerprint"))
 
 
 def leaves(inputs: dict[str, DataFrame], region: str = "geography_id", year: str = "year") -> DataFrame:
@@ -28,7 +36,7 @@ def leaves(inputs: dict[str, DataFrame], region: str = "geography_id", year: str
     out = None
     for name, df in sorted(inputs.items()):
         text = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
-        d = df.groupBy(F.col(region).cast("string").alias("region"), F.col(year).cast("int").alias("year")).agg(_summed(text).alias("fingerprint")).withColumn("input", F.lit(name))
+        d = _digest(df, [F.col(region).cast("string").alias("region"), F.col(year).cast("int").alias("year")], text).withColumn("input", F.lit(name))
         out = d if out is None else out.unionByName(d)
     if out is None:
         raise ValueError("no inputs")
@@ -36,12 +44,17 @@ def leaves(inputs: dict[str, DataFrame], region: str = "geography_id", year: str
 
 
 def tree(own: DataFrame) -> DataFrame:
-    """level, region, year, input and fingerprint of all nodes over ``leaves``."""
+    """level, region, year, input and fingerprint of all nodes over ``leaves``.
+
+    Leaves, years and regions are written once, so that inputs are read once, however often levels are looked at.
+    """
     child = lambda *c: F.concat_ws("\x1f", *[F.coalesce(F.col(x).cast("string"), F.lit("\x00")) for x in c], "fingerprint")
     none = lambda kind: F.lit(None).cast(kind)
-    years = own.groupBy("region", "year").agg(_summed(child("input")).alias("fingerprint"))
-    regions = years.groupBy("region").agg(_summed(child("year")).alias("fingerprint"))
-    root = regions.agg(_summed(child("region")).alias("fingerprint"))
+    region, year = F.col("region"), F.col("year")
+    own = written(own)
+    years = written(_digest(own, [region, year], child("input")))
+    regions = written(_digest(years, [region], child("year")))
+    root = _digest(regions, [], child("region"))
     parts = (("leaf", own), ("year", years.withColumn("input", none("string"))), ("region", regions.withColumns({"year": none("int"), "input": none("string")})), ("root", root.withColumns({"region": none("string"), "year": none("int"), "input": none("string")})))
     out = None
     for level, d in parts:
@@ -80,8 +93,9 @@ def rebuild_changed(last: DataFrame, moved: DataFrame, inputs: dict[str, DataFra
     """The last result with the rows of ``moved`` regions and years computed anew from their inputs' rows alone.
 
     ``compute`` gives rows with region and year; rows of what has gone are dropped.
+    The moved keys are written once, as every input and the last result meet them.
     """
-    keys = moved.select(F.col("region").alias("_r"), F.col("year").alias("_y")).distinct()
+    keys = written(moved.select(F.col("region").alias("_r"), F.col("year").alias("_y")).distinct())
     on = [F.col(region).cast("string").eqNullSafe(F.col("_r")), F.col(year).cast("int").eqNullSafe(F.col("_y"))]
     fresh = compute({name: df.join(keys, on, "left_semi") for name, df in inputs.items()})
     return last.join(keys, on, "left_anti").unionByName(fresh.select(*last.columns))
