@@ -367,6 +367,25 @@ def test_nearest_matches_brute_force(spark):
     assert hit >= 0.95 * 5 * 9 and all(g["query_id"] != 1100 for g in got)
 
 
+def test_few_pairs_leave_a_block_however_many_reach_the_floor():
+    """Vectors of one direction all have the same cosine: the smaller ids leave the block, not all pairs."""
+    import pyarrow as pa
+
+    from wattlake.llm.ann import _best, encode
+
+    x = np.concatenate([np.outer(np.arange(1, 301), np.ones(16)), np.random.default_rng(2).standard_normal((300, 16))])
+    codes, correction = encode(x)
+    vectors = pa.array(x.tolist(), pa.list_(pa.float64()))
+    data = pa.table({"gid": pa.array(range(600)), "v": vectors, "code": pa.array([c.tobytes() for c in codes], pa.binary()), "correction": pa.array(correction)})
+    queries = data.select(["gid", "v"]).take([0, 7, 450])
+    got = _best(6, 3.5)(queries, data).to_pylist()
+    assert len(got) == 18
+    for q in (0, 7):
+        assert [r["gid"] for r in got if r["query_gid"] == q] == [0, 1, 2, 3, 4, 5]
+    own = x @ x[450] / np.linalg.norm(x, axis=1)
+    assert {r["gid"] for r in got if r["query_gid"] == 450 and r["score"] > own.max() / np.linalg.norm(x[450]) - 1e-9} == {450}
+
+
 def test_nearest_with_extreme_components_and_hot_vectors(spark):
     from pyspark.sql import functions as F
 

@@ -5,10 +5,10 @@ packed into 64-bit words, and a correction scalar keeps the inner product of the
 code with the vector it stands for. A query's rotated vector is rounded to
 ``QUERY_BITS`` bit planes, so the inner product of code and query is a sum of
 popcounts. From it and the scalar an unbiased estimate of the cosine follows,
-with an error bound. Only codes and scalars meet the queries, twice: first for
-each query's best estimates, whose exact cosines give a floor, then for every
-candidate whose upper bound reaches that floor. These are compared on the
-original vectors, which are joined for them alone.
+with an error bound. Queries meet codes in blocks that carry the original vectors
+along: the exact cosines of a query's best estimates in a block give a floor,
+candidates whose upper bound reaches it are compared on the original vectors, and
+the block's nearest leave it. How many candidates reach the floor costs no disk.
 """
 
 from __future__ import annotations
@@ -90,71 +90,60 @@ def _index(batches):
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(correction)], [*part.schema.names, "code", "correction"])
 
 
-def _blocks(queries: pa.Table, data: pa.Table, epsilon: float):
-    """Estimates and bounds of one block of queries against one of codes, a strip of queries at a time."""
-    q = _vectors(queries)
-    codes = np.frombuffer(b"".join(data.column("code").to_pylist()), np.uint64).reshape(data.num_rows, -1)
-    correction = data.column("correction").to_numpy()
-    for a in range(0, len(q), 128):
-        yield slice(a, a + 128), *bounds(q[a : a + 128], codes, correction, epsilon)
+def _dot(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of rows, their products added one after another."""
+    return np.cumsum(x * y, axis=1)[:, -1]
 
 
-def _pairs(out: list[tuple]) -> pa.Table:
-    cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [[], [], []]
-    return pa.table({c: pa.array(x, t) for c, x, t in zip(("query_gid", "gid", "estimate"), cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact cosines of rows, in double precision."""
+    a, b = scaled(a), scaled(b)
+    return _dot(a, b) / (np.sqrt(_dot(a, a)) * np.sqrt(_dot(b, b)))
 
 
-def _best(most: int):
-    """Each query's ``most`` best estimates in a block."""
+def _best(most: int, epsilon: float):
+    """Each query's ``most`` nearest vectors of a block, by exact cosines.
 
-    def fn(queries: pa.Table, data: pa.Table) -> pa.Table:
-        out = []
-        if queries.num_rows and data.num_rows:
-            qid, xid = (t.column("gid").to_numpy() for t in (queries, data))
-            n = min(most, len(xid))
-            for rows, estimate, _ in _blocks(queries, data, 0.0):
-                j = np.argpartition(-estimate, n - 1, axis=1)[:, :n]
-                out.append((np.repeat(qid[rows], n), xid[j].ravel(), np.take_along_axis(estimate, j, 1).ravel()))
-        return _pairs(out)
-
-    return fn
-
-
-def _reaching(epsilon: float):
-    """All pairs in a block whose upper bound reaches the query's floor."""
+    The cosines of the best estimates give a floor; candidates whose upper bound
+    reaches it are reranked on the original vectors, and only the best leave the
+    block, of equal ones the smaller ids.
+    """
 
     def fn(queries: pa.Table, data: pa.Table) -> pa.Table:
         out = []
         if queries.num_rows and data.num_rows:
             qid, xid = (t.column("gid").to_numpy() for t in (queries, data))
-            least = queries.column("least").to_numpy()
-            for rows, estimate, error in _blocks(queries, data, epsilon):
-                i, j = np.nonzero(estimate + error >= least[rows, None])
-                out.append((qid[rows][i], xid[j], estimate[i, j]))
-        return _pairs(out)
+            q, x = _vectors(queries), _vectors(data)
+            q_unit, x_unit = _unit(q), _unit(x)
+            codes = np.frombuffer(b"".join(data.column("code").to_pylist()), np.uint64).reshape(data.num_rows, -1)
+            correction = data.column("correction").to_numpy()
+            few = min(4 * most, len(xid))
+            for start in range(0, len(q), 128):
+                estimate, error = bounds(q[start : start + 128], codes, correction, epsilon)
+                first = np.argpartition(-estimate, few - 1, axis=1)[:, :few]
+                upper = estimate + error
+                for i, u in enumerate(q_unit[start : start + 128]):
+                    least = np.sort(x_unit[first[i]] @ u)[-most] - 1e-9 if few >= most else -2.0
+                    near = np.union1d(np.flatnonzero(upper[i] >= least), first[i])
+                    # Sums in any order differ from the exact ones by far less than 1e-9.
+                    rough = x_unit[near] @ u
+                    near = near[rough >= (np.partition(rough, -most)[-most] - 1e-9 if len(near) > most else -2.0)]
+                    score = _cosines(np.broadcast_to(q[start + i], (len(near), q.shape[1])), x[near])
+                    kept = np.lexsort((xid[near], -score))[:most]
+                    out.append((np.full(len(kept), qid[start + i]), xid[near[kept]], score[kept]))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
+        return pa.table({c: pa.array(v, t) for c, v, t in zip(("query_gid", "gid", "score"), cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
 
     return fn
 
 
-def _cosines(batches):
-    """Exact cosines, in double precision."""
-    for batch in batches:
-        n = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
-        for dim in np.unique(n):
-            part = pa.Table.from_batches([batch.filter(pa.array(n == dim))])
-            a, b = scaled(_vectors(part, "query_v")), scaled(_vectors(part, "v"))
-            dot = lambda x, y: np.cumsum(x * y, axis=1)[:, -1]  # noqa: E731  added one after another
-            score = dot(a, b) / (np.sqrt(dot(a, a)) * np.sqrt(dot(b, b)))
-            yield pa.RecordBatch.from_arrays([*(part.column(c).combine_chunks() for c in ("query_gid", "gid")), pa.array(score)], ["query_gid", "gid", "score"])
-
-
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, epsilon: float = 3.5, query_block: int = 1024, data_block: int = 8192, scratch: Scratch | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, epsilon: float = 3.5, query_block: int = 8192, data_block: int = 8192, scratch: Scratch | None = None) -> DataFrame:
     """The ``k`` nearest other vectors of each query by cosine: query_id, rank, vec_id, score.
 
     ``vectors`` has ``vec_id`` and ``embedding``; ``is_query`` tells the queries.
     Every vector is indexed. Equal vectors are indexed once, with the ``k + 1``
     smallest of their ids: no query can get more of them. Distinct queries meet
-    distinct codes in a grid of bounded blocks, each a task's work. ``epsilon``
+    distinct codes and vectors in a grid of bounded blocks, each a task's work. ``epsilon``
     is the bounds' number of deviations. Vectors that are null, empty, zero, or
     hold null or non-finite components take no part, nor do rows without vec_id;
     rows that repeat a vec_id count once (the smallest vector). Finite
@@ -179,24 +168,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, epsilon: float = 3
     db, qb = max(1, -(-size["n"] // data_block), min(16, size["n"] // 1024)), max(1, -(-size["q"] // query_block))
     part = lambda n, salt: F.pmod(F.xxhash64("gid", F.lit(salt)), F.lit(n)).cast("int")
     dim = F.size("v").alias("dim")
-    x = index.select("gid", "code", "correction", dim, part(db, 2).alias("db"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb")).groupBy("dim", "qb", "db")
-    spread = lambda d: d.select("*", dim, part(qb, 1).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(db - 1))).alias("db")).groupBy("dim", "qb", "db")
+    x = index.select("gid", "v", "code", "correction", dim, part(db, 2).alias("db"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb")).groupBy("dim", "qb", "db")
+    asked = index.where("asked").select("gid", "v", dim, part(qb, 1).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(db - 1))).alias("db")).groupBy("dim", "qb", "db")
     best = lambda key, score, *ties: F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), *ties))
-    pairs = "query_gid long, gid long, estimate double"
-    asked = index.where("asked").select("gid", "v")
-
-    def cosines(some: DataFrame) -> DataFrame:
-        with_query = some.select("query_gid", "gid").join(asked.select(F.col("gid").alias("query_gid"), F.col("v").alias("query_v")), "query_gid")
-        return with_query.join(index.select("gid", "v"), "gid").select("query_gid", "gid", "query_v", "v").mapInArrow(_cosines, "query_gid long, gid long, score double")
-
     # k + 1, as the query's own vector is among them. Equal vectors stand for up to k + 1 ids.
-    first = spread(asked).cogroup(x).applyInArrow(_best(4 * (k + 1)), pairs)
-    first = first.withColumn("place", best("query_gid", "estimate", "gid")).where(F.col("place") <= 4 * (k + 1))
-    exact = cosines(first).withColumn("place", best("query_gid", "score", "gid")).where(F.col("place") <= k + 1)
-    floor = exact.groupBy(F.col("query_gid").alias("gid")).agg(F.when(F.count("*") > k, F.min("score") - 1e-9).otherwise(-2.0).alias("least"))
-    floored = scratch.write(asked.join(floor, "gid").select("gid", "v", "least"), "floored")
-    near = spread(floored).cogroup(x).applyInArrow(_reaching(epsilon), pairs)
-    exact = cosines(near.union(first.select("query_gid", "gid", "estimate")).select("query_gid", "gid").distinct())
+    exact = asked.cogroup(x).applyInArrow(_best(k + 1, epsilon), "query_gid long, gid long, score double")
     # Distinct vectors' best k + 1, then their ids' best k + 1, then each query's own without itself.
     top = exact.withColumn("place", best("query_gid", "score", "gid")).where(F.col("place") <= k + 1).select("query_gid", "gid", "score")
     ids = top.join(members, "gid").withColumn("place", best("query_gid", "score", "vec_id")).where(F.col("place") <= k + 1).select("query_gid", "vec_id", "score")
