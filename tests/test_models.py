@@ -1,6 +1,8 @@
 """Worked values of the regional model, its rules, and clustering against its ceilings."""
 
+import collections
 import math
+import random
 
 import pytest
 from pyspark.errors import PySparkException
@@ -205,3 +207,17 @@ def test_small_scalars(spark):
     assert {r["i"]: float(r["v"]) for r in top.collect()} == {"a": 3.0, "b": 7.0}
     v, c = M.estimate(d(None), d(0.225), d(0.2), d(100))
     assert tuple(one(spark, v, c)) == (pytest.approx(197.1), 82)
+
+
+def test_forecast_joins_are_dealt_by_rows(spark, monkeypatch):
+    """Constants compress to few bytes; a task takes so many rows all the same."""
+    monkeypatch.setattr(E, "TASK_ROWS", 50)
+    k, one = F.col("id"), F.struct(*[F.lit(1.0).alias(p) for p in ("low", "central", "high")])
+    none = F.lit(None).cast(E.RANGE)
+    base = spark.range(200).select(k.alias("geography_id"), F.explode(F.array(F.lit(2026), F.lit(2027))).alias("year"))
+    demand = base.select("*", one.alias("demand"), none.alias("peak"), F.lit(80.0).alias("demand_confidence"), F.lit(100.0).alias("demand_coverage"))
+    supply = base.select("*", one.alias("generation"), one.alias("dependable"), F.lit(1.0).alias("installed"), F.lit(55).alias("confidence"), F.lit(50.0).alias("coverage"))
+    official = base.limit(0).select("*", *[none.alias(c) for c in ("demand", "generation", "peak", "dependable", "interchange")], F.lit(1.0).alias("unmet"), F.lit("reported").alias("unmet_kind"))
+    rows = E.forecast(demand, supply, official).select("geography_id", F.spark_partition_id().alias("task")).collect()
+    held = collections.Counter(r["task"] for r in rows)
+    assert len(rows) == 400 and len(held) == 8 and max(held.values()) <= 150

@@ -15,6 +15,8 @@ from wattlake.operators.relational import money, observed_factor
 YEARS = tuple(range(2026, 2032))
 FORWARD = ("announced", "planning_filed", "permitted", "under_construction")
 RANGE = "struct<low:double,central:double,high:double>"
+#: Rows of demand in a task of the forecast's joins.
+TASK_ROWS = 1 << 17
 NONE = F.lit  # typed nulls are made with .cast
 
 
@@ -176,23 +178,28 @@ def forecast(demand: DataFrame, supply: DataFrame, official: DataFrame) -> DataF
     ``demand``: geography_id, year, demand, peak (ranges), demand_confidence,
     demand_coverage. ``official``: geography_id, year, demand, generation, peak,
     dependable, interchange (ranges, null where not reported), unmet, unmet_kind.
-    A peak that nobody reports is flat load, demand by 8.76.
+    A peak that nobody reports is flat load, demand by 8.76. Joins take about
+    ``TASK_ROWS`` rows of demand a task: by their compressed bytes, which are few
+    for constants, a task would be given millions.
     """
     keys = ["geography_id", "year"]
+    tasks = max(1, -(-demand.count() // TASK_ROWS))
+    dealt = lambda x: x.repartition(tasks, *keys)
     o = official.select(*keys, *[F.col(c).alias(f"_{c}") for c in ("demand", "generation", "peak", "dependable")], "interchange", "unmet", "unmet_kind")
-    d = demand.join(supply.select(*keys, "generation", "dependable", "installed", F.col("confidence").alias("supply_confidence"), F.col("coverage").alias("supply_coverage")), keys, "left").join(o, keys, "left")
+    own = supply.select(*keys, "generation", "dependable", "installed", F.col("confidence").alias("supply_confidence"), F.col("coverage").alias("supply_coverage"))
+    d = dealt(demand).join(dealt(own), keys, "left").join(dealt(o), keys, "left")
     for c in ("demand", "generation", "peak", "dependable"):
         d = d.withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
     d = d.withColumn("peak", F.coalesce("peak", F.when(F.col("demand").isNotNull(), parts_of(F.col("demand"), lambda p: F.col(f"demand.{p}") / 8.76))))
     d = power_balance(d)
     d = d.withColumn("confidence", F.least("demand_confidence", F.coalesce("supply_confidence", F.lit(0)))).withColumn("coverage", F.least("demand_coverage", F.coalesce("supply_coverage", F.lit(0.0))))
-    return scored(d)
+    return scored(d, tasks)
 
 
-def scored(d: DataFrame) -> DataFrame:
-    """Balance index and its coverage; growth is against the region's first year, found by aggregation."""
+def scored(d: DataFrame, tasks: int) -> DataFrame:
+    """Balance index and its coverage; growth is against the region's first year, found by aggregation. Joined in ``tasks`` tasks."""
     first = d.groupBy("geography_id").agg(F.min_by("demand.central", "year").alias("_first"))
-    d = d.join(first, "geography_id")
+    d = d.repartition(tasks, "geography_id").join(first.repartition(tasks, "geography_id"), "geography_id")
     parts = M.balance_inputs(F.col("peak.central"), F.col("dependable.central"), F.col("demand.central"), F.col("gap.central"), F.col("unmet"), F.col("_first"))
     return d.withColumn("balance_score", M.balance_score(parts)).withColumn("balance_coverage", M.balance_coverage(parts)).drop("_first")
 
