@@ -209,6 +209,17 @@ def test_small_scalars(spark):
     assert tuple(one(spark, v, c)) == (pytest.approx(197.1), 82)
 
 
+def test_pairs_of_small_blocks_are_not_expanded(spark):
+    """Two rows of a block meet though each has more neighbour keys than an array holds; large blocks meet by their neighbour keys."""
+    d = spark.createDataFrame([("a", 1, 5, 0), ("a", 2, 4_000_000_000, 0), ("a", 3, 3_000_000_000, 1), ("b", 4, 5, 0), (None, 5, 5, 0), (None, 6, 5, 0), ("c", 7, None, 0), ("c", 8, 5, 0)], "g string, id long, x long, y long")
+    pairs = lambda d, block, far: {tuple(r) for r in R.blocked_pairs(d, "id", block, far, F.lit(True)).select(F.col("a.id"), F.col("b.id")).collect()}
+    assert pairs(d, ["g"], {"x": 2_000_000_000, "y": 1}) == {(2, 3)}
+    rng = random.Random(3)
+    rows = [(g, i * 10 + k, rng.randrange(6), rng.randrange(6)) for k, (g, n) in enumerate((("many", 60), ("nine", 9), ("ten", 10), ("two", 2), ("one", 1))) for i in range(n)]
+    want = {(p[1], q[1]) for p in rows for q in rows if p[0] == q[0] and p[1] < q[1] and abs(p[2] - q[2]) <= 1 and abs(p[3] - q[3]) <= 1}
+    assert pairs(spark.createDataFrame(rows, "g string, id long, x long, y long"), ["g"], {"x": 1, "y": 1}) == want
+
+
 def test_forecast_joins_are_dealt_by_rows(spark, monkeypatch):
     """Constants compress to few bytes; a task takes so many rows all the same."""
     monkeypatch.setattr(E, "TASK_ROWS", 50)

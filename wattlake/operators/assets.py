@@ -32,9 +32,9 @@ def asset_edges(assets: DataFrame, aliases: dict[str, str] | None = None) -> Dat
     blank = lambda c: F.nullif(c, F.lit(""))
     known = {key_normalize_text(k): key_normalize_text(v) for k, v in (aliases or {}).items()}
     keyed = assets.select("id", "country", "category", blank(expand_aliases(F.col("operator"), known)).alias("operator"), blank(name_signature(expand_aliases(F.col("name"), known), distinct=False)).alias("signature"), "target_year", "mw", "lon", "lat").dropna()
-    same = keyed.groupBy("country", "category", "operator", "signature", "target_year", "mw", "lon", "lat").agg(F.min("id").alias("first"))
-    copies = keyed.join(same, [c for c in keyed.columns if c != "id"]).where("id <> first").select(F.col("id").alias("src"), F.col("first").alias("dst"))
-    cells = same.withColumnRenamed("first", "id").withColumns({"cx": F.floor("lon").cast("long"), "cy": F.floor("lat").cast("long"), "band": log_band(F.col("mw"), 1.25)})
+    same = written(keyed.groupBy("country", "category", "operator", "signature", "target_year", "mw", "lon", "lat").agg(F.min("id").alias("first"), F.count("*").alias("rows")))
+    copies = keyed.join(same.where("rows > 1").drop("rows"), [c for c in keyed.columns if c != "id"]).where("id <> first").select(F.col("id").alias("src"), F.col("first").alias("dst"))
+    cells = same.drop("rows").withColumnRenamed("first", "id").withColumns({"cx": F.floor("lon").cast("long"), "cy": F.floor("lat").cast("long"), "band": log_band(F.col("mw"), 1.25)})
     a, b = lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}")
     ratio = F.when((a("mw") == 0) | (b("mw") == 0), F.lit(True)).otherwise((F.try_divide(a("mw"), b("mw"))).between(LEAST_RATIO, MOST_RATIO))
     close = haversine_km(a("lon"), a("lat"), b("lon"), b("lat")) <= DISTANCE_KM

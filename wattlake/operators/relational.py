@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,17 +32,26 @@ def blocked_pairs(df: DataFrame, ident: str, block: Sequence[str], neighbours: d
     """Pairs (a.id < b.id) with equal ``block`` columns and ``neighbours`` columns at most so far apart that pass ``test``.
 
     One side is expanded to its neighbour keys, so the join is an equi-join; the
-    other side's rows meet each pair once. ``test`` uses aliases a and b.
+    other side's rows meet each pair once. A block of no more rows than a row has
+    neighbour keys is compared as it is, which takes no more than its expansion;
+    rows alone in their block go. ``test`` uses aliases a and b.
     """
-    right = df
+    most = math.prod(2 * d + 1 for d in neighbours.values())
+    size = df.groupBy(*block).agg(F.count("*").alias("_rows")).where("_rows > 1")
+    met = written(df.join(size, list(block)))
+    whole = F.col("_rows") <= most
+    left, right = met, met
     for c, d in neighbours.items():
-        right = right.withColumn(f"_{c}", F.explode(F.sequence(F.col(c) - d, F.col(c) + d)))
-    a, b = df.alias("a"), right.alias("b")
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in block] + [F.col(f"a.{c}") == F.col(f"b._{c}") for c in neighbours]
-    cond = on[0]
-    for x in on[1:]:
-        cond &= x
-    return a.join(b, cond & (F.col(f"a.{ident}") < F.col(f"b.{ident}"))).where(test)
+        left = left.withColumn(f"_{c}", F.when(whole, F.lit(0).cast("long")).otherwise(F.col(c).cast("long")))
+        keys = F.when(whole, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.col(c).cast("long") - d, F.col(c).cast("long") + d))
+        right = right.withColumn(f"_{c}", F.explode(keys))
+    a, b = left.alias("a"), right.alias("b")
+    cond = F.col(f"a.{ident}") < F.col(f"b.{ident}")
+    for c in (*block, *[f"_{c}" for c in neighbours]):
+        cond &= F.col(f"a.{c}") == F.col(f"b.{c}")
+    for c, d in neighbours.items():
+        cond &= F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) <= d
+    return a.join(b, cond).where(test)
 
 
 def override_join(base: DataFrame, better: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
