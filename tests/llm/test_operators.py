@@ -367,6 +367,28 @@ def test_nearest_matches_brute_force(spark):
     assert hit >= 0.95 * 5 * 9 and all(g["query_id"] != 1100 for g in got)
 
 
+def test_frequent_words_do_not_hang_on_how_texts_lie_in_tasks(spark):
+    """A word that most tasks leave out, and one that they name, count in full: by exact counts over all tasks."""
+    from pyspark.sql import functions as F
+
+    from wattlake.llm import lm_score as L
+
+    texts = ["rare " + "often " * 30 + " ".join(f"w{i}x{j}" for j in range(69)) for i in range(40)] + ["rare " * 300]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    got = {}
+    for tasks in (1, 8, 41):
+        dealt = docs.repartition(tasks, "id").select("text")
+        some = L.candidate_words(dealt, 2.0, 0.05)
+        # The least is 139 of 4341 tokens; 300 of "rare" are in one text.
+        bare = spark.sparkContext.broadcast(some.words)
+        cells = dealt.mapInArrow(L._count(bare), L.CELLS_SCHEMA).repartition("key").sortWithinPartitions("key").mapInArrow(L._merge, L.CELLS_SCHEMA)
+        got[tasks] = L.settle(cells, some)
+        some.least = 335  # of 340: only the tasks that leave it out make it up
+        some.lack[:] = 1
+        assert len(L.settle(cells, some).key) == 2
+    assert all(len(f.key) == 2 and (f.key == got[1].key).all() for f in got.values())
+
+
 def test_few_pairs_leave_a_block_however_many_reach_the_floor():
     """Vectors of one direction all have the same cosine: the smaller ids leave the block, not all pairs."""
     import pyarrow as pa
