@@ -389,6 +389,26 @@ def test_frequent_words_do_not_hang_on_how_texts_lie_in_tasks(spark):
     assert all(len(f.key) == 2 and (f.key == got[1].key).all() for f in got.values())
 
 
+def test_tasks_name_few_words_however_texts_are_dealt(spark, monkeypatch):
+    """A task of few tokens does not name its whole vocabulary as frequent words, and none that is frequent is lost."""
+    from wattlake.llm import lm_score as L
+
+    texts = [" ".join([*[f"c{k}" for k in range(10)] * 10, *[f"t{i % 20}"] * 36, *[f"w{i}x{j}" for j in range(500)]]) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    shares, heavy = [], L._heavy
+    monkeypatch.setattr(L, "_heavy", lambda share: shares.append(share) or heavy(share))
+    counts = Counter(w for t in texts for w in t.split())
+    tokens = sum(counts.values()) + len(texts)
+    for per_root, want in ((4.0, 10), (18.0, 30)):
+        assert want == sum(n >= tokens / (int(per_root * tokens ** (1 / 3)) + 1) for n in counts.values())
+        for tasks in (1, 40):
+            dealt = docs.repartitionByRange(tasks, "id").select("text")
+            some = L.candidate_words(dealt, per_root)
+            cells = dealt.mapInArrow(L._count(spark.sparkContext.broadcast(some.words)), L.CELLS_SCHEMA).repartition("key").sortWithinPartitions("key").mapInArrow(L._merge, L.CELLS_SCHEMA)
+            assert len(L.settle(cells, some).key) == want
+    assert docs.repartitionByRange(40, "id").select("text").mapInArrow(heavy(shares[1]), "key long, cls long, n long, cut long").count() <= 40 * 12
+
+
 def test_few_pairs_leave_a_block_however_many_reach_the_floor():
     """Vectors of one direction all have the same cosine: the smaller ids leave the block, not all pairs."""
     import pyarrow as pa
